@@ -348,3 +348,17 @@ def literal_captured(text: Column, mode: str, capture: str, names: list[str]) ->
 
 def empty_map() -> Column:
     return F.create_map().cast("map<string,string>")
+
+
+def java_search(regex: str | None, group: str) -> str | None:
+    """A Java pattern to search for, with ``group`` as its only group."""
+    if regex is None:
+        return None
+    try:
+        compiled = re.compile(regex)
+    except re.error:
+        return None
+    if group not in compiled.groupindex or compiled.flags != re.UNICODE:
+        return None
+    body = _java(_parser.parse(regex), {compiled.groupindex[group]})
+    return None if body is None else f"(?d){body}"

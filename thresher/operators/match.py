@@ -55,10 +55,28 @@ def match_compiled(
     case_limit: int = CASE_LIMIT,
 ) -> DataFrame:
     """`match_templates` for a table that already has the compiled columns."""
-    few = compiled.limit(case_limit + 1).collect() if case_limit else []
-    if case_limit and len(few) <= case_limit:
-        return _match_by_case(lines, few, variables)
-    return _match_by_word(lines, compiled, variables)
+    few = _few(compiled, case_limit)
+    out = _match_by_word(lines, compiled) if few is None else _match_by_case(lines, few)
+    if not variables:
+        return out
+    return _with_case_variables(out, few) if few is not None else _join_variables(out, compiled)
+
+
+def _few(compiled: DataFrame, case_limit: int) -> list[Row] | None:
+    """The templates if there are at most ``case_limit`` of them."""
+    rows = compiled.limit(case_limit + 1).collect() if case_limit else []
+    return rows if case_limit and len(rows) <= case_limit else None
+
+
+def with_variables(
+    assigned: DataFrame, templates: DataFrame, *, case_limit: int = CASE_LIMIT
+) -> DataFrame:
+    """Add the captured values to lines that already have their template."""
+    compiled = compiled_templates(templates.withColumn("is_active", F.lit(True)))
+    few = _few(compiled, case_limit)
+    return (
+        _join_variables(assigned, compiled) if few is None else _with_case_variables(assigned, few)
+    )
 
 
 # --- small libraries: one generated expression ------------------------------
@@ -84,46 +102,38 @@ def _when_chain(branches: list[tuple[Column, Column]], kind: str) -> Column:
     return chain
 
 
-def _match_by_case(lines: DataFrame, rows: list[Row], variables: bool) -> DataFrame:
+def _match_by_case(lines: DataFrame, rows: list[Row]) -> DataFrame:
     text = F.col("transformed")
-    numbered = list(enumerate(r for group in _libraries(rows).values() for r in group))
-    per_library = []
+    chains = []
     for key, group in _libraries(rows).items():
-        members = [(i, r) for i, r in numbered if (r.device_type, r.vendor) == key]
-        own = _when_chain(
-            [
-                (
-                    dialect.python_fullmatch(F.lit(r.regex), text)
-                    if r["mode"] == "python"
-                    else dialect.literal_matches(text, r["mode"], r.test, r.segments),
-                    F.lit(i),
-                )
-                for i, r in members
-            ],
-            "int",
-        )
-        per_library.append((_in_library(*key), own))
-    found = lines.withColumn("_t", _when_chain(per_library, "int"))
-    winner = F.col("_t")
-    out = found.withColumn(
-        "template_id",
-        _when_chain([(winner == i, F.lit(r.template_id)) for i, r in numbered], "string"),
-    )
-    if variables:
-        values = [
+        branches = [
             (
-                winner == i,
+                dialect.python_fullmatch(F.lit(r.regex), text)
+                if r["mode"] == "python"
+                else dialect.literal_matches(text, r["mode"], r.test, r.segments),
+                F.lit(r.template_id),
+            )
+            for r in group
+        ]
+        chains.append((_in_library(*key), _when_chain(branches, "string")))
+    return lines.withColumn("template_id", _when_chain(chains, "string"))
+
+
+def _with_case_variables(assigned: DataFrame, rows: list[Row]) -> DataFrame:
+    text, chains = F.col("transformed"), []
+    for key, group in _libraries(rows).items():
+        branches = [
+            (
+                F.col("template_id") == r.template_id,
                 dialect.python_groups(F.lit(r.regex), text)
                 if r["mode"] == "python"
                 else dialect.literal_captured(text, r["mode"], r.capture, r.names),
             )
-            for i, r in numbered
+            for r in group
         ]
-        out = out.withColumn(
-            "variables",
-            F.coalesce(_when_chain(values, "map<string,string>"), dialect.empty_map()),
-        )
-    return out.drop("_t")
+        chains.append((_in_library(*key), _when_chain(branches, "map<string,string>")))
+    values = F.coalesce(_when_chain(chains, "map<string,string>"), dialect.empty_map())
+    return assigned.withColumn("variables", values)
 
 
 # --- large libraries: equi-join on a word both sides must share --------------
@@ -155,48 +165,55 @@ def _bounded(df: DataFrame, columns: list[str], limit: int = BROADCAST_LIMIT) ->
     return (df.agg(F.sum(size)).first()[0] or 0) <= limit
 
 
-def _match_by_word(lines: DataFrame, compiled: DataFrame, variables: bool) -> DataFrame:
+def _match_by_word(lines: DataFrame, compiled: DataFrame) -> DataFrame:
     index = with_anchor(compiled)
-    if _bounded(index, ["regex", "test", "capture", "anchor", "template_id"]):
+    if _bounded(index, ["regex", "test", "anchor", "template_id"]):
         index = F.broadcast(index)
     text = F.col("transformed")
     words = F.array_union(F.split(text, WORD_SPLIT), F.array(F.lit("")))
     pairs = lines.select(
         *LINE_KEY, *LIBRARY_KEY, "transformed", F.explode(words).alias("anchor")
-    ).join(index.select(*LIBRARY_KEY, "seq", "anchor", "mode", "test", "regex"), [*LIBRARY_KEY, "anchor"])
+    ).join(
+        index.select(*LIBRARY_KEY, "seq", "anchor", "mode", "test", "regex"),
+        [*LIBRARY_KEY, "anchor"],
+    )
     native = pairs.filter(F.col("mode") != "python").filter(dialect.matches(text, F.col("test")))
     hits = native.select(*LINE_KEY, *LIBRARY_KEY, "seq")
-    if not compiled.filter("mode = 'python'").isEmpty():
+    if _has_python(compiled):
         other = pairs.filter("mode = 'python'").filter(
             dialect.python_fullmatch(F.col("regex"), text)
         )
         hits = hits.unionByName(other.select(*LINE_KEY, *LIBRARY_KEY, "seq"))
     # All pairs of a line are in one task, so the partial minimum already leaves
-    # one row per line and only three narrow columns are exchanged.
-    winners = hits.groupBy(*LINE_KEY).agg(F.min("seq").alias("seq"))
-    out = lines.join(winners, LINE_KEY, "left").join(
-        index.select(*LIBRARY_KEY, "seq", "template_id", "mode", "capture", "names", "regex"),
-        [*LIBRARY_KEY, "seq"],
-        "left",
-    )
-    kept = [*lines.columns, "template_id"]
-    if not variables:
-        return out.select(*kept)
-    return out.select(*kept, _captured_any(compiled).alias("variables"))
+    # one row per line and only narrow columns are exchanged.
+    winners = hits.groupBy(*LINE_KEY, *LIBRARY_KEY).agg(F.min("seq").alias("seq"))
+    named = winners.join(
+        index.select(*LIBRARY_KEY, "seq", "template_id"), [*LIBRARY_KEY, "seq"]
+    ).select(*LINE_KEY, "template_id")
+    return lines.join(named, LINE_KEY, "left").select(*lines.columns, "template_id")
+
 
+def _has_python(compiled: DataFrame) -> bool:
+    return not compiled.filter("mode = 'python'").isEmpty()
 
-def _captured_any(compiled: DataFrame) -> Column:
+
+def _join_variables(assigned: DataFrame, compiled: DataFrame) -> DataFrame:
+    """Captures by a join on the template; a hot template is no problem while the
+    templates are broadcast, and is split by the adaptive skew join otherwise."""
+    runs = compiled.select(*LIBRARY_KEY, "template_id", "mode", "capture", "names", "regex")
+    if _bounded(runs, ["regex", "capture", "template_id"]):
+        runs = F.broadcast(runs)
     text, mode = F.col("transformed"), F.col("mode")
     values = F.when(
         mode.isin("linear", "java"),
         dialect.captured(text, mode, F.col("capture"), F.col("names")),
     )
-    if not compiled.filter("mode = 'python'").isEmpty():
-        values = F.coalesce(
-            values,
-            dialect.python_groups(F.when(mode == "python", F.col("regex")), text),
-        )
-    return F.coalesce(values, dialect.empty_map())
+    if _has_python(compiled):
+        regex = F.when(mode == "python", F.col("regex"))
+        values = F.coalesce(values, dialect.python_groups(regex, text))
+    return assigned.join(runs, [*LIBRARY_KEY, "template_id"], "left").select(
+        *assigned.columns, F.coalesce(values, dialect.empty_map()).alias("variables")
+    )
 
 
 def extract_variables(lines: DataFrame, templates: DataFrame, **options) -> DataFrame:
