@@ -173,7 +173,7 @@ APP_MATCH_SQL = (
 APP_MATCH_CTE = [*APP_CTE, ("hit", APP_MATCH_SQL)]
 
 
-def complete(rows: DataFrame) -> DataFrame:
+def complete(rows: DataFrame, *extra: str) -> DataFrame:
     """Fill the template columns a fixture does not set."""
     fill = {
         "template": F.lit(""),
@@ -191,7 +191,8 @@ def complete(rows: DataFrame) -> DataFrame:
         *[
             (F.col(f.name) if f.name in rows.columns else fill[f.name]).cast(f.dataType).alias(f.name)
             for f in S.TEMPLATE.fields
-        ]
+        ],
+        *extra,
     )
 
 

@@ -295,7 +295,9 @@ def rematch_remaining(spark, sf_dir):
 
 def _user_examples(spark, sf_dir):
     assigned = M.match_templates(X.host_lines(spark, sf_dir), X.user_templates(spark, sf_dir))
-    return assigned, M.first_examples(assigned).withColumn("position", F.col("line_number"))
+    assigned = materialize(assigned, "assigned")
+    examples = M.first_examples(assigned).withColumn("position", F.col("line_number"))
+    return assigned, materialize(examples, "examples")
 
 
 def _digit_candidates(spark, sf_dir):
@@ -308,7 +310,7 @@ def _digit_candidates(spark, sf_dir):
         F.concat(F.lit("digit-"), digit).alias("candidate_id"),
         F.concat(F.lit(r"(?P<time>.*) app\["), digit, F.lit(r"(?P<rest>.*)")).alias("regex"),
         F.concat(F.lit("x app["), digit, F.lit("]: y")).alias("transformed"),
-    ).distinct()
+    ).distinct().transform(lambda df: materialize(df, "candidates"))
 
 
 def detect_conflicts(spark, sf_dir):
@@ -416,19 +418,16 @@ def _new_rows(spark, sf_dir):
     firsts = X.table(spark, sf_dir, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(
         F.min("event_id").alias("event_id")
     )
-    return X.complete(
-        firsts.select(
-            F.lit(X.DEVICE).alias("device_type"),
-            F.expr("concat('host', cast(user_id % 5 as string))").alias("vendor"),
-            F.lit(None).cast("bigint").alias("seq"),
-            F.expr("case when user_id % 3 = 0 then concat('application-host', cast(user_id % 5 as string), '-', format_string('%04d', user_id)) else 'none' end").alias("template_id"),
-            F.expr("concat('purchase (?P<u>.*) ', cast(user_id as string), case when user_id % 17 = 0 then '(' else '' end)").alias("regex"),
-            "event_id",
-        )
-    ).withColumn("source_id", F.lit("app.log")).join(
-        firsts.selectExpr("cast(user_id as string) as _u", "event_id + 1 as line_number"),
-        F.regexp_extract("regex", r"> *\.\*\) ([0-9]+)|\) ([0-9]+)", 2) == F.col("_u"),
-    ).drop("_u")
+    rows = firsts.select(
+        F.lit(X.DEVICE).alias("device_type"),
+        F.expr("concat('host', cast(user_id % 5 as string))").alias("vendor"),
+        F.lit(None).cast("bigint").alias("seq"),
+        F.expr("case when user_id % 3 = 0 then concat('application-host', cast(user_id % 5 as string), '-', format_string('%04d', user_id)) else 'none' end").alias("template_id"),
+        F.expr("concat('purchase (?P<u>.*) ', cast(user_id as string), case when user_id % 17 = 0 then '(' else '' end)").alias("regex"),
+        F.lit("app.log").alias("source_id"),
+        (F.col("event_id") + 1).alias("line_number"),
+    )
+    return X.complete(rows, "source_id", "line_number")
 
 
 def allocate_template_ids(spark, sf_dir):
@@ -575,7 +574,7 @@ def _specs(spark):
 
 def parse_timestamps(spark, sf_dir):
     out = TS.parse_timestamps(X.host_lines(spark, sf_dir), _specs(spark), year=2023)
-    return out.select("line_number", "event_time")
+    return out.select("line_number", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
 
 
 # --- learning ----------------------------------------------------------------------

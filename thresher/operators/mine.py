@@ -396,7 +396,9 @@ def mine_candidates(
     """One candidate template per pattern of the uncovered lines."""
     found = mine_patterns(lines).filter(F.col("support") >= min_support)
     patterns = generalize_words(materialize(found, "patterns"), open_values)
+    # Slots that the candidate spells out from the start.
     branches = F.transform(
         "slots", lambda s: s["single"] & (F.col("support") >= branch_support)
     )
-    return build_candidates(_with_word_slot(patterns), branches)
+    rows = _with_word_slot(patterns).withColumn("branches", branches)
+    return build_candidates(rows, F.col("branches"))

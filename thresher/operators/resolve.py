@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thresher.functions.dialect import python_render, with_compiled
@@ -36,9 +36,10 @@ def resolve_replace(
     return library, examples.join(gone, key, "left_anti")
 
 
-def open_slots(open_values: int = OPEN_VALUES):
-    """Per slot: proven to have more than ``open_values`` values."""
-    return F.transform("slots", lambda s: s["buckets"] > open_values)
+def only_open_slots(open_values: int = OPEN_VALUES) -> Column:
+    """Every slot that is not a branch is proven to have more than ``open_values`` values."""
+    opened = F.transform("slots", lambda s: s["buckets"] > open_values)
+    return F.forall(F.zip_with(opened, "branches", lambda o, b: o | b), lambda ok: ok)
 
 
 def resolve_refine(
@@ -50,8 +51,8 @@ def resolve_refine(
 ) -> DataFrame:
     """``refine_candidate``: pin the most constant slots to the sample's words.
 
-    Round ``n`` pins the ``n`` closed slots with the fewest values (ties: first
-    slot). All rounds are built and checked together; the first valid one stays.
+    Round ``n`` pins, besides the branches, the ``n`` closed slots with the fewest
+    values (ties: first slot). All rounds are built and checked together; the first valid one stays.
     Candidates without a valid round come back with the last one's reasons.
     """
     ranked = F.transform(
@@ -60,16 +61,18 @@ def resolve_refine(
                 F.transform(
                     slot_numbers(),
                     lambda i: F.struct(
-                        F.get("slots", i)["buckets"].alias("buckets"), i.alias("slot")
+                        F.get("slots", i)["buckets"].alias("buckets"),
+                        i.alias("slot"),
+                        F.get("branches", i).alias("fixed"),
                     ),
                 ),
-                lambda s: s["buckets"] <= open_values,
+                lambda s: ~s["fixed"] & (s["buckets"] <= open_values),
             )
         ),
         lambda s: s["slot"],
     )
     base = [
-        "slots", "slot_values", "constants", "kinds", "raw", "transformed", "support",
+        "slots", "branches", "slot_values", "constants", "kinds", "raw", "transformed", "support",
         "source_id", "line_number", "pattern_id", "position", "candidate_id",
     ]
     variants = (
@@ -79,7 +82,9 @@ def resolve_refine(
         .filter(F.col("attempt") <= F.size("_ranked"))
         .withColumn("_pins", F.slice("_ranked", 1, F.col("attempt")))
     )
-    pinned = F.transform(slot_numbers(), lambda i: F.array_contains("_pins", i))
+    pinned = F.transform(
+        slot_numbers(), lambda i: F.get("branches", i) | F.array_contains("_pins", i)
+    )
     keep_id = F.col("candidate_id")
     built = build_candidates(variants.withColumn("_id", keep_id), pinned).withColumn(
         "candidate_id", F.col("_id")

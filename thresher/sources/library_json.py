@@ -13,6 +13,7 @@ from thresher import schemas as S
 from thresher.operators.library import list_templates
 from thresher.operators.timestamps import usable_spec
 from thresher.schemas import LIBRARY_KEY
+from thresher.session import materialize
 
 PAGE_SIZE = 10_000
 CORRUPT = "_corrupt"
@@ -53,9 +54,8 @@ def _json_error(text: pd.Series) -> pd.Series:
 def quarantine_corrupt(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable documents, set-aside files with the error text)."""
     broken = F.col(CORRUPT).isNotNull()
-    good = files.filter(~broken)
-    bad = files.filter(broken).select("path", _json_error(F.col(CORRUPT)).alias("error"))
-    return good, bad
+    aside = materialize(files.filter(broken), "quarantined")
+    return files.filter(~broken), aside.select("path", _json_error(F.col(CORRUPT)).alias("error"))
 
 
 def _library_name(files: DataFrame) -> DataFrame:

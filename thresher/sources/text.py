@@ -48,11 +48,13 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def decode_lossy(text: Column) -> Column:
-    """Drop undecodable bytes, which the text reader shows as U+FFFD.
+    """Drop undecodable bytes.
 
-    A genuine U+FFFD in the file is dropped too.
+    They are first turned into U+FFFD; in a line that has any, a genuine U+FFFD
+    is dropped too.
     """
-    return F.replace(text, F.lit("�"), F.lit(""))
+    cleaned = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(cleaned)
 
 
 def parsed_lines(rows: DataFrame) -> DataFrame:
