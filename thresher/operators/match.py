@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thresher.functions import dialect
 from thresher.schemas import LIBRARY_KEY, LINE_KEY
+from thresher.session import materialize
 
 # Up to this many templates a generated CASE expression is used: no shuffle.
 CASE_LIMIT = 200
@@ -116,7 +117,17 @@ def _match_by_case(lines: DataFrame, rows: list[Row]) -> DataFrame:
             for r in group
         ]
         chains.append((_in_library(*key), _when_chain(branches, "string")))
-    return lines.withColumn("template_id", _when_chain(chains, "string"))
+    return lines.withColumn("template_id", _evaluated_once(_when_chain(chains, "string")))
+
+
+def _evaluated_once(column: Column) -> Column:
+    """Keep the optimizer from copying a costly expression.
+
+    A filter on a projected column is pushed below the projection with the whole
+    expression in it, which here would repeat the matching and, within it, the
+    normalization for every template. Filters stop at a generator.
+    """
+    return F.explode(F.array(column))
 
 
 def _with_case_variables(assigned: DataFrame, rows: list[Row]) -> DataFrame:
@@ -166,7 +177,8 @@ def _bounded(df: DataFrame, columns: list[str], limit: int = BROADCAST_LIMIT) ->
 
 
 def _match_by_word(lines: DataFrame, compiled: DataFrame) -> DataFrame:
-    index = with_anchor(compiled)
+    # Read four times below: the compilation should run once.
+    index = materialize(with_anchor(compiled), "index")
     if _bounded(index, ["regex", "test", "anchor", "template_id"]):
         index = F.broadcast(index)
     text = F.col("transformed")
@@ -179,7 +191,7 @@ def _match_by_word(lines: DataFrame, compiled: DataFrame) -> DataFrame:
     )
     native = pairs.filter(F.col("mode") != "python").filter(dialect.matches(text, F.col("test")))
     hits = native.select(*LINE_KEY, *LIBRARY_KEY, "seq")
-    if _has_python(compiled):
+    if _has_python(index):
         other = pairs.filter("mode = 'python'").filter(
             dialect.python_fullmatch(F.col("regex"), text)
         )
