@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from thresher import schemas as S
 from thresher.functions import text as X
 from thresher.operators.lines import WHITESPACE, normalize_lines
+from thresher.session import spread
 
 DEVICE, VENDOR = "application", "generic"
 
@@ -42,7 +43,7 @@ _DUCK = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # --- lines -----------------------------------------------------------------------

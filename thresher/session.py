@@ -58,3 +58,12 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     path = f"{folder or scratch_dir(spark)}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input of few splits (a small file has one row group).
+
+    A large input has more splits than the cluster has cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
