@@ -213,8 +213,14 @@ def _compile_udf(regex: pd.Series) -> pd.DataFrame:
 
 
 def with_compiled(templates: DataFrame, regex: str = "regex") -> DataFrame:
-    """Add the compiled columns to a template table (one row per template)."""
-    return templates.withColumn("_c", _compile_udf(F.col(regex))).select(
+    """Add the compiled columns to a template table (one row per template).
+
+    The function is declared non-deterministic to stay where it is written: a
+    filter on ``valid`` would otherwise carry it below the joins and aggregates
+    that make the template table small.
+    """
+    compiled = _compile_udf.asNondeterministic()(F.col(regex))
+    return templates.withColumn("_c", compiled).select(
         *templates.columns, "_c.*"
     )
 

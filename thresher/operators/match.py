@@ -177,8 +177,8 @@ def _bounded(df: DataFrame, columns: list[str], limit: int = BROADCAST_LIMIT) ->
 
 
 def _match_by_word(lines: DataFrame, compiled: DataFrame) -> DataFrame:
-    # Read four times below: the compilation should run once.
-    index = materialize(with_anchor(compiled), "index")
+    # Both tables are read several times: compile and choose the words once.
+    index = materialize(with_anchor(materialize(compiled, "compiled")), "index")
     if _bounded(index, ["regex", "test", "anchor", "template_id"]):
         index = F.broadcast(index)
     text = F.col("transformed")
