@@ -177,6 +177,7 @@ APP_MATCH_CTE = [*APP_CTE, ("hit", APP_MATCH_SQL)]
 def complete(rows: DataFrame, *extra: str) -> DataFrame:
     """Fill the template columns a fixture does not set."""
     fill = {
+        "seq": F.lit(None),
         "template": F.lit(""),
         "variables": F.array(),
         "constants": F.array(),

@@ -429,6 +429,22 @@ ORACLES = {
     "resolve_replace": with_sql(*conflicts(500))
     + "select u.device_type, u.vendor, u.template_id, u.is_active and not (u.template_id in (select template_id from capped)) as is_active,"
     " u.template_id in (select template_id from examples) and not (u.template_id in (select template_id from capped)) as has_example from users u",
+    "resolve_refine": with_sql(
+        *APP_CTE, ("click", "select min(line_number) as line_number, arg_min(transformed, line_number) as t from norm where contains(transformed, 'GET /click/')")
+    )
+    + "select line_number, cast(1 as bigint) as attempt, true as is_valid,"
+    " concat('<time1> host', regexp_extract(t, 'host([0-9])', 1), ' app[<num3>]: GET /click/<num4> 302 <num6>ms') as template,"
+    " concat('(?P<time1>.*) host', regexp_extract(t, 'host([0-9])', 1), ' app\\[(?P<num3>.*)\\]: GET /click/(?P<num4>.*) 302 (?P<num6>.*)ms') as regex from click",
+    "build_conflict_requests": with_sql(*conflicts(500))
+    + "select device_type, vendor, candidate_id, 'conflict' as kind, count(*) as conflicts, arg_min(example, k) as first_example from capped group by all",
+    "build_refinement_requests": with_sql(*ATTEMPTS)
+    + "select candidate_id, 'refine' as kind, concat('Source: device_type=application, vendor=host', cast(cast(candidate_id as bigint) % 5 as varchar), chr(10), chr(10),"
+    " 'Problems:', chr(10), '- generated regex does not match the source sample', chr(10), chr(10), 'Regex: ', regex, chr(10), chr(10),"
+    " 'Groups: ', case when regex = 'nothing' then '' else 'u' end, chr(10), chr(10), 'Log line: user ', candidate_id, ' done') as content"
+    " from attempts where attempt = 0 and not is_valid and regex <> '('",
+    "build_source_requests": with_sql(("many", MANY_SQL), SAMPLES)
+    + "select source_id, kind, string_agg(trim(raw_line, " + WS_SQL + "), chr(10) order by line_number) as content"
+    " from samples, (select unnest(['route', 'timestamp']) as kind) where trim(raw_line, " + WS_SQL + ") <> '' group by all",
     "learn_templates": with_sql(*LEARNED) + "select line_number, new_id as template_id from gained",
     "learning_audit": with_sql(*LEARNED)
     + "select line_number, concat('application-generic-', left(sha1(template), 8)) as candidate_id, new_id as template_id, 'stored' as outcome,"

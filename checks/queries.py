@@ -728,6 +728,34 @@ def build_proposal_requests(spark, sf_dir):
     )
 
 
+def build_conflict_requests(spark, sf_dir):
+    _, examples = _user_examples(spark, sf_dir)
+    found = V.detect_conflicts(with_compiled(_digit_candidates(spark, sf_dir)), examples)
+    pairs = V.conflict_pairs(found, X.user_templates(spark, sf_dir), examples)
+    requests = P.build_conflict_requests(found, pairs)
+    return requests.select(
+        *LIBRARY_KEY, "candidate_id", "kind",
+        (F.size(F.split(F.get("messages", 1)["content"], "\n  regex: ")) - 1).cast("bigint").alias("conflicts"),
+        F.regexp_extract(F.get("messages", 1)["content"], r"example: (.*)", 1).alias("first_example"),
+    )
+
+
+def build_refinement_requests(spark, sf_dir):
+    """Attempts that fail their checks, with reasons and group names."""
+    examples = _empty_examples(spark)
+    first = _attempts(spark, sf_dir).filter("attempt = 0 and regex <> '('")
+    requests = P.build_refinement_requests(V.validate_candidates(with_compiled(first), examples))
+    return requests.select("candidate_id", "kind", F.get("messages", 1)["content"].alias("content"))
+
+
+def build_source_requests(spark, sf_dir):
+    """Routing and timestamp requests of every source."""
+    lists = RT.sample_lists(N.sample_head(X.many_sources(spark, sf_dir)))
+    return P.build_source_requests(lists).select(
+        "source_id", "kind", F.get("messages", 1)["content"].alias("content")
+    )
+
+
 # --- whole jobs ----------------------------------------------------------------------
 
 
@@ -871,6 +899,9 @@ QUERIES = {
     "learn_templates": learn_templates_query,
     "ingest_proposals": ingest_proposals,
     "build_proposal_requests": build_proposal_requests,
+    "build_conflict_requests": build_conflict_requests,
+    "build_refinement_requests": build_refinement_requests,
+    "build_source_requests": build_source_requests,
     "learning_audit": learning_audit,
     "parse_logs": parse_logs_query,
     "parse_many_sources": parse_many_sources,

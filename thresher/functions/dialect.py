@@ -188,19 +188,18 @@ def compile_regex(regex: str | None) -> tuple:
     if regex is None:
         return (False, "missing regex", None, None, None, [], [], [])
     try:
-        compiled = re.compile(regex)
+        tree = _parser.parse(regex)
+        names, named = list(tree.state.groupdict), set(tree.state.groupdict.values())
+        default_flags = tree.state.flags == re.UNICODE
+        parts = _literal_parts(tree, named) if default_flags else None
+        if parts is not None:
+            test, capture = _linear_patterns(*parts)
+            return (True, None, "linear", test, capture, names, parts[0], _whole_words(parts[0]))
+        # Some errors only show when the parsed regex is compiled.
+        re.compile(regex)
     except (re.error, OverflowError, RecursionError) as exc:
         return (False, str(exc), None, None, None, [], [], [])
-    names = list(compiled.groupindex)
-    named = set(compiled.groupindex.values())
-    if compiled.flags != re.UNICODE:
-        return (True, None, "python", None, None, names, [], [])
-    tree = _parser.parse(regex)
-    parts = _literal_parts(tree, named)
-    if parts is not None:
-        test, capture = _linear_patterns(*parts)
-        return (True, None, "linear", test, capture, names, parts[0], _whole_words(parts[0]))
-    body = _java(tree, named)
+    body = _java(tree, named) if default_flags else None
     if body is None or not _always_captures(tree, named):
         return (True, None, "python", None, None, names, [], [])
     whole = rf"(?d)\A(?:{body})\z"

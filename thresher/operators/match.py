@@ -44,10 +44,18 @@ def match_templates(
     ``device_type, vendor`` of their library.
     """
     return match_compiled(
-        lines, compiled_templates(templates), variables=variables, case_limit=case_limit
+        lines,
+        compiled_templates(templates),
+        variables=variables,
+        case_limit=_limit(templates.filter("is_active"), case_limit),
     )
 
 
+def _limit(templates: DataFrame, case_limit: int) -> int:
+    """0 if there are more templates: known before any regex is compiled."""
+    return case_limit if templates.limit(case_limit + 1).count() <= case_limit else 0
+
+
 def match_compiled(
     lines: DataFrame,
     compiled: DataFrame,
@@ -74,7 +82,7 @@ def with_variables(
 ) -> DataFrame:
     """Add the captured values to lines that already have their template."""
     compiled = compiled_templates(templates.withColumn("is_active", F.lit(True)))
-    few = _few(compiled, case_limit)
+    few = _few(compiled, _limit(templates, case_limit))
     return (
         _join_variables(assigned, compiled) if few is None else _with_case_variables(assigned, few)
     )

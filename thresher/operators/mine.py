@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from thresher.functions import text as X
 from thresher.functions.dialect import SEPARATOR, captured_values, with_compiled
 from thresher.schemas import LIBRARY_KEY, LINE_KEY
-from thresher.session import materialize
+from thresher.session import materialize, spread
 
 # Shapes of instance data, most specific first. Only constructs
 # that mean the same in Java, RE2 and Python.
@@ -42,6 +42,10 @@ WORD = "[A-Za-z_]+"
 BRANCH_SUPPORT = 10
 # A position with more values than this is open (instance data).
 OPEN_VALUES = 20
+# So many other words must remain when a word becomes a slot; a template with
+# hardly any constant text would match lines of every kind.
+KEPT_WORDS = 2
+SPREAD_PATTERNS = 64
 
 # Joins constants while words are looked at; patterns containing it are left alone.
 SLOT = "\x00"
@@ -230,6 +234,7 @@ def open_word_places(patterns: DataFrame, open_values: int = OPEN_VALUES) -> Dat
     spelled = (
         patterns.filter(~F.contains(F.col("transformed"), F.lit(SLOT)))
         .select(*key, words.alias("words"), seps.alias("seps"))
+        .filter(F.size("words") > KEPT_WORDS)
         .withColumn("h1", fold(1))
         .withColumn("h2", fold(2))
         .select(
@@ -415,7 +420,9 @@ def mine_candidates(
 ) -> DataFrame:
     """One candidate template per pattern of the uncovered lines."""
     found = mine_patterns(lines).filter(F.col("support") >= min_support)
-    patterns = generalize_words(materialize(found, "patterns"), open_values)
+    # Few bytes but much work per pattern.
+    table = spread(materialize(found, "patterns"), SPREAD_PATTERNS)
+    patterns = generalize_words(table, open_values)
     # Slots that the candidate spells out from the start.
     branches = F.transform(
         "slots", lambda s: s["single"] & (F.col("support") >= branch_support)

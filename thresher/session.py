@@ -60,10 +60,12 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, at_most: int | None = None) -> DataFrame:
     """Use all cores for an input of few splits (a small file has one row group).
 
     A large input has more splits than the cluster has cores and stays as it is.
+    For scans only: asking any other plan for its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(cores, at_most or cores)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
