@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thresher.functions import dialect
 from thresher.schemas import LIBRARY_KEY, LINE_KEY
-from thresher.session import materialize
+from thresher.session import bounded, materialize
 
 # Up to this many templates a generated CASE expression is used: no shuffle.
 CASE_LIMIT = 200
@@ -178,16 +178,10 @@ def with_anchor(compiled: DataFrame) -> DataFrame:
     )
 
 
-def _bounded(df: DataFrame, columns: list[str], limit: int = BROADCAST_LIMIT) -> bool:
-    """True when the measured text of ``columns`` stays below ``limit`` bytes."""
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))
-    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
-
-
 def _match_by_word(lines: DataFrame, compiled: DataFrame) -> DataFrame:
     # Both tables are read several times: compile and choose the words once.
     index = materialize(with_anchor(materialize(compiled, "compiled")), "index")
-    if _bounded(index, ["regex", "test", "anchor", "template_id"]):
+    if bounded(index, ["regex", "test", "anchor", "template_id"], BROADCAST_LIMIT):
         index = F.broadcast(index)
     text = F.col("transformed")
     words = F.array_union(F.split(text, WORD_SPLIT), F.array(F.lit("")))
@@ -221,7 +215,7 @@ def _join_variables(assigned: DataFrame, compiled: DataFrame) -> DataFrame:
     """Captures by a join on the template; a hot template is no problem while the
     templates are broadcast, and is split by the adaptive skew join otherwise."""
     runs = compiled.select(*LIBRARY_KEY, "template_id", "mode", "capture", "names", "regex")
-    if _bounded(runs, ["regex", "capture", "template_id"]):
+    if bounded(runs, ["regex", "capture", "template_id"], BROADCAST_LIMIT):
         runs = F.broadcast(runs)
     text, mode = F.col("transformed"), F.col("mode")
     values = F.when(

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from thresher.functions import dialect
 from thresher.schemas import LIBRARY_KEY
+from thresher.session import bounded, materialize
 
 MAX_CHECKS = 500
 MAX_CONFLICTS = 5
 SHOWN_CONFLICTS = 3
+BROADCAST_LIMIT = 256 << 20
 
 # The texts of the reasons.
 INVALID_REGEX = "invalid regex produced by LLM ({})"
@@ -50,7 +52,11 @@ def detect_conflicts(
     ``candidates`` hold the compiled columns, ``candidate_id`` and, optionally,
     ``position``: then only examples before that position count.
     """
-    joined = candidates.join(example_lists(examples, max_checks), LIBRARY_KEY, "left")
+    lists = materialize(example_lists(examples, max_checks), "example_lists")
+    if bounded(lists, [F.to_json("examples")], BROADCAST_LIMIT):
+        # A library with most of the candidates stays spread over all tasks.
+        lists = F.broadcast(lists)
+    joined = candidates.join(lists, LIBRARY_KEY, "left")
     other = lambda e: e["template_id"] != F.col("candidate_id")
     checked = F.slice(F.filter("examples", other), 1, max_checks)
     if "position" in candidates.columns:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -29,8 +30,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 @functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="thresher-")
+def _local_root() -> tempfile.TemporaryDirectory:
+    """Removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="thresher-", ignore_cleanup_errors=True)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,7 +46,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        root = _local_root()
+        root = _local_root().name
     return f"{root.rstrip('/')}/thresher-{uuid.uuid4().hex}"
 
 
@@ -60,6 +62,15 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, columns: list, limit: int) -> bool:
+    """True when the measured text of ``columns`` stays below ``limit`` bytes.
+
+    The check behind every broadcast of a table that can grow.
+    """
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
 def spread(df: DataFrame, at_most: int | None = None) -> DataFrame:
     """Use all cores for an input of few splits (a small file has one row group).
 
