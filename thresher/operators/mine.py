@@ -171,8 +171,8 @@ def classify_slots(
     grouping by value reduces the rows before the exchange.
     """
     key = [*LIBRARY_KEY, "pattern_id", "position"]
-    known = _statistics(lines)
-    slots = known.filter("position > 0").select(*key, "support", "buckets", "first")
+    known = _statistics(lines).filter("position > 0").select(*key, "support", "buckets")
+    slots = materialize(known, "slots")
     closed = slots.filter(F.col("buckets") <= open_values).select(*key)
     values = mask_lines(lines).select(
         *LIBRARY_KEY, "pattern_id", F.posexplode("slot_values").alias("p", "value")
