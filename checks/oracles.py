@@ -222,15 +222,19 @@ LEARNED = [
     *APP_MATCH_CTE,
     ("rest", "select *, 'application' as device_type, 'generic' as vendor from (select * exclude (template_id) from hit where template_id is null)"),
     *mined("rest"),
+    (
+        "uncovered",
+        "select * from cand c where not exists (select 1 from cand e where e.line_number < c.line_number"
+        " and regexp_full_match(c.transformed, e.regex))",
+    ),
     (
         "numbered",
-        "select *, concat('application-generic-', printf('%04d', row_number() over (order by line_number))) as new_id from cand",
+        "select *, concat('application-generic-', printf('%04d', row_number() over (order by line_number))) as new_id from uncovered",
     ),
     (
         "gained",
-        "select r.source_id, r.line_number, r.raw, r.transformed, n.new_id, n.regex from rest r left join"
-        " (select n.new_id, n.regex, m.line_number from masked m join patterns p on p.constants = m.constants join numbered n on n.line_number = p.line_number) n"
-        " on n.line_number = r.line_number",
+        "select r.source_id, r.line_number, r.raw, r.transformed, min(n.new_id) as new_id from rest r left join numbered n"
+        " on regexp_full_match(r.transformed, n.regex) group by all",
     ),
 ]
 PARSED = [
