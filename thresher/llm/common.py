@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from thresher.session import bounded, materialize, scratch_dir
@@ -26,6 +29,18 @@ def unsigned_text_crc(text: str) -> Column:
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long")
 
 
+def add_columns(rows: DataFrame, compute: Callable[[pa.RecordBatch], dict], added: str) -> DataFrame:
+    """All rows and columns with those ``compute`` makes of a batch (``added``: their types)."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in compute(batch).items()}
+            yield pa.RecordBatch.from_arrays(batch.columns + list(new.values()), batch.schema.names + list(new))
+
+    shape = T.StructType(rows.schema.fields + T._parse_datatype_string(added).fields)
+    return rows.mapInArrow(extend, shape)
+
+
 def attach(rows: DataFrame, side: DataFrame, key: list[str], weight: str, how: str = "left") -> DataFrame:
     """Join ``side`` (unique on ``key``) to ``rows`` whose keys may be very uneven.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thresher.llm.common import fold
+from thresher.llm.common import add_columns, fold
 
 ORDER = 3
 TRAIN_BYTES = 6_000_000
@@ -159,6 +159,28 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang", train_by
     return Model(languages, [Tree.of(groups[k]["gram"].to_numpy().astype(np.uint32), groups[k]["n"].to_numpy()) for k in languages])
 
 
+def tagged(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The documents with ``_lang_pred`` and ``_lang_score``, as ``identify`` defines them."""
+    if model is None:
+        return documents.withColumns({"_lang_pred": F.lit(UNDETERMINED), "_lang_score": F.lit(0.0)})
+    letters = F.coalesce(F.col(text).cast("string").rlike("\\p{L}"), F.lit(False))
+    rows = documents.withColumn("_letters", letters)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def predict(batch: pa.RecordBatch) -> dict:
+        given = np.array(batch["_letters"].to_pylist(), bool)
+        texts = batch[text].to_pylist()
+        bits = shared.value.lengths([t if g else "" for t, g in zip(texts, given)])
+        rest = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
+        names = np.array(shared.value.languages, object)[bits.argmin(axis=1)]
+        return {
+            "_lang_pred": pa.array(np.where(given, names, UNDETERMINED), pa.string()),
+            "_lang_score": np.where(given, 1.0 / rest, 0.0),
+        }
+
+    return add_columns(rows, predict, "_lang_pred string, _lang_score double").drop("_letters")
+
+
 def identify(documents: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score``: the language with the shortest code of the whole text.
 
@@ -166,31 +188,10 @@ def identify(documents: DataFrame, model: Model | None, doc_id: str = "doc_id",
     that is null or has no letter is ``und`` with score 0, as is every text without a
     model. Equal lengths go to the language first by name. Repeated rows stay.
     """
-    letters = F.coalesce(F.col(text).cast("string").rlike("\\p{L}"), F.lit(False))
-    rows = documents.select(
-        F.col(doc_id).alias("doc_id"), F.when(letters, F.col(text).cast("string")).alias("text")
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return tagged(rows, model).select(
+        "doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score")
     )
-    out = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
-    if model is None:
-        return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            given = np.array([t is not None for t in texts], bool)
-            bits = shared.value.lengths([t or "" for t in texts])
-            rest = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
-            names = np.array(shared.value.languages, object)[bits.argmin(axis=1)]
-            yield pa.record_batch(
-                {
-                    "doc_id": batch["doc_id"],
-                    "lang_pred": pa.array(np.where(given, names, UNDETERMINED), pa.string()),
-                    "score": np.where(given, 1.0 / rest, 0.0),
-                }
-            )
-
-    return rows.mapInArrow(predict, out)
 
 
 def held_out(doc_id: str = "doc_id"):

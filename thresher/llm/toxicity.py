@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thresher.llm.common import fold
+from thresher.llm.common import add_columns, fold
 from thresher.session import materialize
 
 THRESHOLD = 0.7
@@ -222,23 +222,27 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     return Model(float(bias), {w: float(weights[i]) for w, i in place.items() if weights[i]})
 
 
+def tagged(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The documents with ``_toxic_score`` and ``_toxic``, as ``score`` defines them."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batch: pa.RecordBatch) -> dict:
+        values = shared.value.scores(batch[text].to_pylist())
+        return {"_toxic_score": values, "_toxic": (values >= THRESHOLD).astype(np.int32)}
+
+    return add_columns(documents, scored, "_toxic_score double, _toxic int")
+
+
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every whole text; predicted is 1 from 0.7 on.
 
     Null, empty and wordless texts get the score of a text without known words.
     Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = shared.value.scores(batch["text"].to_pylist())
-            flags = (values >= THRESHOLD).astype(np.int32)
-            yield pa.record_batch({"doc_id": batch["doc_id"], "score": values, "predicted": flags})
-
-    return rows.mapInArrow(scored, f"doc_id {kind}, score double, predicted int")
+    return tagged(rows, model).select(
+        "doc_id", F.col("_toxic_score").alias("score"), F.col("_toxic").alias("predicted")
+    )
 
 
 def held_out(doc_id: str = "doc_id"):
