@@ -130,9 +130,14 @@ def best_of(queries: pd.DataFrame, postings: pd.DataFrame, nearest: int) -> pd.D
         for at in range(0, len(queries), BATCH):
             part = queries.iloc[at : at + BATCH]
             own = np.stack(part["vector"].to_numpy()).astype(float)
-            near = own @ theirs.T >= part["bound"].to_numpy()[:, None]
-            near &= part["query_id"].to_numpy()[:, None] != ids[None]
-            rows, columns = np.nonzero(near)
+            rough = own @ theirs.T
+            rough[part["query_id"].to_numpy()[:, None] == ids[None]] = -np.inf
+            least = part["bound"].to_numpy()
+            if len(ids) > nearest:
+                # Only what may be among the nearest of this cell is looked at again.
+                last = np.partition(rough, -nearest, axis=1)[:, -nearest]
+                least = np.maximum(least, last - 1e-9 * (1 + np.abs(np.where(np.isfinite(last), last, 0))))
+            rows, columns = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
             score = np.einsum("ij,ij->i", own[rows], theirs[columns])
             order = np.lexsort((ids[columns], -score, rows))
             rows, columns, score = rows[order], columns[order], score[order]
