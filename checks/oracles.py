@@ -30,22 +30,17 @@ CANDIDATES = (
 )
 
 
-def conflicts(checks: int, cap: int = 5, where: str = "true") -> list[tuple[str, str]]:
+def conflicts(where: str = "true") -> list[tuple[str, str]]:
     return [
         *HOST_CTES,
         EXAMPLES,
         CANDIDATES,
-        (
-            "ranked",
-            "select *, row_number() over (partition by vendor order by line_number) as n from examples",
-        ),
         (
             "found",
             "select c.device_type, c.vendor, c.candidate_id, e.template_id, e.transformed as example, e.line_number,"
             " row_number() over (partition by c.vendor, c.candidate_id order by e.line_number) as k"
-            f" from candidates c join ranked e on c.vendor = e.vendor and e.n <= {checks} and regexp_full_match(e.transformed, c.re2) where {where}",
+            f" from candidates c join examples e on c.vendor = e.vendor and regexp_full_match(e.transformed, c.re2) where {where}",
         ),
-        ("capped", f"select * from found where k <= {cap}"),
     ]
 
 
@@ -186,15 +181,15 @@ ATTEMPTS = [
         "attempts",
         "select cast(user_id as varchar) as candidate_id, attempt, case event_type when 'error' then '(' when 'view' then 'user (?P<u>.*)'"
         " when 'click' then 'nothing' when 'signup' then concat('user ', cast(user_id as varchar), ' (?P<what>.*)') else 'user (?P<u>.*) gone' end as regex,"
-        " event_type in ('view', 'signup') as is_valid from ranked where attempt <= 4",
+        " event_type in ('view', 'signup') as is_valid from ranked",
     ),
 ]
 
 
-def first_attempt(limit: int) -> str:
+def first_attempt() -> str:
     return with_sql(*ATTEMPTS) + (
         "select candidate_id, attempt, regex, is_valid from (select *, row_number() over (partition by candidate_id order by is_valid desc,"
-        f" case when is_valid then attempt else -attempt end) as k from attempts where attempt <= {limit}) where k = 1"
+        f" case when is_valid then attempt else -attempt end) as k from attempts) where k = 1"
     )
 
 
@@ -297,11 +292,11 @@ ORACLES = {
     " case when template_id is null then 'unmatched' else 'matched' end as part from hit group by template_id",
     "rematch_remaining": with_sql(*APP_MATCH_CTE)
     + f"select line_number, template_id from hit where not regexp_full_match(transformed, {quoted(plain(X.APP_TEMPLATES[1][2]))})",
-    "detect_conflicts": with_sql(*conflicts(20))
+    "detect_conflicts": with_sql(*conflicts())
     + "select c.device_type, c.vendor, c.candidate_id, coalesce(string_agg(f.template_id, '|' order by k), '') as conflicts"
-    " from candidates c left join capped f using (vendor, candidate_id) group by all",
-    "conflict_pairs": with_sql(*conflicts(500))
-    + "select f.device_type, f.vendor, f.candidate_id, f.template_id, u.regex, f.example from capped f join users u using (template_id) where u.seq % 2 = 0",
+    " from candidates c left join found f using (vendor, candidate_id) group by all",
+    "conflict_pairs": with_sql(*conflicts())
+    + "select f.device_type, f.vendor, f.candidate_id, f.template_id, u.regex, f.example from found f join users u using (template_id) where u.seq % 2 = 0",
     "template_usage": with_sql(*HOST_CTES)
     + "select u.device_type, u.vendor, u.template_id, any_value(u.usage_count) + count(h.line_number) as usage_count"
     " from users u left join hhit h on h.template_id = u.template_id group by all",
@@ -370,12 +365,12 @@ ORACLES = {
     + "select u.device_type, u.vendor, u.seq, u.template_id, coalesce(f.regex, u.regex) as regex,"
     " case when f.regex is null then u.usage_count else 0 end as usage_count from users u left join usable f on f.template_id = u.template_id"
     " union all select device_type, vendor, seq, template_id, regex, 0 from a",
-    "first_valid_attempt": first_attempt(2),
-    "refine_invalid": first_attempt(3),
+    "first_valid_attempt": first_attempt(),
+    "refine_invalid": first_attempt(),
     "ordered_results": with_sql(*APP_MATCH_CTE) + "select source_id, line_number, template_id, raw from hit order by line_number",
     "render_template": with_sql(*HOST_CTES, EXAMPLES)
     + f"select e.device_type, e.vendor, e.template_id, u.template, {constants_sql('u.template')} as constants,"
-    " left(repeat(e.transformed, 5), 200) as notes from examples e join users u using (template_id)",
+    " repeat(e.transformed, 5) as notes from examples e join users u using (template_id)",
     "template_variables": with_sql(*HOST_CTES, EXAMPLES)
     + "select e.device_type, e.vendor, e.template_id, concat('time=', regexp_extract(e.transformed, u.re2, 1), '|message=',"
     " regexp_extract(e.transformed, u.re2, 2)) as variables from examples e join users u using (template_id)",
@@ -391,8 +386,25 @@ ORACLES = {
     + "select line_number, regexp_replace(transformed, '\\{[^{}]*\\}', '<json>', 'g') as masked,"
     " cast(len(regexp_extract_all(transformed, '\\{[^{}]*\\}')) as bigint) as payloads,"
     " coalesce(array_to_string(list_transform(regexp_extract_all(transformed, '\\{[^{}]*\\}'), lambda p: array_to_string(json_keys(p), ',')), '|'), '') as keys from norm",
-    "routing_cache_key": "select count(*) as sources, min(source_id) as first_source from (select distinct source, source as source_id from documents)"
-    " group by substring(source_id, 4, 1)",
+    "routing_cache_key": with_sql(
+        (
+            "dl",
+            "select cast(doc_id as varchar) as source_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_number,"
+            " unnest(string_split(text, chr(10))) as raw_line from documents",
+        ),
+        ("heads", "select *, row_number() over (partition by source_id order by line_number) as k from dl where raw_line <> ''"),
+        (
+            "lists",
+            f"select source_id, list(trim(raw_line, {WS_SQL}) order by line_number) as samples from heads"
+            f" where k <= 12 and trim(raw_line, {WS_SQL}) <> '' group by source_id",
+        ),
+    )
+    + "select count(*) as sources, min(source_id) as first_source from lists group by samples",
+    "parse_timestamps_formats": "select event_id + 1 as line_number, case when user_id % 5 = 0"
+    " then make_timestamp(2024, month(ts), day(ts), hour(ts), minute(ts), second(ts)) else date_trunc('second', ts) end as event_time from events",
+    "learn_proposals": "select conv_id * 1000 + turn + 1 as line_number, concat('application-generic-', printf('%04d',"
+    " (select count(*) from (select role, min(conv_id * 1000 + turn) as f from conversations group by role) r"
+    " where r.f <= (select min(conv_id * 1000 + turn) from conversations d where d.role = c.role)))) as template_id from conversations c",
     "route_sources": with_sql(*ROUTES) + "select source_id, device_type, vendor, reasoning from routing",
     "infer_timestamp_spec": with_sql(("many", MANY_SQL), SAMPLES)
     + "select source_id, '%Y-%m-%d %H:%M:%S' as format, true as has_year, arg_min(e, line_number) as example from"
@@ -423,29 +435,30 @@ ORACLES = {
     )
     + "select min(line_number) as line_number, count(*) as support, concat('shipper <num1> in ', coalesce(word, '<word2>'), ' ready') as template,"
     " concat('shipper (?P<num1>.*) in ', coalesce(word, '(?P<word2>.*)'), ' ready') as regex from g group by word",
-    "validate_candidates": with_sql(*conflicts(500, where="c.candidate_id not in ('digit-1', 'digit-2')"))
+    "validate_candidates": with_sql(*conflicts(where="c.candidate_id not in ('digit-1', 'digit-2')"))
     + "select device_type, vendor, candidate_id, candidate_id not in ('digit-1', 'digit-2') and n = 0 as is_valid,"
     " case when candidate_id = 'digit-1' then 'invalid regex' when candidate_id = 'digit-2' then 'generated regex does not match the source sample'"
     " when n > 0 then concat('conflicts with existing templates: ', shown) else '' end as reasons, conflicts from"
-    " (select c.device_type, c.vendor, c.candidate_id, count(f.template_id) as n, string_agg(f.template_id, ', ' order by f.k) filter (f.k <= 3) as shown,"
+    " (select c.device_type, c.vendor, c.candidate_id, count(f.template_id) as n, string_agg(f.template_id, ', ' order by f.k) as shown,"
     " coalesce(string_agg(f.template_id, '|' order by f.k), '') as conflicts"
-    " from candidates c left join capped f using (vendor, candidate_id) group by c.device_type, c.vendor, c.candidate_id)",
-    "resolve_replace": with_sql(*conflicts(500))
-    + "select u.device_type, u.vendor, u.template_id, u.is_active and not (u.template_id in (select template_id from capped)) as is_active,"
-    " u.template_id in (select template_id from examples) and not (u.template_id in (select template_id from capped)) as has_example from users u",
+    " from candidates c left join found f using (vendor, candidate_id) group by c.device_type, c.vendor, c.candidate_id)",
+    "resolve_replace": with_sql(*conflicts())
+    + "select u.device_type, u.vendor, u.template_id, u.is_active and not (u.template_id in (select template_id from found)) as is_active,"
+    " u.template_id in (select template_id from examples) and not (u.template_id in (select template_id from found)) as has_example from users u",
     "resolve_refine": with_sql(
         *APP_CTE, ("click", "select min(line_number) as line_number, arg_min(transformed, line_number) as t from norm where contains(transformed, 'GET /click/')")
     )
     + "select line_number, cast(1 as bigint) as attempt, true as is_valid,"
     " concat('<time1> host', regexp_extract(t, 'host([0-9])', 1), ' app[<num3>]: GET /click/<num4> 302 <num6>ms') as template,"
     " concat('(?P<time1>.*) host', regexp_extract(t, 'host([0-9])', 1), ' app\\[(?P<num3>.*)\\]: GET /click/(?P<num4>.*) 302 (?P<num6>.*)ms') as regex from click",
-    "build_conflict_requests": with_sql(*conflicts(500))
-    + "select device_type, vendor, candidate_id, 'conflict' as kind, count(*) as conflicts, arg_min(example, k) as first_example from capped group by all",
+    "build_conflict_requests": with_sql(*conflicts())
+    + "select device_type, vendor, candidate_id, 'conflict' as kind, count(*) as conflicts, arg_min(example, k) as first_example from found group by all",
     "build_refinement_requests": with_sql(*ATTEMPTS)
     + "select candidate_id, 'refine' as kind, concat('Source: device_type=application, vendor=host', cast(cast(candidate_id as bigint) % 5 as varchar), chr(10), chr(10),"
-    " 'Problems:', chr(10), '- generated regex does not match the source sample', chr(10), chr(10), 'Regex: ', regex, chr(10), chr(10),"
-    " 'Groups: ', case when regex = 'nothing' then '' else 'u' end, chr(10), chr(10), 'Log line: user ', candidate_id, ' done') as content"
-    " from attempts where attempt = 0 and not is_valid and regex <> '('",
+    " 'Problems:', chr(10), '- ', case when regex = '(' then 'invalid regex produced by LLM (missing ), unterminated subpattern at position 0)'"
+    " else 'generated regex does not match the source sample' end, chr(10), chr(10), 'Regex: ', regex, chr(10), chr(10),"
+    " 'Groups: ', case when regex in ('nothing', '(') then '' else 'u' end, chr(10), chr(10), 'Log line: user ', candidate_id, ' done',"
+    " chr(10), chr(10), 'Attempt: ', cast(attempt as varchar)) as content from attempts where not is_valid",
     "build_source_requests": with_sql(("many", MANY_SQL), SAMPLES)
     + "select source_id, kind, string_agg(trim(raw_line, " + WS_SQL + "), chr(10) order by line_number) as content"
     " from samples, (select unnest(['route', 'timestamp']) as kind) where trim(raw_line, " + WS_SQL + ") <> '' group by all",
@@ -468,10 +481,10 @@ ORACLES = {
     "parse_logs": with_sql(*PARSED) + "select line_number, template_id, raw from parsed",
     "parsed_wide": with_sql(*PARSED)
     + f"select line_number, template_id, case when template_id = 'application-generic-0001' then {group_values(SIGNUP)} else {APP_VALUES} end as variables from parsed",
-    "parse_many_sources": with_sql(("many", MANY_SQL), ("mnorm", norm_sql("many")))
-    + "select source_id, 'application' as device_type, 'generic' as vendor, count(*) as processed_lines,"
+    "parse_many_sources": with_sql(*ROUTES, ("mnorm", norm_sql("many")))
+    + "select source_id, device_type, vendor, count(*) as processed_lines,"
     " count(*) filter (transformed <> '') as matched_lines, count(*) filter (transformed = '') as unmatched_lines"
-    " from mnorm where not starts_with(source_id, 'src') group by source_id",
+    " from mnorm join routing using (source_id) group by source_id, device_type, vendor",
     "stream_match": with_sql(*APP_MATCH_CTE) + f"select line_number, template_id, {APP_VALUES} as variables from hit",
     "stream_learn": with_sql(*APP_CTE, ("src", "select *, 'application' as device_type, 'generic' as vendor from norm"), *mined("src"))
     + "select n.line_number, p.id as template_id from norm n left join masked m using (line_number) left join"

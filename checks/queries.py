@@ -315,9 +315,7 @@ def _digit_candidates(spark, sf_dir):
 
 def detect_conflicts(spark, sf_dir):
     _, examples = _user_examples(spark, sf_dir)
-    out = V.detect_conflicts(
-        with_compiled(_digit_candidates(spark, sf_dir)), examples, max_checks=20, max_conflicts=5
-    )
+    out = V.detect_conflicts(with_compiled(_digit_candidates(spark, sf_dir)), examples)
     return out.select(*LIBRARY_KEY, "candidate_id", joined("conflicting_template_ids").alias("conflicts"))
 
 
@@ -445,13 +443,13 @@ def upsert_templates(spark, sf_dir):
 
 
 def _attempts(spark, sf_dir):
-    """Per user the first events as attempts; the event type decides what they propose."""
+    """Per user the events as attempts; the event type decides what they propose."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("user_id").orderBy("event_id")
     ranked = X.table(spark, sf_dir, "events").select(
         "user_id", "event_id", "event_type", (F.row_number().over(order) - 1).alias("attempt")
-    ).filter("attempt <= 4")
+    )
     return ranked.select(
         F.lit(X.DEVICE).alias("device_type"),
         F.expr("concat('host', cast(user_id % 5 as string))").alias("vendor"),
@@ -532,13 +530,12 @@ def mask_json_payloads(spark, sf_dir):
 
 
 def routing_cache_key(spark, sf_dir):
-    """Sources counted per shared key; document lines repeat across sources."""
-    lines = X.document_lines(spark, sf_dir).withColumn(
-        "raw_line", F.when(F.col("line_number") % 1000000 > 0, F.substring("raw_line", 1, 0)).otherwise("")
+    """Every document as a source of its own: copies share a key."""
+    lines = X.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("source_id"),
+        F.posexplode(F.split("text", "\n")).alias("line_number", "raw_line"),
     )
-    headed = lines.withColumn("raw_line", F.concat(F.lit("source of group "), F.substring("source_id", 4, 1)))
-    lists = RT.sample_lists(N.sample_head(headed))
-    keyed = RT.routing_cache_key(lists)
+    keyed = RT.routing_cache_key(RT.sample_lists(N.sample_head(lines)))
     return keyed.groupBy("cache_key").agg(
         F.count(F.lit(1)).alias("sources"), F.min("source_id").alias("first_source")
     ).select("sources", "first_source")
@@ -577,6 +574,36 @@ def parse_timestamps(spark, sf_dir):
     return out.select("line_number", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
 
 
+TIME_FORMATS = [
+    ("MMM dd HH:mm:ss", r"(?P<ts>\w{3} +\d+ [\d:]+)", "%b %d %H:%M:%S", False),
+    ("EEE MMM dd HH:mm:ss yyyy", r"(?P<ts>\w{3} \w{3} +\d+ [\d:]+ \d{4})", "%a %b %d %H:%M:%S %Y", True),
+    ("yyyy-MM-dd'T'HH:mm:ssxxx", r"(?P<ts>\S+T\S+)", "%Y-%m-%dT%H:%M:%S%z", True),
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", r"(?P<ts>\S+T\S+)", "%Y-%m-%dT%H:%M:%S%z", True),
+    (None, r"^(?P<ts>\d+)\b", "%s", True),
+]
+
+
+def parse_timestamps_formats(spark, sf_dir):
+    """Event times written as syslog, ctime, ISO with offset or Z, and epoch seconds."""
+    kind = F.col("user_id") % len(TIME_FORMATS)
+    text = F.lit(None).cast("string")
+    for i, (pattern, *_) in enumerate(TIME_FORMATS):
+        shown = F.unix_timestamp("ts").cast("string") if pattern is None else F.date_format("ts", pattern)
+        text = F.when(kind == i, shown).otherwise(text)
+    lines = X.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(
+        (F.col("event_id") + 1).alias("line_number"),
+        F.lit(X.DEVICE).alias("device_type"),
+        F.concat(F.lit("f"), kind.cast("string")).alias("vendor"),
+        F.concat(text, F.lit(" up")).alias("raw"),
+    )
+    specs = spark.createDataFrame(
+        [(X.DEVICE, f"f{i}", (regex, fmt, has_year, None)) for i, (_, regex, fmt, has_year) in enumerate(TIME_FORMATS)],
+        "device_type string, vendor string, timestamp_spec struct<regex:string,format:string,has_year:boolean,example:string>",
+    )
+    out = TS.parse_timestamps(lines, specs, year=2024)
+    return out.select("line_number", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+
+
 # --- learning ----------------------------------------------------------------------
 
 
@@ -689,6 +716,35 @@ def learning_audit(spark, sf_dir):
     )
 
 
+def learn_proposals(spark, sf_dir):
+    """Turns as lines; the first answer of every second one is unusable, the next names a
+    template for the turn's role."""
+    turns = X.table(spark, sf_dir, "conversations")
+    lines = X.in_library(turns.select(
+        F.lit("chat.log").alias("source_id"),
+        F.expr("conv_id * 1000 + turn + 1").alias("line_number"),
+        F.expr("concat('conv ', cast(conv_id as string), ' turn ', cast(turn as string), ' role ', role)").alias("raw_line"),
+    ))
+    regex = F.concat(F.lit(r"conv (?P<conv>.*) turn (?P<turn>.*) role "), F.col("role"))
+    answer = F.to_json(F.struct(F.lit("roles name events").alias("reasoning"), regex.alias("regex")))
+    bad = F.expr("conv_id % 2 = 0")
+    numbers = F.when(bad, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    proposals = turns.select(
+        F.lit("chat.log").alias("source_id"),
+        F.expr("conv_id * 1000 + turn + 1").alias("line_number"),
+        F.explode(numbers).alias("attempt"),
+        bad.alias("bad"),
+        answer.alias("answer"),
+    ).withColumn("text", F.when(F.col("bad") & (F.col("attempt") == 0), "no idea").otherwise(F.col("answer")))
+    learned = learn_templates(
+        lines, X.app_templates(spark).limit(0), spark.createDataFrame([], S.LIBRARY_META),
+        _empty_examples(spark), proposals=proposals,
+    )
+    return learned.matched.unionByName(
+        learned.remaining.withColumn("template_id", F.lit(None).cast("string"))
+    ).select("line_number", "template_id")
+
+
 def ingest_proposals(spark, sf_dir):
     """Answers of many shapes around the texts of a conversation."""
     answers = X.table(spark, sf_dir, "conversations").select(
@@ -733,18 +789,18 @@ def build_conflict_requests(spark, sf_dir):
     found = V.detect_conflicts(with_compiled(_digit_candidates(spark, sf_dir)), examples)
     pairs = V.conflict_pairs(found, X.user_templates(spark, sf_dir), examples)
     requests = P.build_conflict_requests(found, pairs)
+    listed = F.substring_index(F.get("messages", 1)["content"], "In conflict: ", -1)
     return requests.select(
         *LIBRARY_KEY, "candidate_id", "kind",
-        (F.size(F.split(F.get("messages", 1)["content"], "\n  regex: ")) - 1).cast("bigint").alias("conflicts"),
-        F.regexp_extract(F.get("messages", 1)["content"], r"example: (.*)", 1).alias("first_example"),
+        F.json_array_length(listed).cast("bigint").alias("conflicts"),
+        F.get_json_object(listed, "$[0].example").alias("first_example"),
     )
 
 
 def build_refinement_requests(spark, sf_dir):
     """Attempts that fail their checks, with reasons and group names."""
-    examples = _empty_examples(spark)
-    first = _attempts(spark, sf_dir).filter("attempt = 0 and regex <> '('")
-    requests = P.build_refinement_requests(V.validate_candidates(with_compiled(first), examples))
+    checked = V.validate_candidates(with_compiled(_attempts(spark, sf_dir)), _empty_examples(spark))
+    requests = P.build_refinement_requests(checked)
     return requests.select("candidate_id", "kind", F.get("messages", 1)["content"].alias("content"))
 
 
@@ -780,9 +836,8 @@ def parsed_wide_query(spark, sf_dir):
 
 
 def parse_many_sources(spark, sf_dir):
-    """Several sources and libraries at once, from nothing: the report."""
-    hosts = X.many_sources(spark, sf_dir).filter(~F.col("source_id").startswith("src"))
-    parsed = parse_logs(hosts)
+    """All sources and libraries at once, from nothing: the report."""
+    parsed = parse_logs(X.many_sources(spark, sf_dir), rules=ROUTE_RULES)
     return parsed.report.select(
         "source_id", "device_type", "vendor", "processed_lines", "matched_lines", "unmatched_lines"
     )
@@ -884,6 +939,7 @@ QUERIES = {
     "variable_names": variable_names,
     "mask_json_payloads": mask_json_payloads,
     "routing_cache_key": routing_cache_key,
+    "parse_timestamps_formats": parse_timestamps_formats,
     "route_sources": route_sources,
     "infer_timestamp_spec": infer_timestamp_spec,
     "get_or_create_spec": get_or_create_spec,
@@ -897,6 +953,7 @@ QUERIES = {
     "resolve_refine": resolve_refine,
     "refine_invalid": refine_invalid,
     "learn_templates": learn_templates_query,
+    "learn_proposals": learn_proposals,
     "ingest_proposals": ingest_proposals,
     "build_proposal_requests": build_proposal_requests,
     "build_conflict_requests": build_conflict_requests,

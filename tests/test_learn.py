@@ -1,3 +1,4 @@
+import json
 import re
 
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from thresher import schemas as S
 from thresher.functions import text as X
 from thresher.functions.dialect import with_compiled
 from thresher.operators import validate as V
+from thresher.operators.mine import classify_slots, slot_statistics
 from thresher.operators.resolve import render_proposals
 from thresher.plans.learn import learn_templates
 from thresher.plans.parse import parse_logs, parsed_wide
@@ -113,21 +115,126 @@ def test_second_run_learns_nothing(spark):
     assert wide[31] == {} and wide[1] == {"num1": "0"}
 
 
-def test_validation_reasons_and_caps(spark):
+def test_validation_reasons_and_limits_of_the_caller(spark):
     rows = [("d", "v", f"t{i}", i, f"ab {i}") for i in range(1, 30)]
     examples = spark.createDataFrame(rows, EXAMPLES)
     cands = with_compiled(spark.createDataFrame(
         [("d", "v", "c1", "ab (?P<n>.*)", "ab 77"), ("d", "v", "c2", "(", "x"), ("d", "v", "c3", "x", "y"),
-         ("d", "v", "t2", "ab (?P<n>2)", "ab 2"), ("d", "v", "c5", r"ab (?P<n>\w+)", "ab 5")],
+         ("d", "v", "t2", "ab (?P<n>2)", "ab 2"), ("d", "v", "c5", r"(?i)AB (?P<n>\w+)", "ab 5")],
         "device_type string, vendor string, candidate_id string, regex string, transformed string"))
+    every = [f"t{i}" for i in range(1, 30)]
     out = {r.candidate_id: r for r in V.validate_candidates(cands, examples).collect()}
-    assert out["c1"].conflicting_template_ids == ["t1", "t2", "t3", "t4", "t5"]
-    assert out["c1"].reasons == ["conflicts with existing templates: t1, t2, t3"]
+    assert out["c1"].conflicting_template_ids == every and out["c5"].conflicting_template_ids == every
+    assert out["c1"].reasons == ["conflicts with existing templates: " + ", ".join(every)]
     assert out["c2"].reasons[0].startswith("invalid regex") and not out["c2"].is_valid
     assert out["c3"].reasons == ["generated regex does not match the source sample"]
-    assert out["t2"].is_valid and out["c5"].conflicting_template_ids[:1] == ["t1"]
-    few = {r.candidate_id: r for r in V.validate_candidates(cands, examples, max_checks=2).collect()}
+    assert out["t2"].is_valid
+    few = {r.candidate_id: r for r in V.validate_candidates(cands, examples, max_checks=2, shown=1).collect()}
     assert few["c1"].conflicting_template_ids == ["t1", "t2"]
+    assert few["c1"].reasons == ["conflicts with existing templates: t1"]
+    few = {r.candidate_id: r for r in V.validate_candidates(cands, examples, max_conflicts=5).collect()}
+    assert few["c1"].conflicting_template_ids == every[:5]
+
+
+def test_conflict_with_a_late_example_is_found(spark):
+    rows = [("d", "v", f"t{i}", i, f"other {i}") for i in range(1, 503)] + [("d", "v", "late", 503, "ab 5")]
+    cands = with_compiled(spark.createDataFrame(
+        [("d", "v", "c", "ab (?P<n>.*)", "ab 77")],
+        "device_type string, vendor string, candidate_id string, regex string, transformed string"))
+    out = V.validate_candidates(cands, spark.createDataFrame(rows, EXAMPLES)).first()
+    assert out.conflicting_template_ids == ["late"]
+
+
+def test_all_conflicts_are_replaced(spark, lines):
+    """An open candidate against eight literal templates: none of them stays active."""
+    stored = [f"item {i} ok" for i in range(8)]
+    schema = "device_type string, vendor string, seq bigint, template_id string, regex string, is_active boolean"
+    from checks.fixtures import complete
+
+    library = complete(spark.createDataFrame([("d", "v", i + 1, f"d-v-{i + 1:04d}", r, True) for i, r in enumerate(stored)], schema))
+    examples = [("d", "v", f"d-v-{i + 1:04d}", i + 1, r) for i, r in enumerate(stored)]
+    texts = [f"item {i} ok" for i in range(100, 130)]
+    learned = learn(spark, lines(texts), library, examples)
+    active = [r.regex for r in learned.templates.filter("is_active").collect()]
+    assert active == ["item (?P<num1>.*) ok"]
+    assert learned.audit.first().detail == "replaced 8 conflicting templates"
+
+
+def test_learning_goes_on_after_a_rejection(spark, lines):
+    from checks.fixtures import complete
+
+    schema = "device_type string, vendor string, seq bigint, template_id string, regex string, is_active boolean"
+    regex = "job (?P<a>1 2 3) 9 9 9"
+    library = complete(spark.createDataFrame([("d", "v", 1, "d-v-0001", regex, True)], schema))
+    # The first line's candidate cannot be told from this example by pinning its slots.
+    examples = [("d", "v", "d-v-0001", 1, "job 1 2 3 4 5 6")]
+    texts = ["job 1 2 3 4 5 6", "job a b c d e f"]
+    learned = learn(spark, lines(texts), library, examples)
+    rows = {r.line_number for r in learned.matched.collect()}
+    assert rows == {2} and {r.line_number for r in learned.remaining.collect()} == {1}
+    assert {r.line_number: r.outcome for r in learned.audit.collect()}[1] == "rejected"
+
+
+def test_all_closed_slots_can_be_pinned(spark, lines):
+    """Five slots must be pinned before the candidate leaves the examples alone."""
+    text = "a 1 b 2 c 3 d 4 e 5 f"
+    near = [("d", "v", f"t{i}", i, text.replace(str(i), "9")) for i in range(1, 6)]
+    learned = learn(spark, lines([text]), None, near)
+    row = learned.audit.first()
+    assert row.outcome == "refined" and learned.templates.first().regex == text
+
+
+def test_slot_values_are_counted_exactly(spark, lines):
+    for n in (19, 20, 21, 24, 30):
+        found = {r.position: r.distinct_values for r in classify_slots(lines([f"x {i * 7919} y" for i in range(n)])).collect()}
+        assert found == {1: min(n, 21)}
+        stats = slot_statistics(lines([f"x {i * 7919} y" for i in range(n)]), open_values=100)
+        assert stats.filter("position = 1").first()["values"] == n
+
+
+def answers(spark, rows):
+    text = [("a", n, k, t if t is None or t.startswith("no") else json.dumps(t if isinstance(t, dict) else {"regex": t})) for n, k, t in rows]
+    return spark.createDataFrame(text, "source_id string, line_number bigint, attempt int, text string")
+
+
+def test_model_answers_enter_the_library(spark, lines):
+    """Attempts, coverage by an earlier answer, conflicts with both resolutions, and the miner for the rest."""
+    from checks.fixtures import complete
+
+    schema = "device_type string, vendor string, seq bigint, template_id string, regex string, is_active boolean"
+    stored = [("item alpha ok", "d-v-0001"), ("unit alpha up", "d-v-0002")]
+    library = complete(spark.createDataFrame([("d", "v", i + 1, t, r, True) for i, (r, t) in enumerate(stored)], schema))
+    examples = [("d", "v", t, i + 1, r) for i, (r, t) in enumerate(stored)]
+    texts = ["user bob in", "user eve in", "item beta ok", "unit beta up", "left 5 alone", "gate open now"]
+    proposals = answers(spark, [
+        (1, 0, "no json"), (1, 1, "user (?P<name>.*) in"), (2, 0, "user (?P<who>.*) in"),
+        (3, 0, "item (?P<name>.*) ok"), (4, 0, "unit (?P<name>.*) up"), (6, 0, "gate ("), (6, 1, "does not match"),
+    ])
+    plans = spark.createDataFrame(
+        [("a", 3, json.dumps({"decision": "replace_conflicting", "replaced_ids": ["d-v-0001", "nothing"]})),
+         ("a", 4, json.dumps({"decision": "refine_candidate", "new_regex": "unit (?P<name>b.*) up"}))],
+        "source_id string, line_number bigint, text string")
+    learned = learn(spark, lines(texts), library, examples, proposals=proposals, resolutions=plans)
+    regexes, rows = check_rows(learned, texts)
+    assert set(rows) == {1, 2, 3, 4, 5, 6} and rows[1] == rows[2]
+    active = {r.regex: (r.is_active, r.source) for r in learned.templates.collect()}
+    assert active["user (?P<name>.*) in"] == (True, "llm") and "user (?P<who>.*) in" not in active
+    assert active["item alpha ok"][0] is False and active["item (?P<name>.*) ok"][0]
+    assert active["unit alpha up"][0] and active["unit (?P<name>b.*) up"][0]
+    assert active["left (?P<num1>.*) alone"] == (True, "mined") and active["gate open now"] == (True, "mined")
+    outcomes = {(r["round"], r.line_number): r.outcome for r in learned.audit.collect()}
+    assert outcomes[1, 1] == "stored" and outcomes[1, 3] == "replaced" and outcomes[1, 4] == "refined"
+    assert outcomes[1, 6] == "rejected"
+
+
+def test_unresolved_conflicts_are_rejected(spark, lines):
+    examples = [("d", "v", "t1", 1, "item alpha ok")]
+    proposals = answers(spark, [(1, 0, "item (?P<name>.*) ok")])
+    plans = spark.createDataFrame([("a", 1, json.dumps({"decision": "replace_conflicting", "replaced_ids": ["x"]}))], "source_id string, line_number bigint, text string")
+    for resolutions in (None, plans):
+        learned = learn(spark, lines(["item beta ok"]), None, examples, proposals=proposals, resolutions=resolutions)
+        assert [r.outcome for r in learned.audit.orderBy("round").collect()] == ["rejected", "stored"]
+        assert learned.templates.first().regex == "item beta ok"
 
 
 def test_render_proposals(spark):

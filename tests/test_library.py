@@ -105,6 +105,40 @@ def test_snapshot_pages(spark, library, tmp_path):
     assert library_json.load_library(read)[0].count() == 7
 
 
+def test_odd_fields_cost_only_themselves(spark, tmp_path):
+    odd = {"metadata": {"vendor": "v", "device_type": "d", "count": 3}, "templates": [
+        {"template_id": "a", "regex": "1", "usage_count": 3.0, "variables": ["x"], "notes": 7},
+        {"template_id": "b", "regex": "2", "is_active": "maybe", "constants": {"k": 1}}, "text", {"regex": "no id"}]}
+    (tmp_path / "d__v.json").write_text(json.dumps(odd))
+    (tmp_path / "x__y.json").write_text('["no", "object"]')
+    good, bad = library_json.quarantine_corrupt(library_json.read_library_files(spark, str(tmp_path)))
+    assert [r.error for r in bad.collect()] == ["not a JSON object"]
+    templates, meta_rows = library_json.load_library(good, bad)
+    rows = {r.template_id: r for r in templates.collect()}
+    assert set(rows) == {"a", "b"} and rows["a"].usage_count == 3 and rows["a"].variables == []
+    assert rows["b"].is_active and rows["b"].constants == []
+    found = {r.vendor: r.metadata for r in meta_rows.collect()}
+    assert found["v"]["count"] == "3" and found["y"]["corrupted_backup"].endswith("x__y.json")
+
+
+def test_snapshot_of_a_library_without_templates(spark, library, tmp_path):
+    empty = spark.createDataFrame([("d", "none", {"version": "v1"}, None)], S.LIBRARY_META)
+    docs = library_json.snapshot_documents(library(["r"]), meta(spark).unionByName(empty))
+    assert {(r.vendor, len(r.templates)) for r in docs.collect()} == {("v", 1), ("none", 0)}
+    library_json.write_template_snapshot(library(["r"]), empty, str(tmp_path / "s"))
+    read = library_json.read_library_files(spark, str(tmp_path / "s"), multi_line=False)
+    templates, found = library_json.load_library(read)
+    assert templates.count() == 1 and found.count() == 2
+
+
+def test_variable_names_skip_escapes_and_classes(spark):
+    from thresher.functions.text import variable_names
+
+    regexes = {r"(?P<a>x)\(?P<b>y)": ["a"], r"[(?P<c>]z(?P<d>.)": ["d"], r"\\(?P<e>.)": ["e"]}
+    df = spark.createDataFrame([(r,) for r in regexes], "r string")
+    assert {x.r: x.n for x in df.select("r", variable_names(F.col("r")).alias("n")).collect()} == regexes
+
+
 def test_store_versions(spark, library, tmp_path):
     path = str(tmp_path / "store")
     df = library(["a", "b"])

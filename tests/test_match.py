@@ -80,7 +80,10 @@ def test_many_slots_stay_linear(lines, library):
 def test_compiled_modes():
     assert compile_regex("a(?P<x>.*)b")[2] == "linear"
     assert compile_regex(r"(?P<x>[0-9]+)")[2] == "java"
-    assert compile_regex(r"(?P<x>\w+)")[2] == "python"
+    assert compile_regex(r"(?P<x>\w+)")[2] == "java"
+    assert compile_regex(r"(?P<x>[^\S])")[2] == "python"
+    assert compile_regex(r"GET (?P<p>\S+) took (?P<n>\d+) ms")[7] == ["GET", "ms", "took"]
+    assert compile_regex(r"a1(?P<p>\S+)b2 (?:c|d) (?i:x) end\b.")[7] == []
     assert compile_regex(r"(?i)a")[2] == "python"
     assert compile_regex("(")[0] is False and compile_regex(None)[0] is False
 
@@ -95,4 +98,51 @@ def test_examples_keep_what_is_known(spark, lines, library):
 def test_filters_do_not_copy_the_matching(lines, library):
     out = M.match_templates(lines(TEXTS), library(["a(?P<x>.*)", "b(?P<x>.*)"])).filter("template_id is not null")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("CASE WHEN") == 2 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") == 2 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_classes_agree_with_python(spark):
+    """Every character of the basic plane against each class, alone and in a class of classes."""
+    import unicodedata
+
+    classes = [r"\w", r"\W", r"\s", r"\S", r"\d", r"\D", r"[\w-]", r"[\S\d]", r"[^\w]", r"[^\s\d]", r"[^\D]"]
+    tests = {c: compile_regex(f"(?P<x>{c})") for c in classes}
+    assert {t[2] for t in tests.values()} == {"java"}
+    # Characters that Java's older tables know; line breaks cannot be in a line.
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    df = spark.createDataFrame([(c,) for c in chars], "t string").repartition(4)
+    known = F.col("t").rlike(r"\A\P{Cn}\z")
+    rows = df.filter(known).select("t", *[F.col("t").rlike(t[3]).alias(f"c{i}") for i, t in enumerate(tests.values())]).collect()
+    assert len(rows) > 50_000
+    for i, c in enumerate(classes):
+        pattern = re.compile(c)
+        assert [r.t for r in rows if r[f"c{i}"] != bool(pattern.fullmatch(r.t))] == []
+
+
+def test_boundaries_agree_with_python(spark):
+    regex = r"(?P<a>.*)\b(?P<b>\w+)\b-(?P<c>.*)"
+    texts = ["ab cd-e", "-x", "é-", "a_b-", " - ", "a--b", "x9-y"]
+    test = compile_regex(regex)
+    assert test[2] == "java"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(test[3]).alias("m")).collect()
+    assert {r.t: r.m for r in rows} == {t: bool(re.fullmatch(regex, t)) for t in texts}
+
+
+def test_python_templates_keep_the_order(lines, library):
+    """Native and Python templates interleaved: the first in library order wins."""
+    regexes = [r"a(?P<x>.*)z", r"(?i)A(?P<y>.*)", r"ab(?P<z>.*)", r"(?i)(?P<all>.*)Q", r"b(?P<w>.*)"]
+    texts = ["abz", "abq", "ABX", "bq", "Bq", "none"]
+    for limit in (200, 0):
+        out = M.match_templates(lines(texts), library(regexes), variables=True, case_limit=limit)
+        assert got(out) == expected(texts, regexes)
+
+
+def test_word_matching_does_not_move_lines(lines, library):
+    out = M.match_templates(lines(TEXTS), library(["alpha (?P<x>.*)", "beta"]), case_limit=0)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_index_is_joined(lines, library, monkeypatch):
+    monkeypatch.setattr(M, "TASK_INDEX_LIMIT", 0)
+    out = M.match_templates(lines(TEXTS), library(REGEXES), variables=True, case_limit=0)
+    assert got(out) == expected([t.rstrip() for t in TEXTS], REGEXES)

@@ -1,5 +1,8 @@
+import pytest
+
+from thresher import schemas as S
 from thresher.sources import store
-from thresher.streaming.stream import learn_batch
+from thresher.streaming.stream import learn_batch, stream_match
 
 LINES = "source_id string, line_number bigint, raw_line string"
 
@@ -15,3 +18,52 @@ def test_batches_learn_once(spark, tmp_path):
     rows = {r.regex: r.usage_count for r in templates.collect()}
     assert rows == {"get (?P<num1>.*)": 6, "put (?P<num1>.*)": 1}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+def test_streams_on_one_store_are_their_own(spark, tmp_path):
+    one = spark.createDataFrame([("s", i, f"get {i}") for i in range(5)], LINES)
+    two = spark.createDataFrame([("t", i, f"put {i}") for i in range(4)], LINES)
+    path = str(tmp_path / "lib")
+    first, second = (learn_batch(path, str(tmp_path / name)) for name in ("one", "two"))
+    first(one, 0)
+    second(two, 0)
+    first(one, 0)
+    second(two, 0)
+    assert spark.read.parquet(str(tmp_path / "one")).count() == 5
+    assert spark.read.parquet(str(tmp_path / "two")).count() == 4
+    usage = {r.regex: r.usage_count for r in store.open_library(spark, path)[0].collect()}
+    assert usage == {"get (?P<num1>.*)": 5, "put (?P<num1>.*)": 4}
+
+
+def test_second_writer_of_a_version_fails(spark, library, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    meta = spark.createDataFrame([], S.LIBRARY_META)
+    assert store.save_library(library(["a"]), meta, path)
+    stale = store._newest(spark, path)
+    assert store.save_library(library(["b"]), meta, path)
+    monkeypatch.setattr(store, "_newest", lambda *_: stale)
+    with pytest.raises(store.VersionExists):
+        store.save_library(library(["c"]), meta, path)
+    monkeypatch.undo()
+    assert [r.regex for r in store.open_library(spark, path)[0].collect()] == ["b"]
+
+
+def test_old_manifest_entries_go(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "KEPT_ENTRIES", 2)
+    path = str(tmp_path / "store")
+    meta = spark.createDataFrame([], S.LIBRARY_META)
+    for n in range(5):
+        store.save_library(library([f"r{n}"]), meta, path, ("stream", n))
+    assert store._versions(spark, path) == [4, 5]
+    assert store.is_published(spark, path, "stream", 0) and store.is_published(spark, path, "stream", 4)
+    assert not store.is_published(spark, path, "stream", 5) and not store.is_published(spark, path, "other", 0)
+
+
+def test_large_library_matches_a_stream(spark, library, tmp_path):
+    templates = library([f"word{i} (?P<x>.*)" for i in range(2100)])
+    spark.createDataFrame([("s", i, f"word{i * 700} v{i}", "d", "v") for i in range(4)], LINES + ", device_type string, vendor string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LINES + ", device_type string, vendor string").parquet(str(tmp_path / "in"))
+    query = stream_match(stream, templates).writeStream.format("memory").queryName("large").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination()
+    rows = {r.line_number: (r.template_id, r.variables) for r in spark.table("large").collect()}
+    assert rows == {i: (f"d-v-{i * 700 + 1:04d}", {"x": f"v{i}"}) if i < 3 else (None, {}) for i in range(4)}

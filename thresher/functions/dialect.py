@@ -45,6 +45,23 @@ RENDERED = T.StructType(
 SEPARATOR = "\x1f"
 
 _WORD = re.compile(r"[A-Za-z0-9]+")
+# What Python's \s and \w match, as members of a Java class.
+SPACE_MEMBERS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WORD_MEMBERS = r"\p{L}\p{N}_"
+_CATEGORIES = {
+    ops.CATEGORY_DIGIT: r"\p{Nd}",
+    ops.CATEGORY_NOT_DIGIT: r"\P{Nd}",
+    ops.CATEGORY_SPACE: SPACE_MEMBERS,
+    ops.CATEGORY_WORD: WORD_MEMBERS,
+}
+# Negated classes stand in a class of their own.
+_NEGATED = {
+    ops.CATEGORY_NOT_SPACE: f"[^{SPACE_MEMBERS}]",
+    ops.CATEGORY_NOT_WORD: f"[^{WORD_MEMBERS}]",
+}
+_BOUNDARY = (
+    f"(?:(?<=[{WORD_MEMBERS}])(?![{WORD_MEMBERS}])|(?<![{WORD_MEMBERS}])(?=[{WORD_MEMBERS}]))"
+)
 _JAVA_SPECIAL = set("\\^$.|?*+()[]{}-&~#\"'<>!=:/,;@%` ")
 _REPEATS = {ops.MAX_REPEAT: "", ops.MIN_REPEAT: "?", ops.POSSESSIVE_REPEAT: "+"}
 _ANCHORS = {
@@ -52,6 +69,7 @@ _ANCHORS = {
     ops.AT_BEGINNING_STRING: r"\A",
     ops.AT_END: r"\z",
     ops.AT_END_STRING: r"\z",
+    ops.AT_BOUNDARY: _BOUNDARY,
 }
 
 
@@ -99,6 +117,8 @@ def _java_item(op, arg, named) -> str | None:
         return _ANCHORS.get(arg)
     if op is ops.IN:
         members = [_java_member(*item) for item in arg]
+        if members[0] == "^" and any(item[1] in _NEGATED for item in arg):
+            return None
         return None if None in members else f"[{''.join(members)}]"
     if op is ops.BRANCH:
         branches = [_java(branch, named) for branch in arg[1]]
@@ -126,8 +146,8 @@ def _java_member(op, arg) -> str | None:
         return java_literal(chr(arg))
     if op is ops.RANGE:
         return f"{java_literal(chr(arg[0]))}-{java_literal(chr(arg[1]))}"
-    if op is ops.CATEGORY and arg is ops.CATEGORY_DIGIT:
-        return r"\p{Nd}"
+    if op is ops.CATEGORY:
+        return _CATEGORIES.get(arg) or _NEGATED.get(arg)
     return None
 
 
@@ -170,6 +190,23 @@ def _linear_patterns(segments: list[str], captures: list[bool]) -> tuple[str, st
     return test, capture
 
 
+def _required_segments(tree) -> list[str]:
+    """Literal texts every match holds, in order; anything else stands between them."""
+    segments = [""]
+
+    def walk(items) -> None:
+        for op, arg in items:
+            if op is ops.LITERAL:
+                segments[-1] += chr(arg)
+            elif op is ops.SUBPATTERN and not (arg[1] or arg[2]):
+                walk(arg[3])
+            elif op is not ops.AT:
+                segments.append("")
+
+    walk(tree)
+    return segments
+
+
 def _whole_words(segments: list[str]) -> list[str]:
     """Words of the constants that no captured value can lengthen."""
     words = set()
@@ -199,11 +236,12 @@ def compile_regex(regex: str | None) -> tuple:
         re.compile(regex)
     except (re.error, OverflowError, RecursionError) as exc:
         return (False, str(exc), None, None, None, [], [], [])
+    words = _whole_words(_required_segments(tree)) if default_flags else []
     body = _java(tree, named) if default_flags else None
     if body is None or not _always_captures(tree, named):
-        return (True, None, "python", None, None, names, [], [])
+        return (True, None, "python", None, None, names, [], words)
     whole = rf"(?d)\A(?:{body})\z"
-    return (True, None, "java", whole, whole, names, [], [])
+    return (True, None, "java", whole, whole, names, [], words)
 
 
 @F.pandas_udf(COMPILED)
@@ -235,6 +273,40 @@ def python_fullmatch(regex: pd.Series, text: pd.Series) -> pd.Series:
     )
 
 
+def literal_holds(text: str, segments: list[str]) -> bool:
+    """`linear` matching without a regex: constants in order, gaps of any length."""
+    if len(segments) == 1:
+        return text == segments[0]
+    head, *middle, tail = segments
+    at, end = len(head), len(text) - len(tail)
+    if at > end or not text.startswith(head) or not text.endswith(tail):
+        return False
+    for constant in middle:
+        found = text.find(constant, at, end)
+        if found < 0:
+            return False
+        at = found + len(constant)
+    return True
+
+
+class Matcher:
+    """One template in a Python task, compiled at its first use."""
+
+    def __init__(self, mode: str, regex: str, segments: list[str]):
+        self.segments = list(segments) if mode == "linear" else None
+        self.regex, self._run = regex, None
+
+    def __call__(self, text: str) -> bool:
+        # A gap does not cross a line break.
+        if self.segments is not None and "\n" not in text:
+            return literal_holds(text, self.segments)
+        self._run = self._run or re.compile(self.regex).fullmatch
+        return self._run(text) is not None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_run": None}
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def python_matching(regex: pd.Series, texts: pd.Series) -> pd.Series:
     """Positions (0-based) of the texts a regex fully matches."""

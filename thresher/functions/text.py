@@ -19,8 +19,14 @@ def extract_constants(template: Column) -> Column:
 
 
 def variable_names(regex: Column) -> Column:
-    """Named groups of a (valid) regex, in order."""
-    return F.regexp_extract_all(regex, F.lit(r"\(\?P<(\w+)>"), F.lit(1))
+    """Named groups of a valid regex, in order, by its text alone.
+
+    Escaped characters and character classes are taken out first, so that ``\\(?P<x>``
+    and ``[(?P<x>]`` are no groups. For a regex that may be invalid use the ``names`` of
+    `dialect.with_compiled`.
+    """
+    plain = F.regexp_replace(F.regexp_replace(regex, r"\\.", ""), r"\[\^?\]?[^\]]*\]", "")
+    return F.regexp_extract_all(plain, F.lit(r"\(\?P<(\w+)>"), F.lit(1))
 
 
 def template_variables(names: Column, values: Column) -> Column:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import re
+from heapq import merge
+from operator import itemgetter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from thresher.functions import dialect
@@ -12,6 +17,8 @@ from thresher.session import bounded, materialize
 # Up to this many templates a generated CASE expression is used: no shuffle.
 CASE_LIMIT = 200
 BROADCAST_LIMIT = 256 << 20
+# Bytes of templates that every Python task can hold.
+TASK_INDEX_LIMIT = 64 << 20
 RUNNABLE = ["regex", "mode", "test", "capture", "names", "segments", "words"]
 WORD_SPLIT = "[^A-Za-z0-9]+"
 
@@ -112,20 +119,59 @@ def _when_chain(branches: list[tuple[Column, Column]], kind: str) -> Column:
 
 
 def _match_by_case(lines: DataFrame, rows: list[Row]) -> DataFrame:
+    """A generated CASE of the native templates, then one look at the Python ones.
+
+    The CASE gives the place of the first native match in its library. Python
+    templates see only lines that a native template has not already decided: those
+    ahead of the native match are tried in library order, in one function.
+    """
     text = F.col("transformed")
-    chains = []
+    places, ids, python = [], [], {}
     for key, group in _libraries(rows).items():
         branches = [
-            (
-                dialect.python_fullmatch(F.lit(r.regex), text)
-                if r["mode"] == "python"
-                else dialect.literal_matches(text, r["mode"], r.test, r.segments),
-                F.lit(r.template_id),
-            )
-            for r in group
+            (dialect.literal_matches(text, r["mode"], r.test, r.segments), F.lit(i))
+            for i, r in enumerate(group)
+            if r["mode"] != "python"
         ]
-        chains.append((_in_library(*key), _when_chain(branches, "string")))
-    return lines.withColumn("template_id", _evaluated_once(_when_chain(chains, "string")))
+        places.append((_in_library(*key), _when_chain(branches, "int")))
+        ids.append((_in_library(*key), F.array(*[F.lit(r.template_id) for r in group])))
+        slow = [
+            (i, dialect.Matcher(r["mode"], r.regex, r.segments))
+            for i, r in enumerate(group)
+            if r["mode"] == "python"
+        ]
+        if slow:
+            python[key] = slow
+    out = lines.withColumn("_at", _evaluated_once(_when_chain(places, "int")))
+    if python:
+        undecided = _when_chain(
+            [(_in_library(*key), F.coalesce(F.col("_at") > slow[0][0], F.lit(True))) for key, slow in python.items()],
+            "boolean",
+        )
+        at = F.coalesce("_at", F.lit(_LAST))
+        found = _first_python(python)("device_type", "vendor", F.when(undecided, text), at)
+        out = out.withColumn("_at", F.coalesce(found, "_at"))
+    named = F.get(_when_chain(ids, "array<string>"), F.col("_at"))
+    return out.withColumn("template_id", named).drop("_at")
+
+
+_LAST = 2**31 - 1
+
+
+def _first_python(python: dict):
+    """The first Python template ahead of the place given; null texts are not looked at."""
+
+    @F.pandas_udf("int")
+    def find(device: pd.Series, vendor: pd.Series, text: pd.Series, at: pd.Series) -> pd.Series:
+        def first(key, line, last):
+            if line is None:
+                return None
+            return next((i for i, holds in python.get(key, ()) if i < last and holds(line)), None)
+
+        found = [first((d, v), t, a) for d, v, t, a in zip(device, vendor, text, at)]
+        return pd.Series(found, dtype="Int32")
+
+    return find.asNondeterministic()
 
 
 def _evaluated_once(column: Column) -> Column:
@@ -174,15 +220,56 @@ def with_anchor(compiled: DataFrame) -> DataFrame:
     return (
         compiled.join(best, [*LIBRARY_KEY, "seq"], "left")
         .withColumn("anchor", F.coalesce("anchor", F.lit("")))
-        .drop("words", "segments")
+        .drop("words")
     )
 
 
 def _match_by_word(lines: DataFrame, compiled: DataFrame) -> DataFrame:
     # Both tables are read several times: compile and choose the words once.
     index = materialize(with_anchor(materialize(compiled, "compiled")), "index")
-    if bounded(index, ["regex", "test", "anchor", "template_id"], BROADCAST_LIMIT):
-        index = F.broadcast(index)
+    if bounded(index, ["regex", "anchor", "template_id", F.array_join("segments", "")], TASK_INDEX_LIMIT):
+        return _match_in_tasks(lines, index)
+    return _match_by_join(lines, index)
+
+
+def _match_in_tasks(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """Map-only: every task holds the measured index as word -> templates in order.
+
+    A line looks up its words, merges the templates found there and takes the
+    first that matches, so no line is exchanged and no common word gathers rows.
+    """
+    table: dict[tuple[str, str], dict[str, list]] = {}
+    rows = index.select(*LIBRARY_KEY, "anchor", "seq", "template_id", "mode", "regex", "segments")
+    for r in sorted(rows.collect(), key=lambda r: r.seq):
+        entry = (r.seq, r.template_id, dialect.Matcher(r["mode"], r.regex, r.segments))
+        table.setdefault((r.device_type, r.vendor), {}).setdefault(r.anchor, []).append(entry)
+    shared = lines.sparkSession.sparkContext.broadcast(table)
+    split = re.compile(WORD_SPLIT).split
+
+    @F.pandas_udf("string")
+    def assign(device: pd.Series, vendor: pd.Series, text: pd.Series) -> pd.Series:
+        def first(key, line):
+            words = shared.value.get(key)
+            if words is None or line is None:
+                return None
+            lists = [words[w] for w in {"", *split(line)} if w in words]
+            return next((name for _, name, holds in merge(*lists, key=_SEQ) if holds(line)), None)
+
+        return pd.Series([first((d, v), t) for d, v, t in zip(device, vendor, text)], dtype=object)
+
+    return lines.withColumn(
+        "template_id", assign.asNondeterministic()("device_type", "vendor", "transformed")
+    )
+
+
+_SEQ = itemgetter(0)
+
+
+def _match_by_join(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """For an index too large for a task: an equi-join on the word, then the regex.
+
+    A line's pairs are made from its words that some template is filed under.
+    """
     text = F.col("transformed")
     words = F.array_union(F.split(text, WORD_SPLIT), F.array(F.lit("")))
     pairs = lines.select(
@@ -252,7 +339,9 @@ def first_examples(assigned: DataFrame, known: DataFrame | None = None) -> DataF
     # Numbers first (hash aggregation), then the texts of the chosen lines only.
     per_source = matched.groupBy(*key, "source_id").agg(F.min("line_number").alias("line_number"))
     first = per_source.groupBy(*key).agg(F.min(F.struct("source_id", "line_number")).alias("f"))
-    chosen = first.select(*key, "f.source_id", "f.line_number")
+    chosen = materialize(first.select(*key, "f.source_id", "f.line_number"), "first_lines")
+    if bounded(chosen, [*key, "source_id"], BROADCAST_LIMIT):
+        chosen = F.broadcast(chosen)
     found = matched.select(*LINE_KEY, *key, "raw", "transformed").join(chosen, [*LINE_KEY, *key])
     found = found.select(*key, "source_id", "line_number", "raw", "transformed")
     if known is None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from thresher.functions import text as X
 from thresher.functions.dialect import SEPARATOR, captured_values, with_compiled
 from thresher.schemas import LIBRARY_KEY, LINE_KEY
-from thresher.session import materialize, spread
+from thresher.session import bounded, materialize, spread
 
 # Shapes of instance data, most specific first. Only constructs
 # that mean the same in Java, RE2 and Python.
@@ -46,6 +46,7 @@ OPEN_VALUES = 20
 # hardly any constant text would match lines of every kind.
 KEPT_WORDS = 2
 SPREAD_PATTERNS = 64
+BROADCAST_LIMIT = 256 << 20
 
 # Joins constants while words are looked at; patterns containing it are left alone.
 SLOT = "\x00"
@@ -95,25 +96,27 @@ def mask_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def _statistics(lines: DataFrame) -> DataFrame:
+def slot_statistics(lines: DataFrame, open_values: int = OPEN_VALUES) -> DataFrame:
     """Per library, pattern and position; position 0 stands for the pattern itself.
 
-    ``buckets`` is the number of set bits in a 64-bit map of value hashes, so at
-    least that many different values occurred. ``single`` tells whether all
-    values were equal (same smallest and largest of two 64-bit hashes).
+    ``values`` is the exact number of different values up to ``open_values``, else some
+    number above. Lines are masked once. Fixed-width buffers come first: a 64-bit map of
+    value hashes proves positions open, equal smallest and largest of two 64-bit hashes
+    prove a single value. Only the positions in between are grouped by value.
     """
     group = [*LIBRARY_KEY, "pattern_id", "position"]
     value = F.col("value")
     first, second = F.xxhash64(value), F.xxhash64(F.lit(1), value)
+    masked = mask_lines(lines).select(*LIBRARY_KEY, *LINE_KEY, "pattern_id", "slot_values")
+    masked = materialize(masked, "masked")
+    placed = masked.select(
+        *LIBRARY_KEY,
+        *LINE_KEY,
+        "pattern_id",
+        F.posexplode(F.concat(F.array(F.lit("")), "slot_values")).alias("position", "value"),
+    )
     per_source = (
-        mask_lines(lines)
-        .select(
-            *LIBRARY_KEY,
-            *LINE_KEY,
-            "pattern_id",
-            F.posexplode(F.concat(F.array(F.lit("")), "slot_values")).alias("position", "value"),
-        )
-        .groupBy(*group, "source_id")
+        placed.groupBy(*group, "source_id")
         .agg(
             F.count(F.lit(1)).alias("support"),
             F.min("line_number").alias("line_number"),
@@ -124,30 +127,47 @@ def _statistics(lines: DataFrame) -> DataFrame:
             F.max(second).alias("hi2"),
         )
     )
-    return (
+    rough = (
         per_source.groupBy(*group)
         .agg(
             F.sum("support").alias("support"),
             F.min(F.struct("source_id", "line_number")).alias("first"),
-            F.bit_count(F.bit_or("bits")).alias("buckets"),
+            F.bit_count(F.bit_or("bits")).cast("bigint").alias("buckets"),
             ((F.min("lo1") == F.max("hi1")) & (F.min("lo2") == F.max("hi2"))).alias("single"),
         )
     )
+    rough = materialize(rough, "slots")
+    unclear = rough.filter((F.col("buckets") <= open_values) & ~F.col("single")).select(*group)
+    if bounded(unclear, ["device_type", "vendor", "pattern_id"], BROADCAST_LIMIT):
+        unclear = F.broadcast(unclear)
+    counted = (
+        placed.join(unclear, group, "left_semi")
+        .groupBy(*group, "value")
+        .agg(F.lit(1).alias("one"))
+        .groupBy(*group)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    values = F.when(F.col("single"), F.lit(1).cast("bigint")).otherwise(
+        F.coalesce("n", F.greatest("buckets", F.lit(open_values + 1)))
+    )
+    return rough.join(counted, group, "left").select(
+        *group, "support", "first", values.alias("values"), "single"
+    )
 
 
-def mine_patterns(lines: DataFrame) -> DataFrame:
+def mine_patterns(lines: DataFrame, open_values: int = OPEN_VALUES) -> DataFrame:
     """Patterns with support, first line, that line's text and slot statistics."""
     key = [*LIBRARY_KEY, "pattern_id"]
     # A pattern has as many positions as one line has values.
     patterns = (
-        _statistics(lines)
+        slot_statistics(lines, open_values)
         .groupBy(*key)
         .agg(
             F.max(F.when(F.col("position") == 0, F.col("support"))).alias("support"),
             F.min("first").alias("first"),
             F.array_sort(
                 F.collect_list(
-                    F.when(F.col("position") > 0, F.struct("position", "buckets", "single"))
+                    F.when(F.col("position") > 0, F.struct("position", "values", "single"))
                 )
             ).alias("slots"),
         )
@@ -157,41 +177,34 @@ def mine_patterns(lines: DataFrame) -> DataFrame:
 
 
 def with_sample(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add ``raw`` and ``transformed`` of the row's first line."""
-    return rows.join(lines.select(*LINE_KEY, "raw", "transformed"), LINE_KEY)
+    """Add ``raw`` and ``transformed`` of the row's first line.
+
+    The rows go to the lines while their keys are measured small, so that the text of
+    the other lines is not exchanged.
+    """
+    table = materialize(rows, "rows")
+    if bounded(table, [F.to_json(F.struct(*table.columns))], BROADCAST_LIMIT):
+        table = F.broadcast(table)
+    return lines.select(*LINE_KEY, "raw", "transformed").join(table, LINE_KEY)
 
 
 def classify_slots(
     lines: DataFrame, min_support: int = BRANCH_SUPPORT, open_values: int = OPEN_VALUES
 ) -> DataFrame:
-    """Role of each slot, with its number of different values up to ``open_values`` + 1.
-
-    The count is exact: positions whose hash buckets already prove more than
-    ``open_values`` values are settled, and only the others are counted, where
-    grouping by value reduces the rows before the exchange.
-    """
-    key = [*LIBRARY_KEY, "pattern_id", "position"]
-    known = _statistics(lines).filter("position > 0").select(*key, "support", "buckets")
-    slots = materialize(known, "slots")
-    closed = slots.filter(F.col("buckets") <= open_values).select(*key)
-    values = mask_lines(lines).select(
-        *LIBRARY_KEY, "pattern_id", F.posexplode("slot_values").alias("p", "value")
-    )
-    counted = (
-        values.select(*LIBRARY_KEY, "pattern_id", (F.col("p") + 1).alias("position"), "value")
-        .join(closed, key, "left_semi")
-        .groupBy(*key, "value")
-        .agg(F.lit(1).alias("one"))
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    distinct = F.least(F.coalesce("n", F.lit(open_values + 1)), F.lit(open_values + 1))
+    """Role of each slot, with its number of different values up to ``open_values`` + 1."""
+    distinct = F.least("values", F.lit(open_values + 1))
     branch = (F.col("support") >= min_support) & (distinct == 1)
-    return slots.join(counted, key, "left").select(
-        *key,
-        "support",
-        distinct.cast("bigint").alias("distinct_values"),
-        F.when(branch, "branch").otherwise("fruit").alias("role"),
+    return (
+        slot_statistics(lines, open_values)
+        .filter("position > 0")
+        .select(
+            *LIBRARY_KEY,
+            "pattern_id",
+            "position",
+            "support",
+            distinct.cast("bigint").alias("distinct_values"),
+            F.when(branch, "branch").otherwise("fruit").alias("role"),
+        )
     )
 
 
@@ -211,7 +224,9 @@ def _weave(seps: Column, words: Column, start: Column, stop: Column) -> Column:
     return X.interleave(F.slice(seps, start + 1, n + 1), F.slice(words, start + 1, n))
 
 
-def open_word_places(patterns: DataFrame, open_values: int = OPEN_VALUES) -> DataFrame:
+def open_word_places(
+    patterns: DataFrame, open_values: int = OPEN_VALUES, kept_words: int = KEPT_WORDS
+) -> DataFrame:
     """For patterns with an open word: the word's place and the hashes shared there.
 
     A pattern is hashed once per word with that word left out; patterns that meet
@@ -234,7 +249,7 @@ def open_word_places(patterns: DataFrame, open_values: int = OPEN_VALUES) -> Dat
     spelled = (
         patterns.filter(~F.contains(F.col("transformed"), F.lit(SLOT)))
         .select(*key, words.alias("words"), seps.alias("seps"))
-        .filter(F.size("words") > KEPT_WORDS)
+        .filter(F.size("words") > kept_words)
         .withColumn("h1", fold(1))
         .withColumn("h2", fold(2))
         .select(
@@ -267,9 +282,13 @@ def open_word_places(patterns: DataFrame, open_values: int = OPEN_VALUES) -> Dat
     )
 
 
-def generalize_words(patterns: DataFrame, open_values: int = OPEN_VALUES) -> DataFrame:
+def generalize_words(
+    patterns: DataFrame, open_values: int = OPEN_VALUES, kept_words: int = KEPT_WORDS
+) -> DataFrame:
     """Merge patterns that differ in one word with more than ``open_values`` values.
 
+    At least ``kept_words`` other words must remain.
+
     Adds ``word_at``, the place of the replaced word, null where nothing merged.
     Reads ``patterns`` several times: pass a materialized table.
     """
@@ -277,7 +296,7 @@ def generalize_words(patterns: DataFrame, open_values: int = OPEN_VALUES) -> Dat
     alike = patterns.withColumn("word_at", F.lit(None).cast("int"))
     if patterns.limit(open_values + 1).count() <= open_values:
         return alike
-    chosen = materialize(open_word_places(patterns, open_values), "open_words")
+    chosen = materialize(open_word_places(patterns, open_values, kept_words), "open_words")
     if chosen.isEmpty():
         return alike
     joined_rows = patterns.join(chosen, key, "left")
@@ -290,9 +309,9 @@ def generalize_words(patterns: DataFrame, open_values: int = OPEN_VALUES) -> Dat
     slot_stats = (
         merging.select(*place, F.explode("slots").alias("s"))
         .groupBy(*place, F.col("s.position").alias("position"))
-        .agg(F.max("s.buckets").alias("buckets"), F.min("s.single").alias("single"))
+        .agg(F.max("s.values").alias("values"), F.min("s.single").alias("single"))
         .groupBy(*place)
-        .agg(F.array_sort(F.collect_list(F.struct("position", "buckets", "single"))).alias("slots"))
+        .agg(F.array_sort(F.collect_list(F.struct("position", "values", "single"))).alias("slots"))
     )
     leaders = merging.drop("support", "slots").join(
         totals.select(*place, "support", "first.*"), [*place, *LINE_KEY]
@@ -309,7 +328,7 @@ def generalize_words(patterns: DataFrame, open_values: int = OPEN_VALUES) -> Dat
     return alone.unionByName(merged)
 
 
-def _with_word_slot(patterns: DataFrame) -> DataFrame:
+def _with_word_slot(patterns: DataFrame, open_values: int) -> DataFrame:
     """``constants``, ``slot_values`` and ``slots`` with the merged word as a slot."""
     text = F.col("transformed")
     constants, values = line_constants(text), line_values(text)
@@ -323,7 +342,9 @@ def _with_word_slot(patterns: DataFrame) -> DataFrame:
     slot = F.size("before") - 1
     word = F.element_at("words", at + 1)
     word_stats = F.struct(
-        F.lit(0).alias("position"), F.lit(OPEN_VALUES + 1).alias("buckets"), F.lit(False).alias("single")
+        F.lit(0).alias("position"),
+        F.lit(open_values + 1).cast("bigint").alias("values"),
+        F.lit(False).alias("single"),
     )
     return (
         patterns.withColumn("constants", constants)
@@ -417,15 +438,16 @@ def mine_candidates(
     min_support: int = 1,
     branch_support: int = BRANCH_SUPPORT,
     open_values: int = OPEN_VALUES,
+    kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
     """One candidate template per pattern of the uncovered lines."""
-    found = mine_patterns(lines).filter(F.col("support") >= min_support)
+    found = mine_patterns(lines, open_values).filter(F.col("support") >= min_support)
     # Few bytes but much work per pattern.
     table = spread(materialize(found, "patterns"), SPREAD_PATTERNS)
-    patterns = generalize_words(table, open_values)
+    patterns = generalize_words(table, open_values, kept_words)
     # Slots that the candidate spells out from the start.
     branches = F.transform(
         "slots", lambda s: s["single"] & (F.col("support") >= branch_support)
     )
-    rows = _with_word_slot(patterns).withColumn("branches", branches)
+    rows = _with_word_slot(patterns, open_values).withColumn("branches", branches)
     return build_candidates(rows, F.col("branches"))

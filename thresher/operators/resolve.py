@@ -11,9 +11,6 @@ from thresher.operators.mine import OPEN_VALUES, build_candidates, slot_numbers
 from thresher.operators.validate import validate_candidates
 from thresher.schemas import LIBRARY_KEY
 
-MAX_RETRIES = 2
-MAX_ROUNDS = 3
-NOTE_CHARS = 200
 PERSISTS = "conflict persists after reconciliation attempts"
 
 
@@ -38,7 +35,7 @@ def resolve_replace(
 
 def only_open_slots(open_values: int = OPEN_VALUES) -> Column:
     """Every slot that is not a branch is proven to have more than ``open_values`` values."""
-    opened = F.transform("slots", lambda s: s["buckets"] > open_values)
+    opened = F.transform("slots", lambda s: s["values"] > open_values)
     return F.forall(F.zip_with(opened, "branches", lambda o, b: o | b), lambda ok: ok)
 
 
@@ -46,14 +43,15 @@ def resolve_refine(
     conflicting: DataFrame,
     examples: DataFrame,
     *,
-    rounds: int = MAX_ROUNDS,
+    rounds: int | None = None,
     open_values: int = OPEN_VALUES,
 ) -> DataFrame:
     """``refine_candidate``: pin the most constant slots to the sample's words.
 
     Round ``n`` pins, besides the branches, the ``n`` closed slots with the fewest
-    values (ties: first slot). All rounds are built and checked together; the first valid one stays.
-    Candidates without a valid round come back with the last one's reasons.
+    values (ties: first slot), up to all of them or the ``rounds`` of the caller. All
+    rounds are built and checked together; the first valid one stays. Candidates without
+    a valid round come back with the last one's reasons.
     """
     ranked = F.transform(
         F.array_sort(
@@ -61,16 +59,17 @@ def resolve_refine(
                 F.transform(
                     slot_numbers(),
                     lambda i: F.struct(
-                        F.get("slots", i)["buckets"].alias("buckets"),
+                        F.get("slots", i)["values"].alias("values"),
                         i.alias("slot"),
                         F.get("branches", i).alias("fixed"),
                     ),
                 ),
-                lambda s: ~s["fixed"] & (s["buckets"] <= open_values),
+                lambda s: ~s["fixed"] & (s["values"] <= open_values),
             )
         ),
         lambda s: s["slot"],
     )
+    last = F.size("_ranked") if rounds is None else F.lit(rounds)
     base = [
         "slots", "branches", "slot_values", "constants", "kinds", "raw", "transformed", "support",
         "source_id", "line_number", "pattern_id", "position", "candidate_id",
@@ -78,8 +77,8 @@ def resolve_refine(
     variants = (
         conflicting.select(*LIBRARY_KEY, *base)
         .withColumn("_ranked", ranked)
-        .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-        .filter(F.col("attempt") <= F.size("_ranked"))
+        .filter(F.size("_ranked") > 0)
+        .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.least(last, F.size("_ranked")))))
         .withColumn("_pins", F.slice("_ranked", 1, F.col("attempt")))
     )
     pinned = F.transform(
@@ -97,14 +96,14 @@ def first_valid_attempt(
     attempts: DataFrame,
     *,
     keys: list[str],
-    limit: int = MAX_RETRIES,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Of each candidate's attempts up to ``limit``, the first valid one, else the last."""
+    """Of each candidate's attempts (up to ``limit``), the first valid one, else the last."""
     order = Window.partitionBy(*keys).orderBy(
         F.col("is_valid").desc(), F.when(F.col("is_valid"), F.col("attempt")).otherwise(-F.col("attempt"))
     )
     return (
-        attempts.filter(F.col("attempt") <= limit)
+        (attempts if limit is None else attempts.filter(F.col("attempt") <= limit))
         .withColumn("_n", F.row_number().over(order))
         .filter("_n = 1")
         .drop("_n")
@@ -112,12 +111,11 @@ def first_valid_attempt(
 
 
 def refine_invalid(
-    proposals: DataFrame, examples: DataFrame, *, rounds: int = MAX_ROUNDS
+    proposals: DataFrame, examples: DataFrame, *, rounds: int | None = None
 ) -> DataFrame:
     """Replace invalid proposals by the candidate's next attempts, keeping its id.
 
-    Attempt 0 is the proposal, attempts 1..``rounds`` its refinements. Only the
-    first attempt may be in conflict: conflicts go to the resolution instead.
+    Attempt 0 is the proposal, the later ones (up to ``rounds``) its refinements.
     """
     checked = validate_candidates(with_compiled(proposals), examples)
     return first_valid_attempt(
@@ -125,12 +123,16 @@ def refine_invalid(
     )
 
 
-def render_proposals(proposals: DataFrame) -> DataFrame:
+def render_proposals(proposals: DataFrame, *, note_chars: int | None = None) -> DataFrame:
     """Template text, variables, constants, id and notes of proposed regexes.
 
+    The notes are the whole reasoning, or its first ``note_chars`` characters.
     Rows whose regex is invalid or does not match the sample get a null template.
     """
     template = F.col("_r.template")
+    notes = F.coalesce("reasoning", F.lit(""))
+    if note_chars is not None:
+        notes = F.substring(notes, 1, note_chars)
     return (
         proposals.withColumn("_r", python_render(F.col("regex"), F.col("transformed")))
         .withColumn("template", template)
@@ -140,6 +142,6 @@ def render_proposals(proposals: DataFrame) -> DataFrame:
             "candidate_id",
             X.template_digest_id(F.col("device_type"), F.col("vendor"), template),
         )
-        .withColumn("notes", F.substring(F.coalesce("reasoning", F.lit("")), 1, NOTE_CHARS))
+        .withColumn("notes", notes)
         .drop("_r")
     )

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thresher.functions import dialect
+from thresher.operators.match import WORD_SPLIT
 from thresher.schemas import LIBRARY_KEY
 from thresher.session import bounded, materialize
 
-MAX_CHECKS = 500
-MAX_CONFLICTS = 5
-SHOWN_CONFLICTS = 3
 BROADCAST_LIMIT = 256 << 20
 
 # The texts of the reasons.
@@ -20,83 +18,122 @@ NOT_OWN_SAMPLE = "generated regex does not match the source sample"
 CONFLICTS = "conflicts with existing templates: "
 
 
-def example_lists(examples: DataFrame, max_checks: int = MAX_CHECKS) -> DataFrame:
-    """Per library its first examples as one array.
-
-    Only so many are ever compared with a candidate, plus the candidate's own, so
-    the array is bounded and the ranking keeps that many rows per task.
-    """
-    order = Window.partitionBy(*LIBRARY_KEY).orderBy("position")
-    return (
-        examples.select(*LIBRARY_KEY, "position", "template_id", "transformed")
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= max_checks + 1)
-        .groupBy(*LIBRARY_KEY)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("position", "template_id", "transformed"))
-            ).alias("examples")
-        )
-    )
-
-
 def detect_conflicts(
     candidates: DataFrame,
     examples: DataFrame,
     *,
-    max_checks: int = MAX_CHECKS,
-    max_conflicts: int = MAX_CONFLICTS,
+    max_checks: int | None = None,
+    max_conflicts: int | None = None,
 ) -> DataFrame:
     """Add ``conflicting_template_ids``: other templates whose example a candidate matches.
 
     ``candidates`` hold the compiled columns, ``candidate_id`` and, optionally,
-    ``position``: then only examples before that position count.
+    ``position``: then only examples before that position count. All examples of the
+    library are compared and all conflicts listed, in order of position, unless a
+    caller limits them: ``max_checks`` examples of other templates from the first on.
+
+    A candidate meets the examples that hold its rarest required word; a candidate
+    without one meets all of its library.
     """
-    lists = materialize(example_lists(examples, max_checks), "example_lists")
-    if bounded(lists, [F.to_json("examples")], BROADCAST_LIMIT):
-        # A library with most of the candidates stays spread over all tasks.
-        lists = F.broadcast(lists)
-    joined = candidates.join(lists, LIBRARY_KEY, "left")
-    other = lambda e: e["template_id"] != F.col("candidate_id")
-    checked = F.slice(F.filter("examples", other), 1, max_checks)
+    rows = materialize(
+        candidates.withColumn("_row", F.monotonically_increasing_id()), "candidates"
+    )
+    shown = examples.select(*LIBRARY_KEY, "position", "template_id", "transformed")
+    if max_checks is not None:
+        order = Window.partitionBy(*LIBRARY_KEY).orderBy("position")
+        shown = shown.withColumn("_n", F.row_number().over(order)).filter(
+            F.col("_n") <= max_checks + 1
+        )
+    pairs = _pairs(rows, materialize(shown, "examples"))
+    pairs = pairs.filter(F.col("template_id") != F.col("candidate_id"))
     if "position" in candidates.columns:
-        checked = F.filter(checked, lambda e: e["position"] < F.col("position"))
-    joined = joined.withColumn("examples", F.coalesce(checked, F.array().cast(joined.schema["examples"].dataType)))
-    native = joined.filter(F.col("mode").isin("linear", "java"))
-    hits = F.filter("examples", lambda e: dialect.matches(e["transformed"], F.col("test")))
-    out = native.withColumn("_ids", F.transform(hits, lambda e: e["template_id"]))
-    rest = joined.filter(~F.col("valid") | (F.col("mode") == "python"))
-    if not rest.isEmpty():
-        out = out.unionByName(_python_conflicts(rest))
-    return out.withColumn(
-        "conflicting_template_ids", F.slice("_ids", 1, max_conflicts)
-    ).drop("_ids", "examples")
-
-
-def _python_conflicts(rows: DataFrame) -> DataFrame:
-    texts = F.transform("examples", lambda e: e["transformed"])
-    found = dialect.python_matching(F.when(F.col("valid"), F.col("regex")), texts)
-    return rows.withColumn("_hits", found).withColumn(
-        "_ids", F.transform("_hits", lambda i: F.get("examples", i)["template_id"])
-    ).drop("_hits")
-
-
-def validate_candidates(candidates: DataFrame, examples: DataFrame, **caps) -> DataFrame:
+        pairs = pairs.filter(F.col("position") < F.col("_before"))
+    if max_checks is not None:
+        own = shown.select(
+            *LIBRARY_KEY, F.col("template_id").alias("candidate_id"), F.col("_n").alias("_own")
+        )
+        pairs = pairs.join(own, [*LIBRARY_KEY, "candidate_id"], "left").filter(
+            F.col("_n") - F.coalesce(F.col("_own") < F.col("_n"), F.lit(False)).cast("int")
+            <= max_checks
+        )
+    text, mode = F.col("transformed"), F.col("mode")
+    hits = pairs.filter(mode != "python").filter(dialect.matches(text, F.col("test")))
+    kept = ["_row", "position", "template_id"]
+    found = hits.select(*kept)
+    if not rows.filter("mode = 'python'").isEmpty():
+        slow = pairs.filter(mode == "python").filter(
+            dialect.python_fullmatch(F.col("regex"), text)
+        )
+        found = found.unionByName(slow.select(*kept))
+    ids = F.transform(
+        F.array_sort(F.collect_list(F.struct("position", "template_id"))),
+        lambda e: e["template_id"],
+    )
+    listed = found.groupBy("_row").agg(ids.alias("_ids"))
+    ids = F.coalesce("_ids", F.array().cast("array<string>"))
+    if max_conflicts is not None:
+        ids = F.slice(ids, 1, max_conflicts)
+    return (
+        rows.join(listed, "_row", "left")
+        .withColumn("conflicting_template_ids", ids)
+        .drop("_row", "_ids")
+    )
+
+
+def _pairs(rows: DataFrame, examples: DataFrame) -> DataFrame:
+    """Valid candidates next to the examples that may match them."""
+    before = F.col("position") if "position" in rows.columns else F.lit(None).cast("bigint")
+    asked = rows.filter("valid").select(
+        *LIBRARY_KEY, "_row", "candidate_id", before.alias("_before"), "mode", "test", "regex", "words"
+    )
+    spelled = examples.select(
+        "*", F.explode(F.array_distinct(F.split("transformed", WORD_SPLIT))).alias("anchor")
+    )
+    place = [*LIBRARY_KEY, "anchor"]
+    wanted = asked.select(*LIBRARY_KEY, "_row", F.explode("words").alias("anchor"))
+    # A required word that no example holds rules all of them out.
+    counts = wanted.join(spelled.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), place, "left")
+    rarest = (
+        counts.groupBy(*LIBRARY_KEY, "_row")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "anchor")).alias("b"))
+        .select(*LIBRARY_KEY, "_row", F.col("b.anchor").alias("anchor"))
+    )
+    # A word that many examples share is spread with them: the candidates are copied.
+    by_word = _small(asked.join(rarest, [*LIBRARY_KEY, "_row"]))
+    free = _small(asked.filter(F.size("words") == 0))
+    columns = [*examples.columns, "_row", "candidate_id", "_before", "mode", "test", "regex"]
+    return (
+        spelled.join(by_word, place)
+        .select(*columns)
+        .unionByName(examples.join(free, LIBRARY_KEY).select(*columns))
+    )
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast if measured small; a join on the key otherwise."""
+    table = materialize(rows, "asked")
+    return F.broadcast(table) if bounded(table, ["regex", "test", "candidate_id"], BROADCAST_LIMIT) else table
+
+
+def validate_candidates(
+    candidates: DataFrame, examples: DataFrame, *, shown: int | None = None, **caps
+) -> DataFrame:
     """Add ``is_valid``, ``reasons`` and ``conflicting_template_ids``.
 
-    A regex must compile, fully match its own sample (``transformed``) and match
+    The reason names all templates in conflict, or the first ``shown``. A regex must compile, fully match its own sample (``transformed``) and match
     no other template's example; the first failing check is the reason.
     """
     checked = detect_conflicts(with_own_sample(candidates), examples, **caps)
     ids = F.when(
         F.col("own_sample"), F.col("conflicting_template_ids")
     ).otherwise(F.array().cast("array<string>"))
+    named = ids if shown is None else F.slice(ids, 1, shown)
     reason = (
         F.when(~F.col("valid"), F.format_string(INVALID_REGEX.replace("{}", "%s"), F.col("error")))
         .when(~F.col("own_sample"), F.lit(NOT_OWN_SAMPLE))
         .when(
             F.size(ids) > 0,
-            F.concat(F.lit(CONFLICTS), F.array_join(F.slice(ids, 1, SHOWN_CONFLICTS), ", ")),
+            F.concat(F.lit(CONFLICTS), F.array_join(named, ", ")),
         )
     )
     return (

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_FOLDERS: list[str] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -47,7 +48,24 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         root = _local_root().name
-    return f"{root.rstrip('/')}/thresher-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/thresher-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Close a run: delete all scratch folders of this driver.
+
+    Results that were not written elsewhere read those folders and are lost with them.
+    """
+    while _FOLDERS:
+        drop_table(spark, _FOLDERS.pop())
 
 
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

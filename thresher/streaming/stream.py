@@ -13,42 +13,41 @@ from thresher.plans.parse import parse_logs
 from thresher.schemas import LIBRARY_KEY, LINE_KEY
 from thresher.sources import store
 
-STREAM_CASE_LIMIT = 2000
-
 
 def stream_match(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """Stateless matching with variables on a stream of lines with their library.
 
-    The generated expression is the only form that needs no shuffle, so it is
-    used up to a higher number of templates than in batch jobs; beyond that,
-    match each micro-batch with `match_templates` in ``foreachBatch``.
+    Small libraries are a generated expression, larger ones a word index that every
+    task holds; both are map-only, so nothing is kept between batches.
     """
-    compiled = M.compiled_templates(templates)
-    if compiled.limit(STREAM_CASE_LIMIT + 1).count() > STREAM_CASE_LIMIT:
-        raise ValueError("library too large for an expression; match in foreachBatch")
     return M.match_compiled(
-        normalize_lines(lines), compiled, variables=True, case_limit=STREAM_CASE_LIMIT
+        normalize_lines(lines), M.compiled_templates(templates), variables=True
     )
 
 
-def learn_batch(store_path: str, output_path: str, **options) -> Callable[[DataFrame, int], None]:
+def learn_batch(
+    store_path: str, output_path: str, *, stream_id: str | None = None, **options
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: parse a micro-batch and grow the stored library.
 
-    Rows go to a folder per batch and the library to a version labelled with the
-    batch, so a batch that is run again replaces its rows and does not learn twice.
+    Rows go to a folder per batch, and the library version carries the batch's number
+    under ``stream_id`` (the output folder, if not given). A batch that is run again
+    replaces its rows and does not learn twice; other streams on the store are their
+    own. A version that another stream published meanwhile makes the batch fail and
+    be run again by Spark.
     """
+    stream = stream_id or output_path
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        label = f"batch-{batch_id}"
-        if store.is_published(spark, store_path, label):
+        if store.is_published(spark, store_path, stream, batch_id):
             return
         templates, meta = store.open_library(spark, store_path)
         parsed = parse_logs(batch.select(*LINE_KEY, "raw_line"), templates, meta, **options)
         parsed.rows.drop("transformed").write.mode("overwrite").parquet(
             f"{output_path}/batch={batch_id}"
         )
-        store.save_library(parsed.templates, parsed.meta, store_path, label)
+        store.save_library(parsed.templates, parsed.meta, store_path, (stream, batch_id))
 
     return run
 
