@@ -4,7 +4,9 @@ Documents are cut into full windows and one remainder each. Only the histogram o
 the remainders' lengths (at most ``WINDOW - 1`` counts) decides the plan: the longest
 length left opens a window, a subset-sum over bitsets finds the multiset of other
 lengths that fills it closest to capacity, and the pattern is repeated as often as
-the counts allow. The plan's rules then number the pieces of each length.
+the counts allow. The plan's rules then number the pieces of each length. A length
+whose windows would stay emptier than ``SLACK`` (many copies of one text) joins
+the tail instead: its pieces are laid end to end and cut where a window is full.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thresher.llm.common import numbered
-from thresher.session import materialize, scratch_dir
+from thresher.llm.common import BROADCAST_BYTES, numbered
+from thresher.session import bounded, materialize, scratch_dir
 
 WINDOW = 2048
 END = 1
-BATCH_BYTES = 4 << 20
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+# A pattern that leaves more than this part of a window empty makes its length a tail.
+SLACK = 1 / 128
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 RULES = "length long, low long, high long, first long, each long, at long, total long"
 
 
@@ -62,24 +66,28 @@ def encoder(path: str):
 
 
 def pieces(documents: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
-    """Pieces of every whole document: full windows, then the remainder, if any."""
+    """Pieces of every whole document: full windows, then the remainder, if any.
+
+    ``ids`` holds the remainder's ids (little-endian, 32 bits), in case it is cut again.
+    """
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = encode(text) if text else []
                 ids.append(END)
                 data = memoryview(array("I", ids).tobytes())
                 for start in range(0, len(ids), window):
                     part = data[4 * start : 4 * (start + window)]
-                    for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), len(ids))):
+                    kept = bytes(part) if len(part) < 4 * window else None
+                    row = (doc_id, start, len(part) // 4, zlib.crc32(part), len(ids), kept)
+                    for column, value in zip(out, row):
                         column.append(value)
-            yield pa.record_batch(
-                [pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            )
+            numbers = [pa.array(c, pa.int64()) for c in out[:5]]
+            yield pa.record_batch([*numbers, pa.array(out[5], pa.binary())], names=PIECE_COLUMNS)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES)
@@ -89,10 +97,11 @@ def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
     """The multiset of ``counts`` with the largest sum up to ``room``: (length, times).
 
     Bit s of ``reach`` is set if some multiset sums to s. Counts enter as powers of two,
-    longest lengths first, and the search ends once ``room`` itself is reached.
+    lengths with the most tokens left first (so that a length shared by very many texts
+    is not what remains at the end), and the search ends once ``room`` is reached.
     """
     mask, reach, steps = (1 << (room + 1)) - 1, 1, []
-    for length in sorted((x for x in counts if x <= room and counts[x]), reverse=True):
+    for length in sorted((x for x in counts if x <= room and counts[x]), key=lambda x: (-x * counts[x], -x)):
         left, times = min(counts[length], room // length), 1
         while left:
             times = min(times, left)
@@ -114,17 +123,22 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
 
     Remainders ``low`` to ``high - 1`` of a length go to sequences from ``first`` on,
     ``each`` to a sequence, the first of them at offset ``at``; the sequence holds
-    ``total`` tokens.
+    ``total`` tokens. ``each`` 0 is the tail: remainders lie one after another from
+    place ``at`` of a stream of ``total`` tokens that fills sequences from ``first`` on.
     """
     left, taken, rules, sequence = dict(histogram), dict.fromkeys(histogram, 0), [], 0
+    tail: dict[int, int] = {}
     for seed in sorted(histogram, reverse=True):
         while left[seed]:
             left[seed] -= 1
             pattern = dict(fill(left, window - seed))
             left[seed] += 1
             pattern[seed] = pattern.get(seed, 0) + 1
-            repeats = min(left[n] // k for n, k in pattern.items())
             at, total = 0, sum(n * k for n, k in pattern.items())
+            if total < window * (1 - SLACK):
+                tail[seed], left[seed] = left[seed], 0
+                break
+            repeats = min(left[n] // k for n, k in pattern.items())
             for length, each in sorted(pattern.items(), reverse=True):
                 low = taken[length]
                 taken[length] += each * repeats
@@ -132,6 +146,10 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
                 rules.append((length, low, taken[length], sequence, each, at, total))
                 at += each * length
             sequence += repeats
+    total, at = sum(n * k for n, k in tail.items()), 0
+    for length, count in tail.items():
+        rules.append((length, taken[length], taken[length] + count, sequence, 0, at, total))
+        at += length * count
     return rules
 
 
@@ -149,22 +167,67 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDO
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
     full = counts.pop(window, 0)
     rules = plan(counts, window)
+    tail = any(rule[4] == 0 for rule in rules)
     if full:
         rules.append((window, 0, full, -full, 1, 0, window))
     rules = F.broadcast(spark.createDataFrame(rules, RULES))
-    lined = numbered(parts, ["length"], ["doc_id", "start", "ids_crc32"], "place")
+    lined = numbered(parts.drop("ids"), ["length"], ["doc_id", "start", "ids_crc32"], "place")
     inside = F.col("place") - F.col("low")
-    return (
+    stream = F.col("at") + inside * F.col("length")
+    in_tail = F.col("each") == 0
+    each = F.greatest("each", F.lit(1))
+    sequence = F.when(in_tail, F.floor(stream / window)).otherwise(F.floor(inside / each))
+    rest = F.col("total") - F.floor(stream / window) * window
+    placed = (
         lined.join(rules, "length")
         .filter("place >= low and place < high")
         .select(
-            "doc_id",
-            "start",
-            "length",
-            "ids_crc32",
-            "doc_tokens",
-            (F.lit(full) + F.col("first") + F.floor(inside / F.col("each"))).alias("sequence_id"),
-            (F.col("at") + F.pmod(inside, F.col("each")) * F.col("length")).alias("offset"),
-            F.col("total").alias("sequence_tokens"),
+            *[c for c in PIECE_COLUMNS if c != "ids"],
+            (F.lit(full) + F.col("first") + sequence).alias("sequence_id"),
+            F.when(in_tail, F.pmod(stream, F.lit(window)))
+            .otherwise(F.col("at") + F.pmod(inside, each) * F.col("length"))
+            .alias("offset"),
+            F.when(in_tail, F.least(rest, F.lit(window))).otherwise(F.col("total")).alias("sequence_tokens"),
+            F.when(in_tail, F.least(rest - window, F.lit(window))).alias("next_tokens"),
+        )
+    )
+    if not tail:
+        return placed.drop("next_tokens")
+    placed = materialize(placed, "placed", folder)
+    over = F.col("offset") + F.col("length") > window
+    return placed.filter(~over).drop("next_tokens").unionByName(_cut(placed.filter(over), parts, window))
+
+
+def _cut(over: DataFrame, parts: DataFrame, window: int) -> DataFrame:
+    """Pieces that reach past their window as two: the end of it, and the next one's start.
+
+    Their ids come from the stored pieces: the few keys are broadcast if measured small.
+    Rows that repeat an id and its ids have one entry there and two here.
+    """
+    key = ["start", "length", "ids_crc32"]
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
+    asked = materialize(over.withColumn("name", named), "over")
+    keys = asked.select("name", *key).distinct()
+    if bounded(keys, ["name"], BROADCAST_BYTES):
+        keys = F.broadcast(keys)
+    stored = parts.select(named, *key, "ids").join(keys, ["name", *key], "left_semi").dropDuplicates(["name", *key])
+    first = window - F.col("offset")
+    head, rest = F.substring("ids", F.lit(1), 4 * first), F.substring("ids", 4 * first + 1, 4 * (F.col("length") - first))
+    piece = F.array(
+        F.struct(
+            F.col("start").alias("start"), first.alias("length"), F.crc32(head).alias("ids_crc32"),
+            F.col("sequence_id"), F.col("offset"), F.col("sequence_tokens"),
+        ),
+        F.struct(
+            (F.col("start") + first).alias("start"), (F.col("length") - first).alias("length"), F.crc32(rest).alias("ids_crc32"),
+            (F.col("sequence_id") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+            F.col("next_tokens").alias("sequence_tokens"),
+        ),
+    )
+    return (
+        asked.join(stored, ["name", *key])
+        .select("doc_id", "doc_tokens", F.explode(piece).alias("p"))
+        .select(
+            "doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset", "p.sequence_tokens"
         )
     )
