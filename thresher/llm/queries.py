@@ -67,3 +67,30 @@ QUERIES = {
         op10_packing,
     )
 }
+
+# SQL forms of the results that have one. The others rest on learned models, random
+# draws, 64-bit xxHash or token ids; tests/llm holds them against brute force.
+ORACLES = {
+    "op4_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        g as (select h, max(page_id) as target from p group by h),
+        j as (select p.*, target, strlen(p.h) >= 1000 and target is not null and page_id is distinct from target as again
+              from p join g using (h))
+        select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest,
+               case when again then 'revisit' else 'response' end as record_type,
+               case when again then target end as refers_to from j""",
+    "op7_embedding_dedup": """
+        with recursive v as (
+            select vec_id, min(embedding)::double[] as e from embeddings
+            where vec_id is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by vec_id),
+        l as (select a.vec_id as a, b.vec_id as b from v a join v b
+              on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(vec_id, root) as (
+            select distinct vec_id, vec_id from embeddings where vec_id is not null
+            union select l.b, reach.root from reach join l on l.a = reach.vec_id),
+        n as (select a as vec_id, count(*) as n_links from l group by a)
+        select vec_id, coalesce(any_value(n_links), 0) as n_links, min(root) as component_id, vec_id = min(root) as kept
+        from reach left join n using (vec_id) group by vec_id""",
+}
