@@ -4,7 +4,7 @@ A count is stored as its level on a logarithmic scale: an n-gram of level q is p
 the filter q times, tagged 1 to q. A lookup probes tag 1, 2, ... until one is missing,
 so frequent n-grams cost more probes and no count is ever read too low. The filter
 holds words and word pairs, is cut into segments that tasks build on their own, and is
-broadcast whole: at most ``MAX_BITS`` (128 MB). Probabilities interpolate the pair with
+broadcast whole: at most ``MAX_BITS`` (64 MB). Probabilities interpolate the pair with
 the add-one word probability, both read from the filter.
 """
 
@@ -26,13 +26,15 @@ from thresher.session import materialize, scratch_dir
 BASE = 1.5
 LEVELS = 96
 PROBES = 4
+BLOCK_BITS, PLACE_BITS, BLOCK_LEVELS = 512, 9, 4
 BITS_PER_TOKEN = 8
-MIN_BITS, MAX_BITS = 1 << 23, 1 << 30
+MIN_BITS, MAX_BITS = 1 << 23, 1 << 29
 SEGMENTS = 1024
 PAIR_WEIGHT = 0.15
 FREQUENT = 1 << 17
 END = b"\n"
 STEP_BYTES = 1 << 20
+COUNTED_WORDS = 200_000
 
 # Smallest count of each level, and the mean of a level's whole counts.
 LEVEL_FROM = np.unique(np.ceil(BASE ** np.arange(LEVELS)).astype(np.int64))
@@ -98,22 +100,29 @@ def steps(texts: list[str | None]) -> Iterator[tuple[int, Tokens]]:
 
 
 class Filter:
-    """The finished filter: one block of bits, read by probing."""
+    """The finished filter: one run of bits, read by probing."""
 
-    def __init__(self, bits: np.ndarray):
+    def __init__(self, bits: bytes):
         self.bits, self.segment_bits = bits, len(bits) * 8 // SEGMENTS
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key; 0 if absent. Probes level by level until a miss."""
         found = np.zeros(len(keys), np.int64)
-        alive, base = np.arange(len(keys)), segment_of(keys).astype(np.int64) * self.segment_bits
+        bits, alive = np.frombuffer(self.bits, np.uint8), np.arange(len(keys))
+        base = segment_of(keys).astype(np.int64) * self.segment_bits
+        block = None
         for level in range(1, len(LEVEL_MEAN)):
-            for probe in range(PROBES):
-                at = base[alive] + positions(keys[alive], level, probe, self.segment_bits)
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-                alive = alive[hit == 1]
-            if not len(alive):
+            if (level - 1) % BLOCK_LEVELS == 0:
+                block = base + block_start(keys, level, self.segment_bits)
+            hit = None
+            for offset in offsets(keys, level):
+                at = block + offset
+                bit = bits[at >> 3] >> (at & 7).astype(np.uint8)
+                hit = bit if hit is None else hit & bit
+            kept = np.flatnonzero(hit & 1)
+            if not len(kept):
                 break
+            alive, keys, base, block = alive[kept], keys[kept], base[kept], block[kept]
             found[alive] = level
         return found
 
@@ -125,9 +134,21 @@ def segment_of(keys: np.ndarray) -> np.ndarray:
     return keys >> np.uint64(64 - SEGMENTS.bit_length() + 1)
 
 
-def positions(keys: np.ndarray, level: int, probe: int, segment_bits: int) -> np.ndarray:
-    tag = np.uint64((level * PROBES + probe) * 0xD6E8FEB86659FD93 & (2**64 - 1))
-    return (mix(keys + tag) & np.uint64(segment_bits - 1)).astype(np.int64)
+def _tag(number: int) -> np.uint64:
+    return np.uint64(number * 0xD6E8FEB86659FD93 & (2**64 - 1))
+
+
+def block_start(keys: np.ndarray, level: int, segment_bits: int) -> np.ndarray:
+    """First bit, within the segment, of the block for this level and the next three:
+    all probes of a key fall in one block, so a lookup reads one cache line."""
+    blocks = mix(keys + _tag(2 * ((level - 1) // BLOCK_LEVELS) + 1)) & np.uint64(segment_bits // BLOCK_BITS - 1)
+    return blocks.astype(np.int64) * BLOCK_BITS
+
+
+def offsets(keys: np.ndarray, level: int) -> list[np.ndarray]:
+    """Places of the level's probes inside its block."""
+    spread = mix(keys + _tag(2 * level)).view(np.int64)
+    return [(spread >> (PLACE_BITS * i)) & (BLOCK_BITS - 1) for i in range(PROBES)]
 
 
 def set_bits(bits: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
@@ -135,20 +156,28 @@ def set_bits(bits: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
     levels = np.searchsorted(LEVEL_FROM, counts, side="right")
     for level in range(1, int(levels.max(initial=0)) + 1):
         own = keys[levels >= level]
-        for probe in range(PROBES):
-            bits[positions(own, level, probe, len(bits))] = 1
+        block = block_start(own, level, len(bits))
+        for offset in offsets(own, level):
+            bits[block + offset] = 1
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, n`` over all tokens of all texts; partial sums leave the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+
+        def sums() -> pa.RecordBatch:
+            return pa.record_batch({"word": pa.array(list(total), pa.binary()), "n": pa.array(total.values(), pa.int64())})
+
         for batch in batches:
-            total: Counter = Counter()
-            for text in batch["text"].to_pylist():
-                total.update(words(text))
+            for text in batch["text"]:
+                total.update(words(text.as_py()))
                 total[END] += 1
-            yield pa.record_batch({"word": pa.array(list(total), pa.binary()), "n": pa.array(total.values(), pa.int64())})
+                if len(total) > COUNTED_WORDS:
+                    yield sums()
+                    total.clear()
+        yield sums()
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -161,7 +190,9 @@ def key_counts(texts: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for _, tokens in steps(batch["text"].to_pylist()):
                 own, before = tokens.hashes[tokens.places], tokens.hashes[tokens.before()]
-                keys, n = np.unique(np.concatenate([mix(own), pair_keys(before, own)]), return_counts=True)
+                pairs, times = np.unique(pair_keys(before, own), return_counts=True)
+                keys = np.concatenate([mix(tokens.hashes), pairs])
+                n = np.concatenate([np.bincount(tokens.places, minlength=len(tokens.hashes)), times])
                 segment = segment_of(keys).astype(np.int32)
                 yield pa.record_batch({"segment": segment, "key": keys.view(np.int64), "n": n.astype(np.int64)})
 
@@ -216,7 +247,7 @@ def build_filter(texts: DataFrame, tokens: int, folder: str) -> Filter:
     for row in built.toLocalIterator():
         at = row["segment"] * (segment_bits // 8)
         joined[at : at + segment_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(joined)
+    return Filter(joined.tobytes())
 
 
 @dataclass
@@ -251,7 +282,7 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
     token per text are scored; null texts count as empty, so each has the end token.
     ``base_score`` uses exact counts: frequent words from a bounded broadcast, rare ones
     through a join on the word, where none is hot. ``score`` is the filter's
-    ``w * c(hv) / c(h) + (1 - w) * (c(v) + 1) / (N + V + 1)``, only the second part after
+    ``w * c(hv) / c(h) + (1 - w) * (c(v) + 1) / (N + V + 1)`` (c(hv) at most c(h) and c(v)), only the second part after
     an unseen h, and never above 0. Null ids and repeated rows stay; with nothing to
     learn from N and V are 0 and nothing is known.
     """
@@ -265,8 +296,8 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, known = model.value, frequent.value.logs
         for batch in batches:
-            texts, out = batch["text"].to_pylist(), {k: [] for k in ("n_tokens", "known", "logs", "score", "rare", "times")}
-            for _, t in steps(texts):
+            # One batch out for each step: what a task holds does not grow with its input.
+            for start, t in steps(batch["text"].to_pylist()):
                 hashes = t.hashes
                 logs = np.array([known.get(w, -1.0) for w in t.vocabulary])
                 seen = bloom.count(mix(hashes))
@@ -274,24 +305,31 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
                 before = t.before()
                 pair = bloom.count(pair_keys(hashes[before], hashes[t.places]))
                 context = seen[before]
-                share = np.minimum(pair, context) / np.maximum(context, 1.0)
+                # No pair is more frequent than its words: this also stops most false hits.
+                pair = np.minimum(pair, np.minimum(context, seen[t.places]))
+                share = pair / np.maximum(context, 1.0)
                 chance = np.where(context > 0, pair_weight * share + (1 - pair_weight) * single[t.places], single[t.places])
                 starts = np.concatenate(([0], t.ends[:-1]))
                 own = logs[t.places]
-                out["n_tokens"] += (t.ends - starts).tolist()
-                out["known"] += np.add.reduceat((own >= 0).astype(np.int64), starts).tolist()
-                out["logs"] += np.add.reduceat(np.maximum(own, 0.0), starts).tolist()
-                out["score"] += np.add.reduceat(np.minimum(np.log10(chance), 0.0), starts).tolist()
                 unknown = np.flatnonzero(own < 0)
+                # Each document's rare words with their number of occurrences, as flat lists.
                 owner = np.searchsorted(t.ends, unknown, side="right")
-                rare = [Counter() for _ in starts]
-                for doc, place in zip(owner.tolist(), t.places[unknown].tolist()):
-                    rare[doc][t.vocabulary[place]] += 1
-                out["rare"] += [list(r) for r in rare]
-                out["times"] += [list(r.values()) for r in rare]
-            kinds_of = {"rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
-            columns = {k: pa.array(v, kinds_of.get(k, pa.float64() if k in ("logs", "score") else pa.int64())) for k, v in out.items()}
-            yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"]} | columns)
+                pairs, times = np.unique(owner * len(hashes) + t.places[unknown], return_counts=True)
+                bounds = np.searchsorted(pairs, np.arange(len(starts) + 1) * len(hashes)).astype(np.int32)
+                rare = pa.array([t.vocabulary[i] for i in (pairs % len(hashes)).tolist()], pa.binary())
+                part = batch.slice(start, len(starts))
+                yield pa.record_batch(
+                    {
+                        "row": part["row"],
+                        "doc_id": part["doc_id"],
+                        "n_tokens": t.ends - starts,
+                        "known": np.add.reduceat((own >= 0).astype(np.int64), starts),
+                        "logs": np.add.reduceat(np.maximum(own, 0.0), starts),
+                        "score": np.add.reduceat(np.minimum(np.log10(chance), 0.0), starts),
+                        "rare": pa.ListArray.from_arrays(bounds, rare),
+                        "times": pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
+                    }
+                )
 
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"),
