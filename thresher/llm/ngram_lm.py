@@ -182,21 +182,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def key_counts(texts: DataFrame, parts: int) -> DataFrame:
-    """``segment, key, n``: hashed words and word pairs of all texts, summed where the
-    segment is built (one shuffle, by segment, after partial sums)."""
+def key_counts(texts: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """``segment, key, n``: hashed words (from their counts) and word pairs of all texts,
+    summed where the segment is built (one shuffle, by segment, after partial sums)."""
+    shape = "segment int, key long, n long"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        segment = segment_of(keys).astype(np.int32)
+        return pa.record_batch({"segment": segment, "key": keys.view(np.int64), "n": n.astype(np.int64)})
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, tokens in steps(batch["text"].to_pylist()):
                 own, before = tokens.hashes[tokens.places], tokens.hashes[tokens.before()]
-                pairs, times = np.unique(pair_keys(before, own), return_counts=True)
-                keys = np.concatenate([mix(tokens.hashes), pairs])
-                n = np.concatenate([np.bincount(tokens.places, minlength=len(tokens.hashes)), times])
-                segment = segment_of(keys).astype(np.int32)
-                yield pa.record_batch({"segment": segment, "key": keys.view(np.int64), "n": n.astype(np.int64)})
+                yield keyed(*np.unique(pair_keys(before, own), return_counts=True))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in batch["word"].to_pylist()], np.uint64)
+            yield keyed(mix(hashes), batch["n"].to_numpy())
 
-    rows = texts.mapInArrow(count, "segment int, key long, n long")
+    rows = texts.mapInArrow(pairs, shape).unionByName(counts.mapInArrow(single, shape))
     return rows.repartition(parts, "segment").groupBy("segment", "key").agg(F.sum("n").alias("n"))
 
 
@@ -211,7 +217,7 @@ def admitted_from(counts: DataFrame, capacity: int) -> int:
     return int(LEVEL_FROM[min(at, len(LEVEL_FROM) - 1)])
 
 
-def build_filter(texts: DataFrame, tokens: int, folder: str) -> Filter:
+def build_filter(texts: DataFrame, words: DataFrame, tokens: int, folder: str) -> Filter:
     """Count, quantise and set bits segment by segment, then join the segments.
 
     The size follows the tokens (8 bits each, as a power of two) up to MAX_BITS. Only
@@ -223,7 +229,7 @@ def build_filter(texts: DataFrame, tokens: int, folder: str) -> Filter:
         bits *= 2
     segment_bits = bits // SEGMENTS
     parts = min(SEGMENTS, max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    counts = key_counts(texts, parts)
+    counts = key_counts(texts, words, parts)
     if tokens * 2 > bits:
         counts = materialize(counts, "ngrams", folder)
         counts = counts.filter(F.col("n") >= admitted_from(counts, bits // 4))
@@ -289,7 +295,7 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
     spark, folder = documents.sparkSession, scratch_dir(documents.sparkSession)
     counts = materialize(word_counts(training), "words", folder)
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(build_filter(training, tokens, folder))
+    model = spark.sparkContext.broadcast(build_filter(training, counts, tokens, folder))
     frequent = spark.sparkContext.broadcast(frequent_words(counts))
     floor = float(np.log10(tokens + kinds + 1.0))
 
