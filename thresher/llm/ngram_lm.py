@@ -25,7 +25,7 @@ from thresher.session import materialize, scratch_dir
 
 BASE = 1.5
 LEVELS = 96
-PROBES = 4
+PROBES = 3
 BLOCK_BITS, PLACE_BITS, BLOCK_LEVELS = 512, 9, 4
 BITS_PER_TOKEN = 8
 MIN_BITS, MAX_BITS = 1 << 23, 1 << 29
