@@ -3,8 +3,10 @@
 A count is stored as its level on a logarithmic scale: an n-gram of level q is put in
 the filter q times, tagged 1 to q. A lookup probes tag 1, 2, ... until one is missing,
 so frequent n-grams cost more probes and no count is ever read too low. The filter
-holds words and word pairs, is cut into segments that tasks build on their own, and is
-broadcast whole: at most ``MAX_BITS`` (64 MB). Probabilities interpolate the pair with
+holds words and word pairs, grows with the tokens and is cut into segments that tasks
+build on their own. Up to ``MAX_BITS`` (64 MB) it is broadcast whole; a larger one stays
+a table, and the keys of the documents go to their segments. Both read the same levels.
+Probabilities interpolate the pair with
 the add-one word probability, both read from the filter.
 """
 
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,30 +109,35 @@ class Filter:
         self.bits, self.segment_bits = bits, len(bits) * 8 // SEGMENTS
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key; 0 if absent. Probes level by level until a miss."""
-        found = np.zeros(len(keys), np.int64)
-        bits, alive = np.frombuffer(self.bits, np.uint8), np.arange(len(keys))
-        base = segment_of(keys).astype(np.int64) * self.segment_bits
-        block = None
-        for level in range(1, len(LEVEL_MEAN)):
-            if (level - 1) % BLOCK_LEVELS == 0:
-                block = base + block_start(keys, level, self.segment_bits)
-            hit = None
-            for offset in offsets(keys, level):
-                at = block + offset
-                bit = bits[at >> 3] >> (at & 7).astype(np.uint8)
-                hit = bit if hit is None else hit & bit
-            kept = np.flatnonzero(hit & 1)
-            if not len(kept):
-                break
-            alive, keys, base, block = alive[kept], keys[kept], base[kept], block[kept]
-            found[alive] = level
-        return found
+        """Level of each key; 0 if absent."""
+        return probe(self.bits, keys, segment_of(keys).astype(np.int64) * self.segment_bits, self.segment_bits)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         return LEVEL_MEAN[self.level(keys)]
 
 
+def probe(data: bytes, keys: np.ndarray, base: np.ndarray, segment_bits: int) -> np.ndarray:
+    """Level of each key, whose segment starts at bit ``base`` of ``data``; 0 if absent.
+    Probes level by level until a miss."""
+    found = np.zeros(len(keys), np.int64)
+    bits, alive = np.frombuffer(data, np.uint8), np.arange(len(keys))
+    block = None
+    for level in range(1, len(LEVEL_MEAN)):
+        if (level - 1) % BLOCK_LEVELS == 0:
+            block = base + block_start(keys, level, segment_bits)
+        hit = None
+        for offset in offsets(keys, level):
+            at = block + offset
+            bit = bits[at >> 3] >> (at & 7).astype(np.uint8)
+            hit = bit if hit is None else hit & bit
+        kept = np.flatnonzero(hit & 1)
+        if not len(kept):
+            break
+        alive, keys, base, block = alive[kept], keys[kept], base[kept], block[kept]
+        found[alive] = level
+    return found
+
+
 def segment_of(keys: np.ndarray) -> np.ndarray:
     return keys >> np.uint64(64 - SEGMENTS.bit_length() + 1)
 
@@ -217,45 +225,124 @@ def admitted_from(counts: DataFrame, capacity: int) -> int:
     return int(LEVEL_FROM[min(at, len(LEVEL_FROM) - 1)])
 
 
-def build_filter(texts: DataFrame, words: DataFrame, tokens: int, folder: str) -> Filter:
-    """Count, quantise and set bits segment by segment, then join the segments.
-
-    The size follows the tokens (8 bits each, as a power of two) up to MAX_BITS. Only
-    beyond that are n-grams left out: those below the smallest count level from which
-    all fit, found from the counts of all of them. Their probability is then the word's.
-    """
+def filter_bits(tokens: int) -> int:
+    """8 to 16 bits for each possible n-gram (word and pair of every token), as a power of two."""
     bits = MIN_BITS
-    while bits < min(MAX_BITS, BITS_PER_TOKEN * 2 * tokens):
+    while bits < BITS_PER_TOKEN * 2 * tokens:
         bits *= 2
+    return bits
+
+
+def build_segments(texts: DataFrame, words: DataFrame, bits: int, folder: str) -> DataFrame:
+    """``segment, bits`` of the filter with all counted n-grams, none left out.
+
+    Rows come sorted by segment, so a task holds one segment while it sets bits.
+    """
     segment_bits = bits // SEGMENTS
     parts = min(SEGMENTS, max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     counts = key_counts(texts, words, parts)
-    if tokens * 2 > bits:
-        counts = materialize(counts, "ngrams", folder)
-        counts = counts.filter(F.col("n") >= admitted_from(counts, bits // 4))
-        counts = counts.repartition(parts, "segment")
+    if bits > MAX_BITS:
+        counts = counts.sortWithinPartitions("segment")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+
+        def packed(segment: int) -> pa.RecordBatch:
+            data = np.packbits(held.pop(segment), bitorder="little").tobytes()
+            return pa.record_batch({"segment": pa.array([segment], pa.int32()), "bits": pa.array([data], pa.binary())})
+
         for batch in batches:
             segments = batch["segment"].to_numpy()
             keys, n = batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy()
             for segment in np.unique(segments).tolist():
+                if bits > MAX_BITS:
+                    for done in [s for s in held if s != segment]:
+                        yield packed(done)
                 own = segments == segment
                 space = held.setdefault(segment, np.zeros(segment_bits, np.uint8))
                 set_bits(space, keys[own], n[own])
-        for segment, space in held.items():
-            packed = np.packbits(space, bitorder="little").tobytes()
-            yield pa.record_batch({"segment": pa.array([segment], pa.int32()), "bits": pa.array([packed], pa.binary())})
+        for segment in list(held):
+            yield packed(segment)
+
+    return materialize(counts.mapInArrow(build, "segment int, bits binary"), "filter", folder)
 
-    built = materialize(counts.mapInArrow(build, "segment int, bits binary"), "filter", folder)
+
+def whole_filter(built: DataFrame, bits: int) -> Filter:
+    """The joined segments, for a filter of at most MAX_BITS."""
+    size = bits // SEGMENTS // 8
     joined = np.zeros(bits // 8, np.uint8)
     for row in built.toLocalIterator():
-        at = row["segment"] * (segment_bits // 8)
-        joined[at : at + segment_bits // 8] = np.frombuffer(row["bits"], np.uint8)
+        joined[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return Filter(joined.tobytes())
 
 
+def step_keys(t: Tokens) -> np.ndarray:
+    """The distinct keys of a step's words and pairs; sorted, so by segment."""
+    own, before = t.hashes[t.places], t.hashes[t.before()]
+    return np.unique(np.concatenate((mix(t.hashes), pair_keys(before, own))))
+
+
+@dataclass
+class Answers:
+    """Levels of one step's keys, read as a Filter is."""
+
+    keys: np.ndarray
+    levels: np.ndarray
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        return LEVEL_MEAN[self.levels[np.searchsorted(self.keys, keys)]]
+
+
+def answered(rows: DataFrame, built: DataFrame, bits: int, folder: str) -> DataFrame:
+    """``rows`` (row, doc_id, text) in steps, each with the levels of its keys.
+
+    A step's keys travel to their segments (8 bytes each), the levels back (1 byte each).
+    """
+    segment_bits = bits // SEGMENTS
+    shape = "step long, row array<long>, doc_id array<long>, text array<string>"
+
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for start, t in steps(batch["text"].to_pylist()):
+                part = batch.slice(start, len(t.ends))
+                yield pa.record_batch({"step": pa.array([at], pa.int64())} | {c: pa.array([part[c].to_pylist()], pa.list_(part[c].type)) for c in ("row", "doc_id", "text")})
+                at += 1
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step, texts in zip(batch["step"].to_pylist(), batch["text"]):
+                keys = step_keys(Tokens.of(texts.as_py()))
+                segments, starts = np.unique(segment_of(keys).astype(np.int32), return_index=True)
+                data = [part.tobytes() for part in np.split(keys, starts[1:])]
+                yield pa.record_batch({"segment": segments, "step": np.full(len(segments), step, np.int64), "data": pa.array(data, pa.binary())})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, data = -1, b""
+        for batch in batches:
+            out: list[tuple] = []
+            for segment, step, own in zip(*(batch[c].to_pylist() for c in ("segment", "step", "data"))):
+                if step < 0:
+                    held, data = segment, own
+                    continue
+                keys = np.frombuffer(own, np.uint64)
+                levels = np.zeros(len(keys), np.int64)
+                if held == segment:
+                    levels = probe(data, keys, np.zeros(len(keys), np.int64), segment_bits)
+                out.append((segment, step, levels.astype(np.uint8).tobytes()))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.record_batch({"segment": pa.array(columns[0], pa.int32()), "step": pa.array(columns[1], pa.int64()), "levels": pa.array(columns[2], pa.binary())})
+
+    held = materialize(rows.mapInArrow(stepped, shape), "steps", folder)
+    questions = held.select("step", "text").mapInArrow(asked, "segment int, step long, data binary")
+    filled = built.select("segment", F.lit(-1).cast("long").alias("step"), F.col("bits").alias("data"))
+    parts = min(SEGMENTS, max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    met = filled.unionByName(questions).repartition(parts, "segment").sortWithinPartitions("segment", "step")
+    levels = met.mapInArrow(answer, "segment int, step long, levels binary")
+    told = levels.groupBy("step").agg(F.sort_array(F.collect_list(F.struct("segment", "levels"))).alias("x"))
+    return held.join(told.select("step", F.col("x.levels").alias("levels")), "step")
+
+
 @dataclass
 class Frequent:
     """The most frequent words (at most FREQUENT) with their exact log10(c + 1)."""
@@ -295,47 +382,60 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
     spark, folder = documents.sparkSession, scratch_dir(documents.sparkSession)
     counts = materialize(word_counts(training), "words", folder)
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(build_filter(training, counts, tokens, folder))
+    bits = filter_bits(tokens)
+    built = build_segments(training, counts, bits, folder)
+    small = bits <= MAX_BITS
+    model = spark.sparkContext.broadcast(whole_filter(built, bits) if small else None)
     frequent = spark.sparkContext.broadcast(frequent_words(counts))
     floor = float(np.log10(tokens + kinds + 1.0))
 
+    def scored(t: Tokens, model: Filter | Answers, row: pa.Array, doc_id: pa.Array) -> pa.RecordBatch:
+        known = frequent.value.logs
+        hashes = t.hashes
+        logs = np.array([known.get(w, -1.0) for w in t.vocabulary])
+        seen = model.count(mix(hashes))
+        single = (seen + 1.0) / (tokens + kinds + 1.0)
+        before = t.before()
+        pair = model.count(pair_keys(hashes[before], hashes[t.places]))
+        context = seen[before]
+        # No pair is more frequent than its words: this also stops most false hits.
+        pair = np.minimum(pair, np.minimum(context, seen[t.places]))
+        share = pair / np.maximum(context, 1.0)
+        chance = np.where(context > 0, pair_weight * share + (1 - pair_weight) * single[t.places], single[t.places])
+        starts = np.concatenate(([0], t.ends[:-1]))
+        own = logs[t.places]
+        unknown = np.flatnonzero(own < 0)
+        # Each document's rare words with their number of occurrences, as flat lists.
+        owner = np.searchsorted(t.ends, unknown, side="right")
+        pairs, times = np.unique(owner * len(hashes) + t.places[unknown], return_counts=True)
+        bounds = np.searchsorted(pairs, np.arange(len(starts) + 1) * len(hashes)).astype(np.int32)
+        rare = pa.array([t.vocabulary[i] for i in (pairs % len(hashes)).tolist()], pa.binary())
+        return pa.record_batch(
+            {
+                "row": row,
+                "doc_id": doc_id,
+                "n_tokens": t.ends - starts,
+                "known": np.add.reduceat((own >= 0).astype(np.int64), starts),
+                "logs": np.add.reduceat(np.maximum(own, 0.0), starts),
+                "score": np.add.reduceat(np.minimum(np.log10(chance), 0.0), starts),
+                "rare": pa.ListArray.from_arrays(bounds, rare),
+                "times": pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
+            }
+        )
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, known = model.value, frequent.value.logs
         for batch in batches:
             # One batch out for each step: what a task holds does not grow with its input.
             for start, t in steps(batch["text"].to_pylist()):
-                hashes = t.hashes
-                logs = np.array([known.get(w, -1.0) for w in t.vocabulary])
-                seen = bloom.count(mix(hashes))
-                single = (seen + 1.0) / (tokens + kinds + 1.0)
-                before = t.before()
-                pair = bloom.count(pair_keys(hashes[before], hashes[t.places]))
-                context = seen[before]
-                # No pair is more frequent than its words: this also stops most false hits.
-                pair = np.minimum(pair, np.minimum(context, seen[t.places]))
-                share = pair / np.maximum(context, 1.0)
-                chance = np.where(context > 0, pair_weight * share + (1 - pair_weight) * single[t.places], single[t.places])
-                starts = np.concatenate(([0], t.ends[:-1]))
-                own = logs[t.places]
-                unknown = np.flatnonzero(own < 0)
-                # Each document's rare words with their number of occurrences, as flat lists.
-                owner = np.searchsorted(t.ends, unknown, side="right")
-                pairs, times = np.unique(owner * len(hashes) + t.places[unknown], return_counts=True)
-                bounds = np.searchsorted(pairs, np.arange(len(starts) + 1) * len(hashes)).astype(np.int32)
-                rare = pa.array([t.vocabulary[i] for i in (pairs % len(hashes)).tolist()], pa.binary())
-                part = batch.slice(start, len(starts))
-                yield pa.record_batch(
-                    {
-                        "row": part["row"],
-                        "doc_id": part["doc_id"],
-                        "n_tokens": t.ends - starts,
-                        "known": np.add.reduceat((own >= 0).astype(np.int64), starts),
-                        "logs": np.add.reduceat(np.maximum(own, 0.0), starts),
-                        "score": np.add.reduceat(np.minimum(np.log10(chance), 0.0), starts),
-                        "rare": pa.ListArray.from_arrays(bounds, rare),
-                        "times": pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
-                    }
-                )
+                part = batch.slice(start, len(t.ends))
+                yield scored(t, model.value, part["row"], part["doc_id"])
+
+    def weigh_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc_id, texts, levels in zip(*(batch[c] for c in ("row", "doc_id", "text", "levels"))):
+                t = Tokens.of(texts.as_py())
+                told = Answers(step_keys(t), np.frombuffer(b"".join(levels.as_py()), np.uint8))
+                yield scored(t, told, row.values, doc_id.values)
 
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"),
@@ -343,7 +443,11 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
         F.col("text").cast("string").alias("text"),
     )
     shape = "row long, doc_id long, n_tokens long, known long, logs double, score double, rare array<binary>, times array<int>"
-    weighed = materialize(rows.mapInArrow(weigh, shape), "weighed", folder)
+    if small:
+        weighed = rows.mapInArrow(weigh, shape)
+    else:
+        weighed = answered(rows, built, bits, folder).drop("step").mapInArrow(weigh_answered, shape)
+    weighed = materialize(weighed, "weighed", folder)
     limit = frequent.value.limit
     rest = counts.filter(F.col("n") < limit) if limit else counts
     pairs = weighed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
