@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.test_ngram_lm import plain_scores
@@ -27,3 +28,13 @@ def test_a_filter_beyond_the_broadcast_keeps_every_ngram(documents, monkeypatch)
     for p in parted:
         if p[0] in exact and p[0] != "3":
             assert p[4] == pytest.approx(exact[p[0]], rel=0.02)
+
+
+def test_false_hits_at_the_planned_fill():
+    pick, size = np.random.default_rng(1), 1 << 17
+    space = np.zeros(size, np.uint8)
+    keys = pick.integers(0, 2**54, size // 16, dtype=np.uint64)
+    lm.set_bits(space, keys, np.ones(len(keys), np.int64))
+    unseen = pick.integers(0, 2**54, 400_000, dtype=np.uint64)
+    found = lm.probe(np.packbits(space, bitorder="little").tobytes(), unseen, np.zeros(len(unseen), np.int64), size)
+    assert (found > 0).mean() < 0.004
