@@ -226,9 +226,10 @@ def admitted_from(counts: DataFrame, capacity: int) -> int:
 
 
 def filter_bits(tokens: int) -> int:
-    """8 to 16 bits for each possible n-gram (word and pair of every token), as a power of two."""
+    """Size for the words and pairs of ``tokens``, none left out: 16 bits a token, as a
+    power of two; MAX_BITS as long as that leaves 2 bits a token."""
     bits = MIN_BITS
-    while bits < BITS_PER_TOKEN * 2 * tokens:
+    while bits < BITS_PER_TOKEN * 2 * tokens and not tokens * 2 <= bits == MAX_BITS:
         bits *= 2
     return bits
 
