@@ -13,7 +13,7 @@ BASE = "/root/testdata/sf0.01"
 def test_queries_are_registered_once_for_each_operator():
     import __spark_entry__
 
-    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
