@@ -63,3 +63,34 @@ def test_rows_with_repeated_or_null_ids_are_kept_by_their_text(documents):
     rows = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(1, 50)), (None, prose(3, 50)), (None, prose(3, 50)), (None, prose(2, 50))]
     found = sorted(((r.doc_id or 0, r.text) for r in simhash.deduplicated(documents(rows)).collect()))
     assert found == sorted([(1, prose(1, 50)), (1, prose(2, 50)), (0, prose(3, 50))])
+
+
+def test_cells_join_what_the_first_rows_of_bands_leave_apart(documents, monkeypatch):
+    """Chains through strays, dealt into blocks of a few rows, equal brute force."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 3)
+    monkeypatch.setattr(simhash, "FAN_ROWS", 2)
+    words = prose(5, 900).split()
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(120)]
+    rows += [(200 + i, changed(" ".join(words[:200]), i, 2 + i % 7)) for i in range(60)]
+    found = {r.doc_id for r in simhash.deduplicated(documents(rows)).collect()}
+    assert found == set(plain_groups(dict(rows)).values()) and 1 < len(found) < 170
+
+
+def test_clashing_columns_and_an_empty_table(spark, documents):
+    rows = documents([(1, prose(1, 50)), (2, prose(1, 50))]).selectExpr("*", "7 as _row", "8 as node", "9 as text_")
+    (kept,) = simhash.deduplicated(rows).collect()
+    assert kept.doc_id == 1 and (kept["_row"], kept.node, kept["text_"]) == (7, 8, 9)
+    assert simhash.deduplicated(rows.limit(0)).columns == rows.columns
+    assert simhash.deduplicated(rows.limit(0)).count() == 0
+
+
+def test_marks_keep_every_pair_at_the_threshold():
+    """Pairs at 0.8 agree in more marks than the floor asks for, by a wide margin."""
+    for seed in range(40):
+        base = simhash.np.random.default_rng(seed).integers(0, 2**64, 900, dtype=simhash.np.uint64)
+        one, two = (simhash.np.sort(x) for x in (base[:800], base[100:]))
+        assert abs(len(simhash.np.intersect1d(one, two)) / 900 - 0.7778) < 1e-3
+        near = simhash.np.frombuffer(simhash.marks(simhash.minima(one)), "u1") == simhash.np.frombuffer(
+            simhash.marks(simhash.minima(two)), "u1"
+        )
+        assert near.mean() > 0.6

@@ -1,8 +1,8 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from tests.llm.test_near_copies import plain_groups
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 from thresher.llm import mixing, packing, toxicity
 from thresher.llm.queries import QUERIES
 from thresher.session import materialize
@@ -36,9 +36,9 @@ def test_each_stage_against_plain_rules(spark):
     assert {r.doc_id for r in mild.collect()} == {i for i, s in scores.items() if s < toxicity.THRESHOLD}
 
     single = materialize(stages["simhash_near_dedup"](spark, mild, BASE), "single")
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in mild.collect()}
+    groups = plain_groups({r.doc_id: r.text for r in mild.collect()})
     assert single.columns == columns
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(plain_components(prints).values()))
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(groups.values()))
 
     mixed = materialize(stages["mixing"](spark, single, BASE), "mixed")
     want = {r.doc_id: r.copies for r in mixing.mix(single).collect() if r.copies}

@@ -2,7 +2,8 @@
 
 ``near_duplicates`` keeps to two bits of 64. Texts whose shingles agree in 0.8 of their
 union lie 10 bits apart on average and up to 20, a radius no block of useful width
-survives. ``deduplicated`` therefore finds its candidates on MinHash bands and decides
+survives. ``deduplicated`` takes the two-bit links of five-word fingerprints as its first
+candidates, adds those of MinHash bands, which find what lies further apart, and decides
 each by the exact similarity of the shingle sets.
 """
 
@@ -29,7 +30,10 @@ SEED = 42
 CHUNK = 200_000
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 5  # a pair at 0.8 shares no band once in 300,000 times
+MARGIN = 0.2  # a pair at 0.8 agrees in under 0.6 of its 160 marks once in 100 million times
 HASHED = 512
+FAN_ROWS = 256
+CELL_ROWS, CELL_BYTES = 1000, 8 << 20
 
 
 _PICK = np.random.default_rng(SEED)
@@ -152,57 +156,243 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     )
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A key for each of ``BANDS`` groups of ``BAND_ROWS`` MinHash values; none for an empty set."""
-    if not len(hashes):
-        return []
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The ``BANDS * BAND_ROWS`` MinHash values of a set of shingle hashes."""
     least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), HASHED):
         least = np.minimum(least, ((hashes[at : at + HASHED] ^ _FLIP) * _FACTOR).min(axis=1))
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """A key for each of ``BANDS`` groups of ``BAND_ROWS`` MinHash values."""
     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def marks(least: np.ndarray) -> bytes:
+    """One byte of each MinHash value: two sets agree in about as many as their similarity."""
+    return (least >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes, as a signed 64-bit number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """``row, doc_id, digest, bands``: ``digest`` names the whole shingle set."""
+    """``row, doc_id, digest, fingerprint, marks, bands``: ``digest`` names the whole shingle set."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            out = []
             for text in batch["text"]:
                 own = shingles(text.as_py(), width)
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                keys.append(bands(own))
+                least = minima(own)
+                digest = xxhash.xxh3_128_digest(own.tobytes())
+                out.append((digest, set_fingerprint(own), marks(least), bands(least) if len(own) else []))
+            digests, prints, seen, keys = zip(*out) if out else ((), (), (), ())
             yield pa.record_batch(
                 {
                     "row": batch["row"],
                     "doc_id": batch["doc_id"],
                     "digest": pa.array(digests, pa.binary()),
+                    "fingerprint": pa.array(prints, pa.int64()),
+                    "marks": pa.array(seen, pa.binary()),
                     "bands": pa.array(keys, pa.list_(pa.int64())),
                 }
             )
 
-    return rows.mapInArrow(sketched, "row long, doc_id long, digest binary, bands array<long>")
+    kinds = "row long, doc_id long, digest binary, fingerprint long, marks binary, bands array<long>"
+    return rows.mapInArrow(sketched, kinds)
+
+
+def _hashed(texts: DataFrame, width: int) -> DataFrame:
+    """``node, hashes``: the sorted shingle hashes of each text."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width).astype("<u8").tobytes() for t in batch["text"]]
+            yield pa.record_batch({"node": batch["row"], "hashes": pa.array(sets, pa.binary())})
+
+    return texts.select("row", "text").mapInArrow(hashed, "node long, hashes binary")
+
+
+def alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets agree in ``similarity`` of their union."""
+    if min(len(one), len(two)) < similarity * max(len(one), len(two)):
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both / max(1, len(one) + len(two) - both) >= similarity
+
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets are alike.
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose shingle sets agree in ``similarity`` of their union."""
+    The set of ``a`` travels once for each ``FAN_ROWS`` of its partners, ahead of theirs,
+    so no set travels twice in a row and no ``a`` gathers more.
+    """
+    fans = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / FAN_ROWS).cast("int").alias("fans"))
+    first = fans.join(sets.withColumnRenamed("node", "a"), "a").select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("long").alias("b"), "hashes"
+    )
+    others = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("fan"), "b")
+    others = others.join(sets.withColumnRenamed("node", "b"), "b").select("a", "fan", "b", "hashes")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, np.zeros(0, np.uint64)
+        left = np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for a, one, two in zip(batch["a"].to_pylist(), batch["one"], batch["two"]):
-                if a != last:
-                    last, left = a, shingles(one.as_py(), width)
-                right = shingles(two.as_py(), width)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both / max(1, len(left) + len(right) - both) >= similarity)
+            for b, data in zip(batch["b"].to_pylist(), batch["hashes"]):
+                own = np.frombuffer(data.as_py(), "<u8")
+                if b is None:
+                    left = own
+                keep.append(b is not None and alike(left, own, similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("two")), "b")
-    held = held.join(texts.select(F.col("row").alias("a"), F.col("text").alias("one")), "a")
-    return held.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long")
+    dealt = first.unionByName(others).repartition("a", "fan").sortWithinPartitions("a", "fan", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(verify, "a long, b long")
+
+
+class Cell:
+    """Rows of one band, or of a pair of its blocks: strays on the left, all rows on the right."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.left, self.right = similarity, [], []
+
+    def joining(self, at: int) -> list[tuple[int, int]]:
+        """Links between different groups, no more than it takes to join them.
+
+        A pair is looked at in the first band both share, if its marks leave it possible.
+        """
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found = []
+        nodes, groups, main = (np.array([r[k] for r in self.right]) for k in ("node", "component", "main"))
+        seen = np.frombuffer(b"".join(r["marks"] for r in self.right), np.uint8).reshape(len(nodes), -1)
+        size = np.array([len(r["hashes"]) for r in self.right])
+        for one in self.left:
+            near = (seen == np.frombuffer(one["marks"], np.uint8)).mean(axis=1)
+            own = len(one["hashes"])
+            able = (near >= self.similarity - MARGIN) & (groups != one["component"])
+            able &= (nodes > one["node"]) | main
+            able &= np.minimum(size, own) >= self.similarity * np.maximum(size, own)
+            able = np.flatnonzero(able)
+            for i in able[np.argsort(-near[able], kind="stable")]:
+                two = self.right[i]
+                a, b = root(one["component"]), root(two["component"])
+                shared = next(k for k, (x, y) in enumerate(zip(one["bands"], two["bands"])) if x == y)
+                if a == b or shared != at:
+                    continue
+                if alike(np.frombuffer(one["hashes"], "<u8"), np.frombuffer(two["hashes"], "<u8"), self.similarity):
+                    parent[a] = b
+                    found.append((one["node"], two["node"]))
+        return found
+
+
+def _joining(cells: DataFrame, similarity: float) -> DataFrame:
+    """The joining links ``(a, b)`` of cells, whose rows come together and in order."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell, found = None, Cell(similarity), []
+        for batch in batches:
+            for place in range(batch.num_rows):
+                row = {name: column[place].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+                if (row["at"], row["key"], row["first"], row["second"]) != key:
+                    if cell.left and cell.right:
+                        found += cell.joining(key[0])
+                    key, cell = (row["at"], row["key"], row["first"], row["second"]), Cell(similarity)
+                (cell.left if row["left"] else cell.right).append(row)
+            yield _links(found)
+            found = []
+        if cell.left and cell.right:
+            yield _links(cell.joining(key[0]))
+
+    order = ["at", "key", "first", "second"]
+    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(join, "a long, b long")
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _cells(shared: DataFrame, roots: DataFrame, described: DataFrame, folder: str) -> DataFrame:
+    """Rows of the bands that still hold several groups, dealt into cells.
+
+    Rows outside a band's largest group (strays) stand on the left, all rows on the right;
+    both are dealt into blocks of bounded rows and bytes that meet pairwise, so the rows of
+    the largest group travel once for each block of strays.
+    """
+    band = ["at", "key"]
+    grouped = shared.select(*band, "node").join(roots, "node", "left")
+    grouped = grouped.withColumn("component", F.coalesce("component", "node"))
+    parts = grouped.groupBy(*band, "component").count()
+    mixed = (
+        parts.groupBy(*band)
+        .agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("n"), F.count("*").alias("parts"))
+        .filter("parts > 1")
+        .select(*band, F.col("most.component").alias("_main"), "n", (F.col("n") - F.col("most.count")).alias("strays"))
+    )
+    rows = grouped.join(mixed, band).join(described, "node")
+    rows = rows.withColumn("main", F.col("component") == F.col("_main")).drop("_main")
+    rows = materialize(rows, "mixed", folder)
+    weight = F.octet_length("hashes")
+    bytes_of = rows.groupBy(*band).agg(
+        F.sum(weight).alias("all_bytes"), F.sum(F.when(~F.col("main"), weight).otherwise(0)).alias("stray_bytes")
+    )
+
+    def blocks(count: str, size: str):
+        return F.ceil(F.greatest(F.col(count) / CELL_ROWS, F.col(size) / CELL_BYTES, F.lit(1.0))).cast("int")
+
+    dealt = rows.join(bytes_of, band).select(
+        *band, "node", "component", "main", "marks", "bands", "hashes",
+        blocks("strays", "stray_bytes").alias("rows_of"), blocks("n", "all_bytes").alias("columns_of"),
+    )
+    columns = [*band, "node", "component", "main", "marks", "bands", "hashes", "first", "second", "left"]
+    place = F.xxhash64("node")
+    left = (
+        dealt.filter("not main")
+        .withColumn("left", F.lit(True))
+        .withColumn("first", F.pmod(place, F.col("rows_of")).cast("int"))
+        .withColumn("second", F.explode(F.sequence(F.lit(0), F.col("columns_of") - 1)))
+    )
+    right = (
+        dealt.withColumn("left", F.lit(False))
+        .withColumn("second", F.pmod(place, F.col("columns_of")).cast("int"))
+        .withColumn("first", F.explode(F.sequence(F.lit(0), F.col("rows_of") - 1)))
+    )
+    return left.select(*columns).unionByName(right.select(*columns))
+
+
+def _first_candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs that a fingerprint, two linked fingerprints or a band propose, through its first row."""
+    prints = classes.groupBy("fingerprint").agg(F.min("node").alias("lead"))
+    equal = classes.join(prints, "fingerprint").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    close = (
+        links(prints.select("fingerprint"))
+        .join(prints.select(F.col("fingerprint").alias("a"), F.col("lead").alias("one")), "a")
+        .join(prints.select(F.col("fingerprint").alias("b"), F.col("lead").alias("two")), "b")
+        .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+    )
+    banded = shared.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return equal.unionByName(close).unionByName(banded).filter("a <> b").distinct()
+
+
+def _fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def deduplicated(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -212,45 +402,37 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, similarity: float = S
     least ``similarity`` (the bands are laid out for 0.8 and more); a group is what links
     reach. Equal sets are compared once, and all wordless texts are one group. The row
     with the smallest id stays (rows without an id come last); every row has its own
-    key, so an id that repeats with another text loses nothing.
-
-    Rows of a band first meet its first row only. Then, in bands that still hold several
-    groups, every row outside the largest one meets the rows of all other groups, so no
-    link between groups is missed and a large group of copies never emits all its pairs.
+    key, so an id that repeats with another text loses nothing. Extra columns of any name
+    stay as they are; an empty table gives no rows.
+
+    Candidates first meet the first row of their fingerprint, of a fingerprint at two bits
+    or fewer (pigeonhole blocks), and of each of their bands. Then, in bands that still
+    hold several groups, every row outside the largest one meets the rows of all other
+    groups inside cells that report joining links only: no link between groups is missed,
+    and a large group of copies never emits its pairs.
     """
-    folder = scratch_dir(documents.sparkSession)
-    rows = materialize(documents.withColumn("_row", F.monotonically_increasing_id()), "rows", folder)
+    folder, name = scratch_dir(documents.sparkSession), _fresh(documents, "_row")
+    rows = materialize(documents.withColumn(name, F.monotonically_increasing_id()), "rows", folder)
     texts = rows.select(
-        F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     sketches = materialize(_sketches(texts, width), "sketches", folder)
     rank = F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "row")
-    classes = sketches.groupBy("digest").agg(F.min(rank).alias("best"), F.first("bands").alias("bands"))
-    classes = materialize(classes.select(F.col("best.row").alias("node"), "best", "bands"), "classes", folder)
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    leads = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = materialize(keyed.join(leads, "key"), "bands", folder)
-
-    first = shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(first, "first", folder)
-    links = materialize(_similar(first, texts, width, similarity), "links", folder)
-    roots = components(links)
-    grouped = shared.drop("lead").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = grouped.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")
-    )
-    rest = materialize(grouped.join(mixed.filter("low <> high").select("key", "main"), "key"), "mixed", folder)
-    strays = rest.filter("component <> main")
-    others = rest.select("key", F.col("node").alias("other"), F.col("component").alias("theirs"))
-    second = (
-        strays.join(others, "key")
-        .filter("component <> theirs")
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = materialize(_similar(materialize(second, "second", folder), texts, width, similarity), "more", folder)
-    roots = components(links.union(more)) if more.head(1) else roots
+    held = F.first(F.struct("fingerprint", "marks", "bands")).alias("s")
+    classes = sketches.groupBy("digest").agg(F.min(rank).alias("best"), held)
+    classes = materialize(classes.select(F.col("best.row").alias("node"), "best", "s.*"), "classes", folder)
+    keyed = classes.select("node", F.posexplode("bands").alias("at", "key"))
+    leads = keyed.groupBy("at", "key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = materialize(keyed.join(leads, ["at", "key"]), "bands", folder)
+
+    first = materialize(_first_candidates(classes, shared), "first", folder)
+    wanted = first.select(F.col("a").alias("row")).union(first.select("b")).union(shared.select("node")).distinct()
+    sets = materialize(_hashed(texts.join(wanted, "row", "left_semi"), width), "sets", folder)
+    found = materialize(_similar(first, sets, similarity), "links", folder)
+    roots = components(found)
+    described = sets.join(classes.select("node", "marks", "bands"), "node")
+    more = materialize(_joining(_cells(shared, roots, described, folder), similarity), "more", folder)
+    roots = components(found.union(more)) if more.head(1) else roots
     rooted = classes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = rooted.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(documents.columns)
+    kept = rooted.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias(name))
+    return rows.join(kept, name, "left_semi").select(documents.columns)
