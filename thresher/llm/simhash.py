@@ -18,9 +18,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from thresher.llm.common import attach, components
-from thresher.session import materialize, scratch_dir
+from thresher.session import bounded, materialize, scratch_dir
 
 DISTANCE = 2
 BLOCKS = 4
@@ -33,6 +35,7 @@ BANDS, BAND_ROWS = 32, 5  # a pair at 0.8 shares no band once in 300,000 times
 MARGIN = 0.2  # a pair at 0.8 agrees in under 0.6 of its 160 marks once in 100 million times
 HASHED = 512
 FAN_ROWS = 256
+IDS_BYTES = 128 << 20
 CELL_ROWS, CELL_BYTES = 1000, 8 << 20
 
 
@@ -165,9 +168,10 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def bands(least: np.ndarray) -> list[int]:
-    """A key for each of ``BANDS`` groups of ``BAND_ROWS`` MinHash values."""
+    """A key for each of ``BANDS`` groups of ``BAND_ROWS`` MinHash values; its low bits number the group."""
     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    keys = np.array(keys, np.uint64) // np.uint64(BANDS) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
+    return keys.view(np.int64).tolist()
 
 
 def marks(least: np.ndarray) -> bytes:
@@ -185,7 +189,8 @@ def set_fingerprint(hashes: np.ndarray) -> int:
 
 
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """``row, doc_id, digest, fingerprint, marks, bands``: ``digest`` names the whole shingle set."""
+    """``row, doc_id, digest, shingles, fingerprint, marks, bands``: ``digest`` names the whole
+    set of shingles, ``shingles`` is their number."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,32 +199,40 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
                 own = shingles(text.as_py(), width)
                 least = minima(own)
                 digest = xxhash.xxh3_128_digest(own.tobytes())
-                out.append((digest, set_fingerprint(own), marks(least), bands(least) if len(own) else []))
-            digests, prints, seen, keys = zip(*out) if out else ((), (), (), ())
+                out.append((digest, len(own), set_fingerprint(own), marks(least), bands(least) if len(own) else []))
+            digests, sizes, prints, seen, keys = zip(*out) if out else ((), (), (), (), ())
             yield pa.record_batch(
                 {
                     "row": batch["row"],
                     "doc_id": batch["doc_id"],
                     "digest": pa.array(digests, pa.binary()),
+                    "shingles": pa.array(sizes, pa.int64()),
                     "fingerprint": pa.array(prints, pa.int64()),
                     "marks": pa.array(seen, pa.binary()),
                     "bands": pa.array(keys, pa.list_(pa.int64())),
                 }
             )
 
-    kinds = "row long, doc_id long, digest binary, fingerprint long, marks binary, bands array<long>"
+    kinds = "row long, doc_id long, digest binary, shingles long, fingerprint long, marks binary, bands array<long>"
     return rows.mapInArrow(sketched, kinds)
 
 
-def _hashed(texts: DataFrame, width: int) -> DataFrame:
-    """``node, hashes``: the sorted shingle hashes of each text."""
+def _sets(texts: DataFrame, nodes: DataFrame, width: int, folder: str, name: str) -> DataFrame:
+    """``node, hashes``: the sorted shingle hashes of the texts of ``nodes``, written."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), width).astype("<u8").tobytes() for t in batch["text"]]
             yield pa.record_batch({"node": batch["row"], "hashes": pa.array(sets, pa.binary())})
 
-    return texts.select("row", "text").mapInArrow(hashed, "node long, hashes binary")
+    wanted = materialize(nodes.select(F.col("node").alias("row")).distinct(), f"{name}_nodes", folder)
+    own = texts.select("row", "text").join(_small(wanted, ["row"]), "row", "left_semi")
+    return materialize(own.mapInArrow(hashed, "node long, hashes binary"), f"{name}_sets", folder)
+
+
+def _small(ids: DataFrame, columns: list[str]) -> DataFrame:
+    """Broadcast while its measured size allows; a shuffle join otherwise."""
+    return F.broadcast(ids) if bounded(ids, columns, IDS_BYTES) else ids
 
 
 def alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
@@ -258,17 +271,62 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(verify, "a long, b long")
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose marks and sizes leave ``similarity`` possible."""
+    side = classes.select("node", "marks", "shingles")
+    met = pairs
+    for end in ("a", "b"):
+        met = met.join(side.toDF(end, f"{end}_marks", f"{end}_shingles"), end)
+    sizes = F.least("a_shingles", "b_shingles") >= similarity * F.greatest("a_shingles", "b_shingles")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (_matrix(batch[c].to_pylist(), np.uint8) for c in ("a_marks", "b_marks"))
+            keep = (one == two).mean(axis=1) >= similarity - MARGIN if batch.num_rows else np.zeros(0, bool)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.filter(sizes).select("a", "b", "a_marks", "b_marks").mapInArrow(near, "a long, b long")
+
+
+def _matrix(rows: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+
+
 class Cell:
     """Rows of one band, or of a pair of its blocks: strays on the left, all rows on the right."""
 
-    def __init__(self, similarity: float):
-        self.similarity, self.left, self.right = similarity, [], []
+    def __init__(self, key: int, similarity: float):
+        self.at, self.similarity, self.left, self.right = key % BANDS, similarity, [], []
 
-    def joining(self, at: int) -> list[tuple[int, int]]:
-        """Links between different groups, no more than it takes to join them.
+    def able(self) -> Iterator[tuple[dict, np.ndarray]]:
+        """Each stray with the places of the rows it may be linked to, nearest first.
 
-        A pair is looked at in the first band both share, if its marks leave it possible.
+        They are of another group, marks and sizes leave the similarity possible, and
+        this is the first band both share, so that a pair is looked at once.
         """
+        nodes, groups, main, size = (np.array([r[k] for r in self.right]) for k in ("node", "component", "main", "shingles"))
+        seen = _matrix([r["marks"] for r in self.right], np.uint8)
+        keys = np.array([r["bands"] for r in self.right])
+        for one in self.left:
+            near = (seen == np.frombuffer(one["marks"], np.uint8)).mean(axis=1)
+            able = (near >= self.similarity - MARGIN) & (groups != one["component"])
+            able &= (nodes > one["node"]) | main
+            able &= np.minimum(size, one["shingles"]) >= self.similarity * np.maximum(size, one["shingles"])
+            able = np.flatnonzero(able)
+            able = able[(keys[able] == np.array(one["bands"])).argmax(axis=1) == self.at]
+            if len(able):
+                yield one, able[np.argsort(-near[able], kind="stable")]
+
+    def active(self) -> list[dict]:
+        """Rows that may be linked to any other here."""
+        met, found = set(), []
+        for one, able in self.able():
+            found.append(one)
+            met.update(able.tolist())
+        return found + [self.right[i] for i in sorted(met)]
+
+    def joining(self) -> list[dict]:
+        """Links between different groups, no more than it takes to join them."""
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -277,90 +335,74 @@ class Cell:
             return x
 
         found = []
-        nodes, groups, main = (np.array([r[k] for r in self.right]) for k in ("node", "component", "main"))
-        seen = np.frombuffer(b"".join(r["marks"] for r in self.right), np.uint8).reshape(len(nodes), -1)
-        size = np.array([len(r["hashes"]) for r in self.right])
-        for one in self.left:
-            near = (seen == np.frombuffer(one["marks"], np.uint8)).mean(axis=1)
-            own = len(one["hashes"])
-            able = (near >= self.similarity - MARGIN) & (groups != one["component"])
-            able &= (nodes > one["node"]) | main
-            able &= np.minimum(size, own) >= self.similarity * np.maximum(size, own)
-            able = np.flatnonzero(able)
-            for i in able[np.argsort(-near[able], kind="stable")]:
+        for one, able in self.able():
+            own = np.frombuffer(one["hashes"], "<u8")
+            for i in able:
                 two = self.right[i]
                 a, b = root(one["component"]), root(two["component"])
-                shared = next(k for k, (x, y) in enumerate(zip(one["bands"], two["bands"])) if x == y)
-                if a == b or shared != at:
-                    continue
-                if alike(np.frombuffer(one["hashes"], "<u8"), np.frombuffer(two["hashes"], "<u8"), self.similarity):
+                if a != b and alike(own, np.frombuffer(two["hashes"], "<u8"), self.similarity):
                     parent[a] = b
-                    found.append((one["node"], two["node"]))
+                    found.append({"a": one["node"], "b": two["node"]})
         return found
 
 
-def _joining(cells: DataFrame, similarity: float) -> DataFrame:
-    """The joining links ``(a, b)`` of cells, whose rows come together and in order."""
+_CELL = ["key", "first", "second"]
+_ACTIVE = "key long, first int, second int, left boolean, node long, component long, main boolean, shingles long, marks binary, bands array<long>"
+
+
+def _by_cell(cells: DataFrame, similarity: float, work: str, schema: str) -> DataFrame:
+    """What ``work`` finds in each cell, whose rows come together."""
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in T._parse_datatype_string(schema).fields])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cell, found = None, Cell(similarity), []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, cell, found = None, Cell(0, similarity), []
         for batch in batches:
-            for place in range(batch.num_rows):
-                row = {name: column[place].as_py() for name, column in zip(batch.schema.names, batch.columns)}
-                if (row["at"], row["key"], row["first"], row["second"]) != key:
-                    if cell.left and cell.right:
-                        found += cell.joining(key[0])
-                    key, cell = (row["at"], row["key"], row["first"], row["second"]), Cell(similarity)
+            columns = [c.to_pylist() for c in batch.columns]
+            for values in zip(*columns):
+                row = dict(zip(batch.schema.names, values))
+                if (own := tuple(row[c] for c in _CELL)) != place:
+                    found += getattr(cell, work)() if cell.left and cell.right else []
+                    place, cell = own, Cell(own[0], similarity)
                 (cell.left if row["left"] else cell.right).append(row)
-            yield _links(found)
+            yield pa.RecordBatch.from_pylist(found, kinds)
             found = []
         if cell.left and cell.right:
-            yield _links(cell.joining(key[0]))
+            yield pa.RecordBatch.from_pylist(getattr(cell, work)(), kinds)
 
-    order = ["at", "key", "first", "second"]
-    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(join, "a long, b long")
+    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, schema)
 
 
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-
-def _cells(shared: DataFrame, roots: DataFrame, described: DataFrame, folder: str) -> DataFrame:
+def _cells(shared: DataFrame, roots: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """Rows of the bands that still hold several groups, dealt into cells.
 
     Rows outside a band's largest group (strays) stand on the left, all rows on the right;
     both are dealt into blocks of bounded rows and bytes that meet pairwise, so the rows of
     the largest group travel once for each block of strays.
     """
-    band = ["at", "key"]
-    grouped = shared.select(*band, "node").join(roots, "node", "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "node"))
-    parts = grouped.groupBy(*band, "component").count()
+    grouped = shared.select("key", "node").join(roots, "node", "left")
+    grouped = materialize(grouped.withColumn("component", F.coalesce("component", "node")), "grouped", folder)
+    parts = grouped.groupBy("key", "component").count()
     mixed = (
-        parts.groupBy(*band)
-        .agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("n"), F.count("*").alias("parts"))
+        parts.groupBy("key")
+        .agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("parts"))
         .filter("parts > 1")
-        .select(*band, F.col("most.component").alias("_main"), "n", (F.col("n") - F.col("most.count")).alias("strays"))
-    )
-    rows = grouped.join(mixed, band).join(described, "node")
-    rows = rows.withColumn("main", F.col("component") == F.col("_main")).drop("_main")
-    rows = materialize(rows, "mixed", folder)
-    weight = F.octet_length("hashes")
-    bytes_of = rows.groupBy(*band).agg(
-        F.sum(weight).alias("all_bytes"), F.sum(F.when(~F.col("main"), weight).otherwise(0)).alias("stray_bytes")
+        .select("key", F.col("most.component").alias("_main"))
     )
+    rows = grouped.join(mixed, "key").withColumn("main", F.col("component") == F.col("_main")).drop("_main")
+    rows = materialize(rows.join(classes.select("node", "shingles"), "node"), "mixed", folder)
+    weight = 8 * F.col("shingles")
+    stray = ~F.col("main")
 
-    def blocks(count: str, size: str):
-        return F.ceil(F.greatest(F.col(count) / CELL_ROWS, F.col(size) / CELL_BYTES, F.lit(1.0))).cast("int")
+    def blocks(count, size):
+        return F.ceil(F.greatest(count / CELL_ROWS, size / CELL_BYTES, F.lit(1.0))).cast("int")
 
-    dealt = rows.join(bytes_of, band).select(
-        *band, "node", "component", "main", "marks", "bands", "hashes",
-        blocks("strays", "stray_bytes").alias("rows_of"), blocks("n", "all_bytes").alias("columns_of"),
+    counts = rows.groupBy("key").agg(
+        blocks(F.count_if(stray), F.sum(F.when(stray, weight).otherwise(0))).alias("rows_of"),
+        blocks(F.count("*"), F.sum(weight)).alias("columns_of"),
     )
-    columns = [*band, "node", "component", "main", "marks", "bands", "hashes", "first", "second", "left"]
-    place = F.xxhash64("node")
+    dealt, place = rows.join(counts, "key"), F.xxhash64("node")
     left = (
-        dealt.filter("not main")
+        dealt.filter(stray)
         .withColumn("left", F.lit(True))
         .withColumn("first", F.pmod(place, F.col("rows_of")).cast("int"))
         .withColumn("second", F.explode(F.sequence(F.lit(0), F.col("columns_of") - 1)))
@@ -370,7 +412,9 @@ def _cells(shared: DataFrame, roots: DataFrame, described: DataFrame, folder: st
         .withColumn("second", F.pmod(place, F.col("columns_of")).cast("int"))
         .withColumn("first", F.explode(F.sequence(F.lit(0), F.col("rows_of") - 1)))
     )
-    return left.select(*columns).unionByName(right.select(*columns))
+    columns = [*_CELL, "left", "node", "component", "main"]
+    both = left.select(*columns).unionByName(right.select(*columns))
+    return both.join(classes.select("node", "shingles", "marks", "bands"), "node")
 
 
 def _first_candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
@@ -408,8 +452,9 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, similarity: float = S
     Candidates first meet the first row of their fingerprint, of a fingerprint at two bits
     or fewer (pigeonhole blocks), and of each of their bands. Then, in bands that still
     hold several groups, every row outside the largest one meets the rows of all other
-    groups inside cells that report joining links only: no link between groups is missed,
-    and a large group of copies never emits its pairs.
+    groups inside cells. Cells first see sketches and name the rows that may be linked;
+    those come again with their shingle sets, and joining links alone are reported. No
+    link between groups is missed, and a large group of copies never emits its pairs.
     """
     folder, name = scratch_dir(documents.sparkSession), _fresh(documents, "_row")
     rows = materialize(documents.withColumn(name, F.monotonically_increasing_id()), "rows", folder)
@@ -418,21 +463,26 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, similarity: float = S
     )
     sketches = materialize(_sketches(texts, width), "sketches", folder)
     rank = F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "row")
-    held = F.first(F.struct("fingerprint", "marks", "bands")).alias("s")
+    held = F.first(F.struct("shingles", "fingerprint", "marks", "bands")).alias("s")
     classes = sketches.groupBy("digest").agg(F.min(rank).alias("best"), held)
-    classes = materialize(classes.select(F.col("best.row").alias("node"), "best", "s.*"), "classes", folder)
-    keyed = classes.select("node", F.posexplode("bands").alias("at", "key"))
-    leads = keyed.groupBy("at", "key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = materialize(keyed.join(leads, ["at", "key"]), "bands", folder)
+    classes = materialize(classes.select("digest", F.col("best.row").alias("node"), "best", "s.*"), "classes", folder)
+    keyed = classes.select("node", F.explode("bands").alias("key")).repartition("key")
+    leads = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = materialize(keyed.join(leads, "key"), "bands", folder)
 
     first = materialize(_first_candidates(classes, shared), "first", folder)
-    wanted = first.select(F.col("a").alias("row")).union(first.select("b")).union(shared.select("node")).distinct()
-    sets = materialize(_hashed(texts.join(wanted, "row", "left_semi"), width), "sets", folder)
+    first = materialize(_possible(first, classes, similarity), "possible", folder)
+    sets = _sets(texts, first.select(F.col("a").alias("node")).union(first.select("b")), width, folder, "first")
     found = materialize(_similar(first, sets, similarity), "links", folder)
     roots = components(found)
-    described = sets.join(classes.select("node", "marks", "bands"), "node")
-    more = materialize(_joining(_cells(shared, roots, described, folder), similarity), "more", folder)
+    active = _by_cell(_cells(shared, roots, classes, folder), similarity, "active", _ACTIVE)
+    active = materialize(active, "active", folder)
+    sets = _sets(texts, active.select("node"), width, folder, "active")
+    more = _by_cell(active.join(sets, "node"), similarity, "joining", "a long, b long")
+    more = materialize(more, "more", folder)
     roots = components(found.union(more)) if more.head(1) else roots
     rooted = classes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = rooted.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias(name))
-    return rows.join(kept, name, "left_semi").select(documents.columns)
+    best = materialize(rooted.groupBy("component").agg(F.min("best").alias("best")), "best", folder)
+    kept = best.select(F.col("best.row").alias("row"))
+    gone = materialize(sketches.select("row").join(kept, "row", "left_anti"), "gone", folder)
+    return rows.join(_small(gone.withColumnRenamed("row", name), [name]), name, "left_anti").select(documents.columns)
