@@ -36,6 +36,7 @@ MARGIN = 0.2  # a pair at 0.8 agrees in under 0.6 of its 160 marks once in 100 m
 HASHED = 512
 FAN_ROWS = 256
 IDS_BYTES = 128 << 20
+SLICE_ROWS = 512
 CELL_ROWS, CELL_BYTES = 1000, 8 << 20
 
 
@@ -188,12 +189,19 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces whose Python values stay few."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
     """``row, doc_id, digest, shingles, fingerprint, marks, bands``: ``digest`` names the whole
     set of shingles, ``shingles`` is their number."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for text in batch["text"]:
                 own = shingles(text.as_py(), width)
@@ -221,7 +229,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, width: int, folder: str, name: str
     """``node, hashes``: the sorted shingle hashes of the texts of ``nodes``, written."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t.as_py(), width).astype("<u8").tobytes() for t in batch["text"]]
             yield pa.record_batch({"node": batch["row"], "hashes": pa.array(sets, pa.binary())})
 
@@ -356,7 +364,7 @@ def _by_cell(cells: DataFrame, similarity: float, work: str, schema: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, cell, found = None, Cell(0, similarity), []
-        for batch in batches:
+        for batch in _slices(batches):
             columns = [c.to_pylist() for c in batch.columns]
             for values in zip(*columns):
                 row = dict(zip(batch.schema.names, values))
