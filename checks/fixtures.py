@@ -281,3 +281,83 @@ NATION_SQL = (
     "select 'ship.log' as source_id, s_suppkey + 1 as line_number, concat('shipper ', cast(s_suppkey as varchar), ' in ',"
     " translate(n_name, '0123456789', 'abcdefghij'), ' ready') as raw_line from supplier join nation on s_nationkey = n_nationkey"
 )
+
+
+# --- shipment lines: two words with many values, one with few ------------------------
+
+_SHIPMENT = (
+    "concat('shipment ', cast(l_orderkey as {str}), ' of ', translate(p_brand, '#0123456789', '_abcdefghij'), ' by ',"
+    " translate(n_name, '0123456789', 'abcdefghij'), ' flag ', l_returnflag)"
+)
+
+
+def shipment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that differ in a number, a brand and a nation (25 words each), and a flag."""
+    items = (
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+        .join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+        .join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+    )
+    lines = items.select(
+        F.lit("items.log").alias("source_id"),
+        F.expr("l_orderkey * 1000 + l_linenumber").alias("line_number"),
+        F.expr(_SHIPMENT.format(str="string")).alias("raw_line"),
+    )
+    return in_library(lines)
+
+
+SHIPMENT_SQL = (
+    f"select 'items.log' as source_id, l_orderkey * 1000 + l_linenumber as line_number, l_returnflag as flag, p_brand, n_name,"
+    f" {_SHIPMENT.format(str='varchar')} as raw_line from lineitem join part on l_partkey = p_partkey"
+    " join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
+)
+
+
+# --- lines whose candidates meet a library in every way ------------------------------
+
+_STEP = 10**9
+_OUTCOME_LINES = {
+    "concat('order ', cast(o_orderkey as {str}), ' placed')": "true",
+    "concat('ship ', cast(o_orderkey as {str}), ' now')": "o_orderkey % 1000 <> 0",
+    "concat('state ', cast(o_orderkey % 3 as {str}), ' of order ', cast(o_orderkey as {str}))": "true",
+    "concat('fault ', cast(5 + o_orderkey % 2 as {str}))": "true",
+}
+
+
+def _outcome_sql(kind: str) -> str:
+    return " union all ".join(
+        f"select 'out.log' as source_id, cast(o_orderkey + 1 + {i} * cast({_STEP} as bigint) as bigint) as line_number, {text.format(str=kind)} as raw_line"
+        f" from orders where {where}"
+        for i, (text, where) in enumerate(_OUTCOME_LINES.items())
+    )
+
+
+OUTCOME_SQL = _outcome_sql("varchar")
+
+
+def outcome_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New lines; lines a stored template spells out; lines next to a stored one; lines
+    whose first one is a stored template's example."""
+    orders = table(spark, sf_dir, "orders")
+    lines = spark.sql(_outcome_sql("string").replace("from orders", "from {orders}"), orders=orders)
+    return in_library(lines)
+
+
+def outcome_library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Templates and their examples: a shipment each thousand orders, a state, a fault."""
+    shipped = table(spark, sf_dir, "orders").filter("o_orderkey % 1000 = 0").select(
+        (F.col("o_orderkey") / 1000 + 10).cast("bigint").alias("seq"),
+        F.format_string("old-ship%d", F.col("o_orderkey")).alias("template_id"),
+        F.format_string("ship %d now", F.col("o_orderkey")).alias("regex"),
+    )
+    others = spark.createDataFrame(
+        [(1, "old-state", "state 7 of order 5"), (2, "old-fault", "fault 7")], "seq bigint, template_id string, regex string"
+    )
+    rows = shipped.unionByName(others).withColumns({"device_type": F.lit(DEVICE), "vendor": F.lit(VENDOR)})
+    examples = rows.select(
+        "device_type", "vendor", "template_id", F.col("seq").alias("position"),
+        F.when(F.col("template_id") == "old-fault", "fault 5").otherwise(F.col("regex")).alias("transformed"),
+    )
+    return complete(rows), examples

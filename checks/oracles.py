@@ -5,7 +5,7 @@ from __future__ import annotations
 from checks import fixtures as X
 from checks.fixtures import APP_CTE, APP_MATCH_CTE, DOC_SQL, HOST_CTE, MANY_SQL, USER_SQL, WS_SQL, norm_sql, plain, quoted, with_sql
 from checks.queries import ANSWER_EXPR, BLOCK, ROUTE_RULES
-from thresher.operators.mine import ANY_SHAPE, OPEN_VALUES, SHAPES
+from thresher.operators.mine import OPEN_VALUES, SHAPES
 from thresher.operators.proposals import PARSE_INSTRUCTIONS  # noqa: F401
 
 USERS = ("users", USER_SQL)
@@ -90,8 +90,13 @@ ANOMALIES = (
     " (select *, row_number() over (partition by source_id order by line_number) as k from mhit where template_id is null) where k <= 5",
 )
 
-SPLIT = f"regexp_split_to_array(transformed, {quoted(ANY_SHAPE)})"
-VALUES = f"regexp_extract_all(transformed, {quoted(ANY_SHAPE)})"
+# Values stand between two marks; a name with digits inside (group 2) is left as it is.
+_VALUE = "|".join(f"(?:{shape})" for name, shape in SHAPES.items() if name != "num")
+_MASK = rf"({_VALUE})|\b([A-Za-z]+[0-9]+[A-Za-z]+)|({SHAPES['num']})"
+_MARKED = rf"regexp_replace(transformed, {quoted(_MASK)}, concat('\2', chr(17), '\1\3', chr(18)), 'g')"
+_TOKENS = f"regexp_split_to_array(replace({_MARKED}, concat(chr(17), chr(18)), ''), concat('[', chr(17), chr(18), ']'))"
+SPLIT = f"list_filter({_TOKENS}, lambda x, i: i % 2 = 1)"
+VALUES = f"list_filter({_TOKENS}, lambda x, i: i % 2 = 0)"
 
 
 def kind_sql(value: str) -> str:
@@ -150,6 +155,29 @@ def constants_sql(text: str) -> str:
     return CONSTANTS.format(t=text, ws=WS_SQL)
 
 
+# Round 1 takes orders, shipments and the first state; each later round the next state.
+OUTCOMES = [
+    ("lines", X.OUTCOME_SQL),
+    (
+        "kinds",
+        "select line_number, case when raw_line like 'order %' then 'a' when raw_line like 'ship %' then 'b'"
+        " when raw_line like 'fault %' then 'd' else concat('c', split_part(raw_line, ' ', 2)) end as kind from lines",
+    ),
+    ("firsts", "select kind, min(line_number) as line_number from kinds group by kind"),
+    ("states", "select kind, row_number() over (order by line_number) as round from firsts where kind like 'c%'"),
+    (
+        "audit",
+        "select f.kind, f.line_number, coalesce(s.round, 1) as round,"
+        " case when f.kind = 'd' then 'rejected' when f.kind = 'b' then 'replaced' when s.round < 3 then 'refined' else 'stored' end as outcome"
+        " from firsts f left join states s using (kind)",
+    ),
+    (
+        "named",
+        "select kind, concat('application-generic-', printf('%04d', row_number() over (order by round, line_number))) as template_id"
+        " from audit where outcome <> 'rejected'",
+    ),
+]
+
 NEW_ROWS = (
     "fresh",
     "select 'application' as device_type, concat('host', cast(user_id % 5 as varchar)) as vendor, min(event_id) + 1 as line_number,"
@@ -435,6 +463,13 @@ ORACLES = {
     )
     + "select min(line_number) as line_number, count(*) as support, concat('shipper <num1> in ', coalesce(word, '<word2>'), ' ready') as template,"
     " concat('shipper (?P<num1>.*) in ', coalesce(word, '(?P<word2>.*)'), ' ready') as regex from g group by word",
+    "generalize_two_words": with_sql(
+        ("log", X.SHIPMENT_SQL),
+        ("w", "select flag, min(line_number) as line_number, count(*) as support, count(distinct p_brand) as brands, count(distinct n_name) as nations from log group by flag"),
+    )
+    + "select line_number, support, concat('shipment <num1> of <word2> by <word3> flag ', flag) as template,"
+    " concat('shipment (?P<num1>.*) of (?P<word2>.*) by (?P<word3>.*) flag ', flag) as regex"
+    f" from w where brands > {OPEN_VALUES} and nations > {OPEN_VALUES}",
     "validate_candidates": with_sql(*conflicts(where="c.candidate_id not in ('digit-1', 'digit-2')"))
     + "select device_type, vendor, candidate_id, candidate_id not in ('digit-1', 'digit-2') and n = 0 as is_valid,"
     " case when candidate_id = 'digit-1' then 'invalid regex' when candidate_id = 'digit-2' then 'generated regex does not match the source sample'"
@@ -466,6 +501,12 @@ ORACLES = {
     "learning_audit": with_sql(*LEARNED)
     + "select line_number, concat('application-generic-', left(sha1(template), 8)) as candidate_id, new_id as template_id, 'stored' as outcome,"
     " 'stored template' as detail, cast(1 as bigint) as round from numbered",
+    "learn_outcomes": with_sql(*OUTCOMES) + "select line_number, template_id from kinds left join named using (kind)",
+    "learning_audit_outcomes": with_sql(*OUTCOMES)
+    + "select line_number, template_id, outcome, round, case outcome when 'stored' then 'stored template'"
+    " when 'refined' then 'refined candidate to avoid conflicts'"
+    " when 'replaced' then concat('replaced ', cast((select count(*) from orders where o_orderkey % 1000 = 0) as varchar), ' conflicting templates')"
+    " else 'conflict persists after reconciliation attempts: old-fault' end as detail from audit left join named using (kind)",
     "ingest_proposals": "select conv_id, turn,"
     f" case {_SHAPE} when 0 then 'a.*' when 1 then '(?P<x>.*)' when 2 then 'b' end as regex,"
     f" case {_SHAPE} when 0 then 'r' when 1 then role when 6 then 'number' else '' end as reasoning,"

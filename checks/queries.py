@@ -644,6 +644,13 @@ def generalize_words(spark, sf_dir):
     )
 
 
+def generalize_two_words(spark, sf_dir):
+    """Two open words next to one with few values: a template for each of those."""
+    return G.mine_candidates(X.shipment_lines(spark, sf_dir), branch_support=10**9).select(
+        "line_number", "support", "template", "regex"
+    )
+
+
 def validate_candidates(spark, sf_dir):
     _, examples = _user_examples(spark, sf_dir)
     candidates = _digit_candidates(spark, sf_dir).withColumn(
@@ -716,6 +723,28 @@ def learning_audit(spark, sf_dir):
     )
 
 
+def _learned_outcomes(spark, sf_dir):
+    library, examples = X.outcome_library(spark, sf_dir)
+    return learn_templates(
+        X.outcome_lines(spark, sf_dir), library, spark.createDataFrame([], S.LIBRARY_META), materialize(examples, "examples")
+    )
+
+
+def learn_outcomes(spark, sf_dir):
+    """Learning against a library with examples: some lines stay without a template."""
+    learned = _learned_outcomes(spark, sf_dir)
+    return learned.matched.unionByName(
+        learned.remaining.withColumn("template_id", F.lit(None).cast("string"))
+    ).select("line_number", "template_id")
+
+
+def learning_audit_outcomes(spark, sf_dir):
+    """Stored, replaced, refined and rejected candidates, with the reason."""
+    return _learned_outcomes(spark, sf_dir).audit.select(
+        "line_number", "template_id", "outcome", "detail", F.col("round").cast("bigint").alias("round")
+    )
+
+
 def learn_proposals(spark, sf_dir):
     """Turns as lines; the first answer of every second one is unusable, the next names a
     template for the turn's role."""
@@ -865,11 +894,13 @@ def _run(writer, path: str) -> None:
 
 def stream_match(spark, sf_dir):
     path = scratch_dir(spark)
-    matched = stream.stream_match(_event_stream(spark, sf_dir), X.app_templates(spark)).select(
-        "line_number", "template_id", pairs_text(F.col("variables")).alias("variables")
+    columns = ["line_number", "template_id", pairs_text(F.col("variables")).alias("variables")]
+    query = stream.write_matches(
+        _event_stream(spark, sf_dir), X.app_templates(spark), f"{path}/out", f"{path}/cp", columns=columns
     )
-    _run(matched.writeStream.format("parquet").option("path", f"{path}/out"), path)
-    return spark.read.schema(matched.schema).parquet(f"{path}/out")
+    query.awaitTermination()
+    schema = "line_number long, template_id string, variables string"
+    return spark.read.schema(schema).parquet(f"{path}/out")
 
 
 def stream_learn(spark, sf_dir):
@@ -948,11 +979,14 @@ QUERIES = {
     "mine_patterns_prose": mine_candidates_text,
     "classify_slots": classify_slots,
     "generalize_words": generalize_words,
+    "generalize_two_words": generalize_two_words,
     "validate_candidates": validate_candidates,
     "resolve_replace": resolve_replace,
     "resolve_refine": resolve_refine,
     "refine_invalid": refine_invalid,
     "learn_templates": learn_templates_query,
+    "learn_outcomes": learn_outcomes,
+    "learning_audit_outcomes": learning_audit_outcomes,
     "learn_proposals": learn_proposals,
     "ingest_proposals": ingest_proposals,
     "build_proposal_requests": build_proposal_requests,

@@ -134,7 +134,7 @@ def test_snapshot_of_a_library_without_templates(spark, library, tmp_path):
 def test_variable_names_skip_escapes_and_classes(spark):
     from thresher.functions.text import variable_names
 
-    regexes = {r"(?P<a>x)\(?P<b>y)": ["a"], r"[(?P<c>]z(?P<d>.)": ["d"], r"\\(?P<e>.)": ["e"]}
+    regexes = {r"(?P<a>x)\(?P<b>y\)": ["a"], r"(?P<a>x)\(?P<b>y)": [], r"[(?P<c>]z(?P<d>.)": ["d"], r"\\(?P<e>.)": ["e"], "(?P<a>x)(": [], "(?P<a>x)(?P<a>y)": []}
     df = spark.createDataFrame([(r,) for r in regexes], "r string")
     assert {x.r: x.n for x in df.select("r", variable_names(F.col("r")).alias("n")).collect()} == regexes
 

@@ -146,3 +146,56 @@ def test_large_index_is_joined(lines, library, monkeypatch):
     monkeypatch.setattr(M, "TASK_INDEX_LIMIT", 0)
     out = M.match_templates(lines(TEXTS), library(REGEXES), variables=True, case_limit=0)
     assert got(out) == expected([t.rstrip() for t in TEXTS], REGEXES)
+
+
+SUBWORD = [
+    "(?P<a>.*)x17y(?P<b>.*)", "(?P<a>.*)17y q(?P<b>.*)", "beta(?P<n>.*)ray", "(?P<all>.*)=(?P<v>.*)", "é(?P<x>.*)",
+    "gamma (?P<g>.*)", "(?P<a>.*)x17(?P<b>.*)", r"k(?P<d>[0-9]+)", "(?P<rest>.*)zz",
+]
+SUBWORD_TEXTS = ["ax17yb", "a17y q", "betaxray", "betaray", "k=v", "ée", "gamma x17", "gamma", "qx17", "k12", "azz", "no", "17y", "x17y"]
+
+
+@pytest.mark.parametrize("limit", [M.TASK_INDEX_LIMIT, 0])
+def test_templates_without_a_whole_word(lines, library, monkeypatch, limit):
+    """Found by a constant inside words, in library order, in tasks and by the join."""
+    monkeypatch.setattr(M, "TASK_INDEX_LIMIT", limit)
+    out = M.match_templates(lines(SUBWORD_TEXTS), library(SUBWORD), variables=True, case_limit=0)
+    assert got(out) == expected(SUBWORD_TEXTS, SUBWORD)
+
+
+def test_only_templates_without_constants_meet_every_line():
+    index = M._Index()
+    tried = []
+    for seq, (anchor, literal) in enumerate([("", "x17y"), ("beta", ""), ("", "")]):
+        index.add(anchor, literal, (seq, str(seq), lambda line, s=seq: tried.append(s)))
+    assert index.first("a b c") is None and tried == [2]
+    assert index.first("qx17yq beta") is None and tried == [2, 0, 1, 2]
+
+
+@pytest.mark.parametrize("limit", [M.TASK_INDEX_LIMIT, 0])
+def test_random_subword_libraries(lines, library, monkeypatch, limit):
+    monkeypatch.setattr(M, "TASK_INDEX_LIMIT", limit)
+    rng = random.Random(8)
+    regexes = []
+    for _ in range(120):
+        parts = [re.escape("".join(rng.choice("abc1 -") for _ in range(rng.randint(0, 4)))) for _ in range(rng.randint(1, 4))]
+        regexes.append("".join(p + (f"(?P<g{i}>.*)" if i < len(parts) - 1 else "") for i, p in enumerate(parts)))
+    texts = [re.sub(" {2,}", " ", "".join(rng.choice("abc1 -") for _ in range(12))).strip() or "a" for _ in range(300)]
+    out = M.match_templates(lines(texts), library(regexes), variables=True, case_limit=0)
+    assert got(out) == expected(texts, regexes)
+
+
+def test_common_words_are_no_anchors_and_hot_ones_are_salted(spark, lines, library, monkeypatch):
+    """A word in nearly all lines leaves no task of the join with more than its share."""
+    monkeypatch.setattr(M, "TASK_INDEX_LIMIT", 0)
+    monkeypatch.setattr(M, "HOT_LINES", 50)
+    texts = [f"common n{i} tail" if i % 10 else f"rare{i} x" for i in range(1000)]
+    # `common` is rare among the templates; `tail` stands in as many lines but in more templates.
+    regexes = ["common (?P<n>.*) tail", "other(?P<x>.*) tail", "(?P<y>.*)tail", "rare10 (?P<z>.*)"]
+    out = M.match_templates(lines(texts), library(regexes), case_limit=0)
+    found = {r.line_number: r.template_id for r in out.collect()}
+    assert found == {
+        i + 1: "d-v-0001" if i % 10 else ("d-v-0004" if i == 10 else None) for i in range(1000)
+    }
+    plan = M.match_templates(lines(texts), library(regexes), case_limit=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan

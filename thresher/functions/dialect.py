@@ -249,6 +249,11 @@ def _compile_udf(regex: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([compile_regex(r) for r in regex], columns=COMPILED.names)
 
 
+def compiled_names(regex: Column) -> Column:
+    """The ``names`` of `COMPILED` alone."""
+    return _compile_udf(regex)["names"]
+
+
 def with_compiled(templates: DataFrame, regex: str = "regex") -> DataFrame:
     """Add the compiled columns to a template table (one row per template).
 

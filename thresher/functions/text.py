@@ -10,6 +10,9 @@ from thresher.operators.lines import strip
 PLACEHOLDER = "<[^>]+>"
 JSON_PAYLOAD = r"\{[^{}]*\}"
 JSON_MARK = "<json>"
+# A brace inside an open one, or inside a string of it: more than the flat pattern reads.
+_DEEP = r'\{[^{}]*+\{|\{(?:[^{}"]|"[^"{}]*+")*+"[^"{}]*+[{}]'
+_BRACE_TOKEN = r'[^{}"\\]+|\\[\s\S]|[{}"\\]'
 
 
 def extract_constants(template: Column) -> Column:
@@ -19,14 +22,10 @@ def extract_constants(template: Column) -> Column:
 
 
 def variable_names(regex: Column) -> Column:
-    """Named groups of a valid regex, in order, by its text alone.
+    """Named groups of a regex, in order; none if it does not compile."""
+    from thresher.functions.dialect import compiled_names
 
-    Escaped characters and character classes are taken out first, so that ``\\(?P<x>``
-    and ``[(?P<x>]`` are no groups. For a regex that may be invalid use the ``names`` of
-    `dialect.with_compiled`.
-    """
-    plain = F.regexp_replace(F.regexp_replace(regex, r"\\.", ""), r"\[\^?\]?[^\]]*\]", "")
-    return F.regexp_extract_all(plain, F.lit(r"\(\?P<(\w+)>"), F.lit(1))
+    return compiled_names(regex)
 
 
 def template_variables(names: Column, values: Column) -> Column:
@@ -63,13 +62,59 @@ def interleave(constants: Column, between: Column) -> Column:
     return F.array_join(F.zip_with(constants, padded, lambda c, b: F.concat(c, b)), "")
 
 
+def deep_payloads(text: Column) -> Column:
+    """Whether braces stand inside a payload, as nested objects or in its strings."""
+    return text.rlike(_DEEP)
+
+
+def payload_parts(text: Column) -> Column:
+    """Text outside (even places) and payloads (odd places) by a scan that counts depth.
+
+    A payload runs from a brace to the one that closes it; braces in its strings do not
+    count, nor does an escaped character. Null if a brace stays open: such a text has no
+    well-formed payload.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_BRACE_TOKEN), F.lit(0))
+
+    def step(state: Column, token: Column) -> Column:
+        depth, quoted, at = state["depth"], state["quoted"], state["at"]
+        opens = (token == "{") & ~quoted
+        closes = (token == "}") & ~quoted & (depth > 0)
+        edge = F.when(opens & (depth == 0), at).when(closes & (depth == 1), at + 1)
+        return F.struct(
+            (depth + opens.cast("int") - closes.cast("int")).alias("depth"),
+            F.when((token == '"') & (depth > 0), ~quoted).otherwise(quoted).alias("quoted"),
+            (at + 1).alias("at"),
+            F.when(edge.isNotNull(), F.array_append(state["edges"], edge)).otherwise(state["edges"]).alias("edges"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("edges")
+    )
+
+    def cut(state: Column) -> Column:
+        borders = F.concat(F.array(F.lit(0)), state["edges"], F.array(F.size(tokens)))
+        spans = F.zip_with(F.slice(borders, 1, F.size(borders) - 1), F.slice(borders, 2, F.size(borders) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        parts = F.transform(spans, lambda s: F.array_join(F.slice(tokens, s["a"] + 1, s["b"] - s["a"]), ""))
+        return F.when(state["depth"] == 0, parts)
+
+    return F.aggregate(tokens, start, step, cut)
+
+
 def mask_json_payloads(text: Column) -> Column:
-    """Flat JSON-like payloads replaced by a mark."""
-    return F.regexp_replace(text, JSON_PAYLOAD, JSON_MARK)
+    """JSON-like payloads, whole and with all they contain, replaced by a mark.
+
+    A text with a brace that stays open is read by its flat payloads alone.
+    """
+    parts = F.when(deep_payloads(text), payload_parts(text))
+    whole = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.lit(JSON_MARK)).otherwise(p)), "")
+    return F.coalesce(whole, F.regexp_replace(text, JSON_PAYLOAD, JSON_MARK))
 
 
 def json_payloads(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(JSON_PAYLOAD), F.lit(0))
+    parts = F.when(deep_payloads(text), payload_parts(text))
+    flat = F.regexp_extract_all(text, F.lit(JSON_PAYLOAD), F.lit(0))
+    return F.coalesce(F.filter(parts, lambda p, i: i % 2 == 1), flat)
 
 
 def json_payload_keys(text: Column) -> Column:

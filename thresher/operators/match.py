@@ -21,6 +21,11 @@ BROADCAST_LIMIT = 256 << 20
 TASK_INDEX_LIMIT = 64 << 20
 RUNNABLE = ["regex", "mode", "test", "capture", "names", "segments", "words"]
 WORD_SPLIT = "[^A-Za-z0-9]+"
+# A template without a whole word is found by so many characters of a constant.
+GRAM = 3
+_GRAM_MARK = "\x00"
+# Lines of one key that a task of the join gets.
+HOT_LINES = 100_000
 
 
 def active_templates(templates: DataFrame) -> DataFrame:
@@ -185,75 +190,152 @@ def _evaluated_once(column: Column) -> Column:
 
 
 def _with_case_variables(assigned: DataFrame, rows: list[Row]) -> DataFrame:
-    text, chains = F.col("transformed"), []
+    """Captures by a CASE on the template; Python templates share one function, which
+    gets the texts of their own lines only."""
+    text, chains, own = F.col("transformed"), [], []
+    python = []
     for key, group in _libraries(rows).items():
+        slow = [r for r in group if r["mode"] == "python"]
         branches = [
             (
                 F.col("template_id") == r.template_id,
-                dialect.python_groups(F.lit(r.regex), text)
-                if r["mode"] == "python"
-                else dialect.literal_captured(text, r["mode"], r.capture, r.names),
+                dialect.literal_captured(text, r["mode"], r.capture, r.names),
             )
             for r in group
+            if r["mode"] != "python"
         ]
         chains.append((_in_library(*key), _when_chain(branches, "map<string,string>")))
-    values = F.coalesce(_when_chain(chains, "map<string,string>"), dialect.empty_map())
-    return assigned.withColumn("variables", values)
+        places = [(F.col("template_id") == r.template_id, F.lit(len(python) + i)) for i, r in enumerate(slow)]
+        own.append((_in_library(*key), _when_chain(places, "int")))
+        python += [r.regex for r in slow]
+    values = _when_chain(chains, "map<string,string>")
+    out = assigned
+    if python:
+        number = _when_chain(own, "int")
+        out = assigned.withColumn("_python", _python_captures(python)(number, F.when(number.isNotNull(), text)))
+        values = F.coalesce(values, "_python")
+    return out.withColumn("variables", F.coalesce(values, dialect.empty_map())).drop("_python")
+
+
+def _python_captures(regexes: list[str]):
+    """The groups of the template with the number given; null where there is none."""
+
+    @F.pandas_udf(dialect.VARIABLES)
+    def captured(number: pd.Series, text: pd.Series) -> pd.Series:
+        runs = [re.compile(r) for r in regexes]
 
+        def groups(n, t):
+            found = None if t is None or pd.isna(n) else runs[int(n)].fullmatch(t)
+            return None if found is None else found.groupdict()
 
-# --- large libraries: equi-join on a word both sides must share --------------
+        return pd.Series([groups(n, t) for n, t in zip(number, text)], dtype=object)
+
+    return captured.asNondeterministic()
+
+
+# --- large libraries: an index on text both sides must share ------------------
 
 
 def with_anchor(compiled: DataFrame) -> DataFrame:
-    """The word of each template that the fewest templates of the library share.
+    """The text of each template that the fewest templates of the library share.
 
-    Templates without a whole constant word get the anchor ``''``.
+    ``anchor`` is a whole word of its constants. A template without one has, in
+    ``literal``, a constant that stands anywhere in its lines, of two or more the one
+    that fewest such templates share, then the longest; both are ``''`` if it has none.
     """
-    words = compiled.select(*LIBRARY_KEY, "seq", F.explode("words").alias("anchor"))
-    shared = words.groupBy(*LIBRARY_KEY, "anchor").agg(F.count(F.lit(1)).alias("n"))
-    best = (
-        words.join(shared, [*LIBRARY_KEY, "anchor"])
-        .groupBy(*LIBRARY_KEY, "seq")
-        .agg(F.min(F.struct("n", -F.length("anchor"), "anchor")).alias("b"))
-        .select(*LIBRARY_KEY, "seq", F.col("b.anchor").alias("anchor"))
+    key = [*LIBRARY_KEY, "seq"]
+    words = compiled.select(*key, F.explode("words").alias("text"), F.lit(True).alias("whole"))
+    pieces = compiled.filter((F.size("words") == 0) & (F.col("mode") == "linear")).select(
+        *key, F.explode(F.array_distinct("segments")).alias("text"), F.lit(False).alias("whole")
     )
-    return (
-        compiled.join(best, [*LIBRARY_KEY, "seq"], "left")
-        .withColumn("anchor", F.coalesce("anchor", F.lit("")))
-        .drop("words")
+    texts = words.unionByName(pieces.filter("text <> ''"))
+    place = [*LIBRARY_KEY, "text", "whole"]
+    shared = texts.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    best = (
+        texts.join(shared, place)
+        .groupBy(*key)
+        .agg(F.min(F.struct("n", -F.length("text"), "text", "whole")).alias("b"))
+        .select(
+            *key,
+            F.when(F.col("b.whole"), F.col("b.text")).alias("anchor"),
+            F.when(~F.col("b.whole"), F.col("b.text")).alias("literal"),
+        )
     )
+    return compiled.join(best, key, "left").fillna("", ["anchor", "literal"])
 
 
 def _match_by_word(lines: DataFrame, compiled: DataFrame) -> DataFrame:
     # Both tables are read several times: compile and choose the words once.
     index = materialize(with_anchor(materialize(compiled, "compiled")), "index")
-    if bounded(index, ["regex", "anchor", "template_id", F.array_join("segments", "")], TASK_INDEX_LIMIT):
+    if fits_in_tasks(index):
         return _match_in_tasks(lines, index)
     return _match_by_join(lines, index)
 
 
+def fits_in_tasks(compiled: DataFrame) -> bool:
+    """Whether every task can hold the index of these templates; measured."""
+    return bounded(compiled, ["regex", "regex", "template_id", F.array_join("segments", "")], TASK_INDEX_LIMIT)
+
+
+class _Index:
+    """A library in a task: templates by the word, or by the constant, that a line must hold."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, list] = {}
+        self.pieces: dict[str, list] = {}
+        self.always: list = []
+        self._scan = None
+
+    def add(self, anchor: str, literal: str, entry: tuple) -> None:
+        place = self.words.setdefault(anchor, []) if anchor else None
+        place = self.pieces.setdefault(literal, []) if place is None and literal else place
+        (self.always if place is None else place).append(entry)
+
+    def first(self, line: str) -> str | None:
+        """The first template in library order that holds."""
+        lists = [self.words[w] for w in {*_SPLIT(line)} if w in self.words]
+        if self.pieces:
+            self._scan = self._scan or _automaton(self.pieces)
+            found = {literal for _, literal in self._scan.iter(line)}
+            lists += [self.pieces[literal] for literal in found]
+        if self.always:
+            lists.append(self.always)
+        return next((name for _, name, holds in merge(*lists, key=_SEQ) if holds(line)), None)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_scan": None}
+
+
+def _automaton(literals):
+    """One pass over a line finds all constants it holds, however many there are."""
+    import ahocorasick
+
+    scan = ahocorasick.Automaton()
+    for literal in literals:
+        scan.add_word(literal, literal)
+    scan.make_automaton()
+    return scan
+
+
 def _match_in_tasks(lines: DataFrame, index: DataFrame) -> DataFrame:
-    """Map-only: every task holds the measured index as word -> templates in order.
+    """Map-only: every task holds the measured index as text -> templates in order.
 
-    A line looks up its words, merges the templates found there and takes the
-    first that matches, so no line is exchanged and no common word gathers rows.
+    A line looks up its words, and an automaton finds the constants that are no whole
+    words; the templates filed there are merged and the first that matches is taken. No
+    line is exchanged, and only templates without any constant meet every line.
     """
-    table: dict[tuple[str, str], dict[str, list]] = {}
-    rows = index.select(*LIBRARY_KEY, "anchor", "seq", "template_id", "mode", "regex", "segments")
+    table: dict[tuple[str, str], _Index] = {}
+    rows = index.select(*LIBRARY_KEY, "anchor", "literal", "seq", "template_id", "mode", "regex", "segments")
     for r in sorted(rows.collect(), key=lambda r: r.seq):
         entry = (r.seq, r.template_id, dialect.Matcher(r["mode"], r.regex, r.segments))
-        table.setdefault((r.device_type, r.vendor), {}).setdefault(r.anchor, []).append(entry)
+        table.setdefault((r.device_type, r.vendor), _Index()).add(r.anchor, r.literal, entry)
     shared = lines.sparkSession.sparkContext.broadcast(table)
-    split = re.compile(WORD_SPLIT).split
 
     @F.pandas_udf("string")
     def assign(device: pd.Series, vendor: pd.Series, text: pd.Series) -> pd.Series:
         def first(key, line):
-            words = shared.value.get(key)
-            if words is None or line is None:
-                return None
-            lists = [words[w] for w in {"", *split(line)} if w in words]
-            return next((name for _, name, holds in merge(*lists, key=_SEQ) if holds(line)), None)
+            library = shared.value.get(key)
+            return None if library is None or line is None else library.first(line)
 
         return pd.Series([first((d, v), t) for d, v, t in zip(device, vendor, text)], dtype=object)
 
@@ -263,21 +345,81 @@ def _match_in_tasks(lines: DataFrame, index: DataFrame) -> DataFrame:
 
 
 _SEQ = itemgetter(0)
+_SPLIT = re.compile(WORD_SPLIT).split
+
+
+def _line_keys(text: Column, grams: bool) -> Column:
+    """What a line can be found by: its words, ``''``, and, if asked, its marked grams."""
+    keys = F.array_union(F.split(text, WORD_SPLIT), F.array(F.lit("")))
+    if not grams:
+        return keys
+    places = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
+    found = F.transform(places, lambda i: F.concat(F.lit(_GRAM_MARK), F.substring(text, i, F.lit(GRAM))))
+    return F.array_union(keys, F.when(F.length(text) >= GRAM, found).otherwise(F.array().cast("array<string>")))
+
+
+def _filed(index: DataFrame) -> DataFrame:
+    """Every key a template may be filed under: its words, or the grams of its constants."""
+    pieces = F.filter("segments", lambda s: F.length(s) >= GRAM)
+    grams = F.flatten(
+        F.transform(
+            pieces,
+            lambda s: F.transform(
+                F.sequence(F.lit(1), F.length(s) - (GRAM - 1)),
+                lambda i: F.concat(F.lit(_GRAM_MARK), F.substring(s, i, F.lit(GRAM))),
+            ),
+        )
+    )
+    own = F.when(F.size("words") > 0, F.col("words")).when(
+        (F.col("mode") == "linear") & (F.size(pieces) > 0), F.array_distinct(grams)
+    )
+    return index.select(*LIBRARY_KEY, "seq", F.explode(F.coalesce(own, F.array(F.lit("")))).alias("anchor"))
 
 
 def _match_by_join(lines: DataFrame, index: DataFrame) -> DataFrame:
-    """For an index too large for a task: an equi-join on the word, then the regex.
+    """For an index too large for a task: an equi-join on a key, then the regex.
 
-    A line's pairs are made from its words that some template is filed under.
+    A template is filed under the one of its words (or, without a whole word, of its
+    constants' grams) that the fewest *lines* hold; lines are counted by the keys that
+    templates have, with partial sums. A key of more than ``HOT_LINES`` lines is dealt
+    into salts: its lines by a hash, its templates copied, so no task gets them all.
     """
     text = F.col("transformed")
-    words = F.array_union(F.split(text, WORD_SPLIT), F.array(F.lit("")))
-    pairs = lines.select(
-        *LINE_KEY, *LIBRARY_KEY, "transformed", F.explode(words).alias("anchor")
-    ).join(
-        index.select(*LIBRARY_KEY, "seq", "anchor", "mode", "test", "regex"),
-        [*LIBRARY_KEY, "anchor"],
+    filed = materialize(_filed(index), "filed")
+    grams = not filed.filter(F.startswith("anchor", F.lit(_GRAM_MARK))).isEmpty()
+    place = [*LIBRARY_KEY, "anchor"]
+    asked = filed.select(*place).distinct()
+    if bounded(asked, place, BROADCAST_LIMIT):
+        asked = F.broadcast(asked)
+    keyed = lines.select(
+        *LINE_KEY, *LIBRARY_KEY, "transformed", F.explode(_line_keys(text, grams)).alias("anchor")
+    ).join(asked, place, "left_semi")
+    counts = materialize(keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), "counts")
+    chosen = (
+        filed.join(counts, place, "left")
+        .groupBy(*LIBRARY_KEY, "seq")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)), -F.length("anchor"), "anchor")).alias("b"))
+        .select(*LIBRARY_KEY, "seq", F.col("b.anchor").alias("anchor"))
+    )
+    hot = counts.filter(F.col("n") > HOT_LINES).select(
+        *place, F.ceil(F.col("n") / HOT_LINES).cast("int").alias("salts")
+    )
+    # At most one key in HOT_LINES of all words of all lines.
+    hot = materialize(hot, "hot")
+    if bounded(hot, place, BROADCAST_LIMIT):
+        hot = F.broadcast(hot)
+    salts = F.coalesce("salts", F.lit(1))
+    runs = (
+        index.select(*LIBRARY_KEY, "seq", "mode", "test", "regex")
+        .join(chosen, [*LIBRARY_KEY, "seq"])
+        .join(hot, place, "left")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("salts")
+    )
+    dealt = keyed.join(hot, place, "left").withColumn(
+        "salt", F.pmod(F.xxhash64(*LINE_KEY), salts).cast("int")
     )
+    pairs = dealt.drop("salts").join(runs, [*place, "salt"])
     native = pairs.filter(F.col("mode") != "python").filter(dialect.matches(text, F.col("test")))
     hits = native.select(*LINE_KEY, *LIBRARY_KEY, "seq")
     if _has_python(index):
@@ -285,8 +427,7 @@ def _match_by_join(lines: DataFrame, index: DataFrame) -> DataFrame:
             dialect.python_fullmatch(F.col("regex"), text)
         )
         hits = hits.unionByName(other.select(*LINE_KEY, *LIBRARY_KEY, "seq"))
-    # All pairs of a line are in one task, so the partial minimum already leaves
-    # one row per line and only narrow columns are exchanged.
+    # Only narrow columns are exchanged, after a partial minimum.
     winners = hits.groupBy(*LINE_KEY, *LIBRARY_KEY).agg(F.min("seq").alias("seq"))
     named = winners.join(
         index.select(*LIBRARY_KEY, "seq", "template_id"), [*LIBRARY_KEY, "seq"]

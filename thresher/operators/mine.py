@@ -3,19 +3,25 @@
 Values with a recognizable shape are masked; the constants around them identify
 the line's pattern. Every pattern yields one candidate template. The statistics
 that decide which positions are fixed words (branches) and which carry instance
-data (fruits) come from one pass with fixed-width aggregation buffers, so even a
-pattern with most of the lines is reduced before the exchange.
+data (fruits) come from one pass over the lines that keeps a bounded set of value
+hashes for each position, so even a pattern with most of the lines is reduced
+before the exchange. Words that act as values are found by a tree over the words'
+positions, and patterns that differ there become one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thresher.functions import text as X
-from thresher.functions.dialect import SEPARATOR, captured_values, with_compiled
+from thresher.functions.dialect import captured_values, with_compiled
 from thresher.schemas import LIBRARY_KEY, LINE_KEY
-from thresher.session import bounded, materialize, spread
+from thresher.session import bounded, materialize, scratch_dir, spread
 
 # Shapes of instance data, most specific first. Only constructs
 # that mean the same in Java, RE2 and Python.
@@ -34,9 +40,12 @@ SHAPES = {
     "num": r"[0-9]+(?:\.[0-9]+)?",
 }
 ANY_SHAPE = "|".join(f"(?:{shape})" for shape in SHAPES.values())
-# The same for texts without an at sign: the costliest shape cannot occur there.
-_NO_EMAIL = "|".join(f"(?:{shape})" for name, shape in SHAPES.items() if name != "email")
-WORD = "[A-Za-z_]+"
+# Digits between the letters of a word that starts with a letter belong to the word.
+NAME = r"[A-Za-z]+[0-9]+[A-Za-z]+"
+# A word, with the digits that such names hold.
+WORD = "[A-Za-z_][A-Za-z0-9_]*"
+# Around a value in a masked text; the second pair serves texts that hold the first.
+EDGES = (("\x11", "\x12"), ("\x13", "\x14"))
 
 # A slot is a branch from this support on, if it only ever showed one value.
 BRANCH_SUPPORT = 10
@@ -47,6 +56,8 @@ OPEN_VALUES = 20
 KEPT_WORDS = 2
 SPREAD_PATTERNS = 64
 BROADCAST_LIMIT = 256 << 20
+# Positions whose values one task holds at a time.
+HELD_SLOTS = 50_000
 
 # Joins constants while words are looked at; patterns containing it are left alone.
 SLOT = "\x00"
@@ -56,102 +67,169 @@ def shape_of(value: Column) -> Column:
     kind = F.lit("word")
     for name, shape in reversed(SHAPES.items()):
         kind = F.when(value.rlike(rf"\A(?:{shape})\z"), F.lit(name)).otherwise(kind)
-    return kind
+    # A payload may be deeper than its flat shape.
+    return F.when(F.startswith(value, F.lit("{")) & F.endswith(value, F.lit("}")), F.lit("json")).otherwise(kind)
+
+
+def _mask(email: bool, json: bool) -> str:
+    """Three groups: values other than numbers, names with digits inside, numbers.
+
+    The engine takes the leftmost match and, there, the first group, so a name counts
+    only where no other shape begins and only from its first letter on.
+    """
+    left_out = {"num"} | ({"email"} if not email else set()) | ({"json"} if not json else set())
+    values = "|".join(f"(?:{shape})" for name, shape in SHAPES.items() if name not in left_out)
+    name = NAME.replace("+", "++")
+    return f"({values})|((?<![0-9A-Za-z_]){name})|({SHAPES['num']})"
+
+
+def _marked(text: Column, edges: tuple[str, str], json: bool = True) -> Column:
+    """The text with each value between two marks; a name is left as it is."""
+    start, end = edges
+
+    def cut(email: bool) -> Column:
+        return F.replace(
+            F.regexp_replace(text, _mask(email, json), f"$2{start}$1$3{end}"), F.lit(start + end), F.lit("")
+        )
+
+    # The costliest shape cannot occur without an at sign.
+    return F.when(text.contains("@"), cut(True)).otherwise(cut(False))
 
 
-def line_constants(text: Column) -> Column:
-    return F.split(text, ANY_SHAPE, -1)
+def _pieces(text: Column, edges: tuple[str, str]) -> Column:
+    start, end = edges
+    parts = F.when(X.deep_payloads(text), X.payload_parts(text))
+    deep = F.array_join(
+        F.transform(
+            parts,
+            lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(start), p, F.lit(end))).otherwise(_marked(p, edges, False)),
+        ),
+        "",
+    )
+    return F.split(F.coalesce(deep, _marked(text, edges)), f"[{start}{end}]", -1)
 
 
-def line_values(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY_SHAPE), F.lit(0))
+def line_tokens(text: Column) -> Column:
+    """Constants (even places) and values (odd places) of a text.
+
+    Values are the shapes above, with a JSON-like payload as a whole however deep it is.
+    A text that holds the marks of both pairs of edges is one constant.
+    """
+    tokens = F.array(text)
+    for edges in reversed(EDGES):
+        holds = text.contains(edges[0]) | text.contains(edges[1])
+        tokens = F.when(holds, tokens).otherwise(_pieces(text, edges))
+    return tokens
 
 
-def _tokens(text: Column) -> Column:
-    """Constants (even places) and values (odd places) of a text, in one regex pass."""
+def constants_of(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t, i: i % 2 == 0)
 
-    def cut(shapes: str) -> Column:
-        return F.split(F.regexp_replace(text, shapes, f"{SEPARATOR}$0{SEPARATOR}"), SEPARATOR, -1)
 
-    return F.when(text.contains("@"), cut(ANY_SHAPE)).otherwise(cut(_NO_EMAIL))
+def values_of(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t, i: i % 2 == 1)
 
 
 def mask_lines(lines: DataFrame) -> DataFrame:
     """Non-empty lines with ``pattern_id``, ``constants`` and masked ``slot_values``."""
-    text, tokens = F.col("transformed"), F.col("_tokens")
-    clash = text.contains(SEPARATOR)
-    constants = F.when(clash, line_constants(text)).otherwise(
-        F.filter(tokens, lambda t, i: i % 2 == 0)
-    )
-    values = F.when(clash, line_values(text)).otherwise(
-        F.filter(tokens, lambda t, i: i % 2 == 1)
-    )
     return (
-        lines.filter(text != "")
-        .withColumn("_tokens", F.when(~clash, _tokens(text)))
-        .withColumn("constants", constants)
-        .withColumn("slot_values", values)
+        lines.filter(F.col("transformed") != "")
+        .withColumn("_tokens", line_tokens(F.col("transformed")))
+        .withColumn("constants", constants_of(F.col("_tokens")))
+        .withColumn("slot_values", values_of(F.col("_tokens")))
         .withColumn("pattern_id", F.md5(F.to_json("constants").cast("binary")))
         .drop("_tokens")
     )
 
 
+_PARTIAL = (
+    "device_type string, vendor string, pattern_id string, source_id string, line_number long,"
+    " support long, slots array<array<long>>"
+)
+
+
+class _Held:
+    """What a task knows of the patterns it has seen: support, first line, values by position."""
+
+    def __init__(self, most: int):
+        self.most, self.rows, self.slots = most, {}, 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        key = list(zip(*(batch[c].to_pylist() for c in ("device_type", "vendor", "pattern_id"))))
+        lines = list(zip(*(batch[c].to_pylist() for c in ("source_id", "line_number"))))
+        # Lists of one pattern have one length, so its values are a rectangle of numbers.
+        flat, ends = batch["hashes"].flatten().to_numpy(), batch["hashes"].offsets.to_numpy()
+        ends = ends - ends[0]
+        own: dict[tuple, list[int]] = {}
+        for i, k in enumerate(key):
+            own.setdefault(k, []).append(i)
+        for k, places in own.items():
+            first, width = min(lines[i] for i in places), int(ends[places[0] + 1] - ends[places[0]])
+            held = self.rows.get(k)
+            if held is None:
+                held = self.rows[k] = [first, 0, [set() for _ in range(width)]]
+                self.slots += width + 1
+            held[0], held[1] = min(held[0], first), held[1] + len(places)
+            if len(places) == 1:
+                begin = ends[places[0]]
+                for seen, value in zip(held[2], flat[begin : begin + width].tolist()):
+                    if len(seen) < self.most:
+                        seen.add(value)
+                continue
+            values = flat[ends[places][:, None] + np.arange(width)]
+            for position, seen in enumerate(held[2]):
+                if len(seen) < self.most:
+                    seen.update(np.unique(values[:, position])[: self.most].tolist())
+
+    def release(self) -> pa.RecordBatch:
+        rows, self.rows, self.slots = self.rows, {}, 0
+        found = [(*k, *first, n, [sorted(s)[: self.most] for s in slots]) for k, (first, n, slots) in rows.items()]
+        columns = list(zip(*found)) if found else [()] * 7
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))]
+        names = ["device_type", "vendor", "pattern_id", "source_id", "line_number", "support", "slots"]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
 def slot_statistics(lines: DataFrame, open_values: int = OPEN_VALUES) -> DataFrame:
     """Per library, pattern and position; position 0 stands for the pattern itself.
 
-    ``values`` is the exact number of different values up to ``open_values``, else some
-    number above. Lines are masked once. Fixed-width buffers come first: a 64-bit map of
-    value hashes proves positions open, equal smallest and largest of two 64-bit hashes
-    prove a single value. Only the positions in between are grouped by value.
+    ``values`` is the exact number of different values up to ``open_values``, else
+    ``open_values`` + 1. Lines are masked and read once: a task keeps at most that many
+    value hashes for each position of the patterns it meets, hands them on when it holds
+    ``HELD_SLOTS`` positions, and only these sets are exchanged.
     """
-    group = [*LIBRARY_KEY, "pattern_id", "position"]
-    value = F.col("value")
-    first, second = F.xxhash64(value), F.xxhash64(F.lit(1), value)
-    masked = mask_lines(lines).select(*LIBRARY_KEY, *LINE_KEY, "pattern_id", "slot_values")
-    masked = materialize(masked, "masked")
-    placed = masked.select(
-        *LIBRARY_KEY,
-        *LINE_KEY,
-        "pattern_id",
-        F.posexplode(F.concat(F.array(F.lit("")), "slot_values")).alias("position", "value"),
+    group, most = [*LIBRARY_KEY, "pattern_id"], open_values + 1
+    masked = mask_lines(lines).select(
+        *group, *LINE_KEY, F.transform("slot_values", lambda v: F.xxhash64(v)).alias("hashes")
     )
-    per_source = (
-        placed.groupBy(*group, "source_id")
-        .agg(
-            F.count(F.lit(1)).alias("support"),
-            F.min("line_number").alias("line_number"),
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(first, F.lit(64)).cast("int"))).alias("bits"),
-            F.min(first).alias("lo1"),
-            F.max(first).alias("hi1"),
-            F.min(second).alias("lo2"),
-            F.max(second).alias("hi2"),
-        )
-    )
-    rough = (
-        per_source.groupBy(*group)
-        .agg(
-            F.sum("support").alias("support"),
-            F.min(F.struct("source_id", "line_number")).alias("first"),
-            F.bit_count(F.bit_or("bits")).cast("bigint").alias("buckets"),
-            ((F.min("lo1") == F.max("hi1")) & (F.min("lo2") == F.max("hi2"))).alias("single"),
-        )
-    )
-    rough = materialize(rough, "slots")
-    unclear = rough.filter((F.col("buckets") <= open_values) & ~F.col("single")).select(*group)
-    if bounded(unclear, ["device_type", "vendor", "pattern_id"], BROADCAST_LIMIT):
-        unclear = F.broadcast(unclear)
-    counted = (
-        placed.join(unclear, group, "left_semi")
-        .groupBy(*group, "value")
-        .agg(F.lit(1).alias("one"))
-        .groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("n"))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Held(most)
+        for batch in batches:
+            if batch.num_rows:
+                task.add(batch)
+            if task.slots >= HELD_SLOTS:
+                yield task.release()
+        yield task.release()
+
+    partial = masked.mapInArrow(held, _PARTIAL)
+    sets = F.concat(F.array(F.array(F.lit(0).cast("bigint"))), "slots")
+    placed = partial.select(
+        *group, *LINE_KEY, "support", F.posexplode(sets).alias("position", "hashes")
+    ).select("*", F.posexplode("hashes").alias("n", "hash"))
+    counted = F.when(F.col("n") == 0, F.col("support"))
+    by_value = placed.groupBy(*group, "position", "hash", "source_id").agg(
+        F.sum(counted).alias("support"), F.min("line_number").alias("line_number")
     )
-    values = F.when(F.col("single"), F.lit(1).cast("bigint")).otherwise(
-        F.coalesce("n", F.greatest("buckets", F.lit(open_values + 1)))
+    by_value = by_value.groupBy(*group, "position", "hash").agg(
+        F.sum("support").alias("support"), F.min(F.struct(*LINE_KEY)).alias("first")
     )
-    return rough.join(counted, group, "left").select(
-        *group, "support", "first", values.alias("values"), "single"
+    distinct = F.least(F.count(F.lit(1)), F.lit(most)).cast("bigint")
+    return by_value.groupBy(*group, "position").agg(
+        F.sum("support").alias("support"),
+        F.min("first").alias("first"),
+        distinct.alias("values"),
+        (F.count(F.lit(1)) == 1).alias("single"),
     )
 
 
@@ -211,32 +289,104 @@ def classify_slots(
 # --- words that behave like values -------------------------------------------
 
 
-_PLACE = [*LIBRARY_KEY, "n_words", "word_at", "h1", "h2"]
+_NODE = [*LIBRARY_KEY, "n1", "n2"]
 
 
 def _joined(constants: Column) -> Column:
     return F.array_join(constants, SLOT)
 
 
-def _weave(seps: Column, words: Column, start: Column, stop: Column) -> Column:
-    """seps[start] words[start] seps[start+1] ... seps[stop], 0-based."""
-    n = stop - start
-    return X.interleave(F.slice(seps, start + 1, n + 1), F.slice(words, start + 1, n))
+def _spelled(patterns: DataFrame, kept_words: int) -> DataFrame:
+    """Words and what stands between them, of patterns with more than ``kept_words`` words."""
+    joined = _joined(constants_of(F.col("_tokens")))
+    return (
+        patterns.filter(~F.contains(F.col("transformed"), F.lit(SLOT)))
+        .withColumn("_tokens", line_tokens(F.col("transformed")))
+        .select(
+            *LIBRARY_KEY,
+            "pattern_id",
+            F.regexp_extract_all(joined, F.lit(WORD), F.lit(0)).alias("words"),
+            F.split(joined, WORD, -1).alias("seps"),
+        )
+        .filter(F.size("words") > kept_words)
+    )
+
+
+def _large(rows: DataFrame, open_values: int, folder: str, name: str) -> DataFrame:
+    """Rows of nodes with more than ``open_values`` patterns; only those can hold an open word."""
+    sizes = rows.groupBy(*_NODE).count().filter(F.col("count") > open_values).select(*_NODE)
+    return rows.join(_broadcast_if_small(sizes, folder, f"{name}_sizes"), _NODE, "left_semi")
+
+
+def _broadcast_if_small(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    table = materialize(rows, name, folder)
+    return F.broadcast(table) if bounded(table, ["device_type", "vendor"], BROADCAST_LIMIT) else table
+
+
+def open_word_tree(
+    patterns: DataFrame, open_values: int = OPEN_VALUES, kept_words: int = KEPT_WORDS
+) -> DataFrame:
+    """``pattern_id, merged, open_words``: patterns whose words differ at open positions only.
+
+    A tree over word positions, grown level by level for all libraries at once. Its roots
+    are the patterns that agree in everything between their words. A node whose positions
+    hold one word or more than ``open_values`` words is one template, if ``kept_words`` or
+    more positions hold one word and no fewer do than are open; its patterns merge there.
+    Any other node splits on the position with the fewest words (of two or more, and
+    leftmost), because few words tell events apart. A node of up to ``open_values``
+    patterns has no open position and is left alone. A split fixes a position, so there
+    are no more levels than words.
+    """
+    spark, folder = patterns.sparkSession, scratch_dir(patterns.sparkSession)
+    key = [*LIBRARY_KEY, "pattern_id"]
+    roots = _spelled(patterns, kept_words).select(
+        *key, "words", F.xxhash64(F.lit(1), "seps").alias("n1"), F.xxhash64(F.lit(2), "seps").alias("n2")
+    )
+    active = materialize(_large(materialize(roots, "roots", folder), open_values, folder, "roots"), "active_0", folder)
+    found = spark.createDataFrame([], "device_type string, vendor string, pattern_id string, merged string, open_words array<int>")
+    level = 0
+    while not active.isEmpty():
+        level += 1
+        placed = active.select(*_NODE, F.posexplode("words").alias("at", "word"))
+        values = placed.distinct().groupBy(*_NODE, "at").agg(F.count(F.lit(1)).alias("n"))
+        many, few = F.col("n") > open_values, (F.col("n") > 1) & (F.col("n") <= open_values)
+        nodes = values.groupBy(*_NODE).agg(
+            F.count_if(F.col("n") == 1).alias("fixed"),
+            F.min(F.when(few, F.struct("n", "at"))).alias("few"),
+            F.min(F.when(many, F.struct("n", "at"))).alias("many"),
+            F.sort_array(F.collect_list(F.when(many, F.col("at")))).alias("open_words"),
+        )
+        whole = F.col("few").isNull() & (F.col("fixed") >= F.greatest(F.lit(kept_words), F.size("open_words")))
+        split = F.coalesce("few.at", "many.at")
+        nodes = nodes.select(*_NODE, "open_words", F.when(~whole, split).alias("split"))
+        nodes = _broadcast_if_small(nodes, folder, f"nodes_{level}")
+        judged = active.join(nodes, _NODE)
+        done = judged.filter("split is null").select(
+            *key, F.concat_ws(":", F.lit("t"), "n1", "n2").alias("merged"), "open_words"
+        )
+        found = found.unionByName(materialize(done, f"found_{level}", folder))
+        word = F.get("words", F.col("split"))
+        children = judged.filter("split is not null").select(
+            *key,
+            "words",
+            F.xxhash64("n1", "split", word).alias("n1"),
+            F.xxhash64("n2", "split", word).alias("n2"),
+        )
+        children = materialize(children, f"children_{level}", folder)
+        active = materialize(_large(children, open_values, folder, f"children_{level}"), f"active_{level}", folder)
+    return found
 
 
 def open_word_places(
     patterns: DataFrame, open_values: int = OPEN_VALUES, kept_words: int = KEPT_WORDS
 ) -> DataFrame:
-    """For patterns with an open word: the word's place and the hashes shared there.
+    """``pattern_id, merged, open_words``: patterns that differ in a single open word.
 
     A pattern is hashed once per word with that word left out; patterns that meet
     under a hash differ in that word only, so their number is the number of
     words. No pairs of patterns are formed.
     """
-    key = [*LIBRARY_KEY, "pattern_id"]
-    joined = _joined(line_constants(F.col("transformed")))
-    words = F.regexp_extract_all(joined, F.lit(WORD), F.lit(0))
-    seps = F.split(joined, WORD, -1)
+    key, place = [*LIBRARY_KEY, "pattern_id"], [*LIBRARY_KEY, "n_words", "word_at", "h1", "h2"]
 
     def fold(seed: int) -> Column:
         tokens = F.concat(F.col("words"), F.col("seps"))
@@ -247,9 +397,7 @@ def open_word_places(
         )
 
     spelled = (
-        patterns.filter(~F.contains(F.col("transformed"), F.lit(SLOT)))
-        .select(*key, words.alias("words"), seps.alias("seps"))
-        .filter(F.size("words") > kept_words)
+        _spelled(patterns, kept_words)
         .withColumn("h1", fold(1))
         .withColumn("h2", fold(2))
         .select(
@@ -267,41 +415,47 @@ def open_word_places(
             F.col("h2").bitwiseXOR(F.xxhash64(F.lit(2), "word_at", "word")).alias("h2"),
         )
     )
-    place = _PLACE
     # Numbers only: partial aggregation keeps a hot place small.
     open_places = (
         spelled.groupBy(*place)
         .agg(F.count(F.lit(1)).alias("n_values"))
         .filter(F.col("n_values") > open_values)
     )
+    merged = F.concat_ws(":", F.lit("w"), "c.n_words", -F.col("c.col2"), "c.h1", "c.h2")
     return (
         spelled.join(open_places, place)
         .groupBy(*key)
         .agg(F.max(F.struct("n_values", -F.col("word_at"), "n_words", "h1", "h2")).alias("c"))
-        .select(*key, (-F.col("c.col2")).alias("word_at"), "c.n_words", "c.h1", "c.h2")
+        .select(*key, merged.alias("merged"), F.array(-F.col("c.col2")).alias("open_words"))
     )
 
 
 def generalize_words(
     patterns: DataFrame, open_values: int = OPEN_VALUES, kept_words: int = KEPT_WORDS
 ) -> DataFrame:
-    """Merge patterns that differ in one word with more than ``open_values`` values.
+    """Merge patterns that differ in words with more than ``open_values`` values.
 
-    At least ``kept_words`` other words must remain.
+    The tree over word positions finds patterns with any number of open words; patterns
+    it leaves alone are then compared with one word left out, which also finds a family
+    that a split has taken apart. At least ``kept_words`` other words must remain.
 
-    Adds ``word_at``, the place of the replaced word, null where nothing merged.
+    Adds ``open_words``, the places of the replaced words, null where nothing merged.
     Reads ``patterns`` several times: pass a materialized table.
     """
-    key, place = [*LIBRARY_KEY, "pattern_id"], _PLACE
-    alike = patterns.withColumn("word_at", F.lit(None).cast("int"))
+    key, place = [*LIBRARY_KEY, "pattern_id"], [*LIBRARY_KEY, "merged"]
+    alike = patterns.withColumn("open_words", F.lit(None).cast("array<int>"))
     if patterns.limit(open_values + 1).count() <= open_values:
         return alike
-    chosen = materialize(open_word_places(patterns, open_values, kept_words), "open_words")
+    chosen = open_word_tree(patterns, open_values, kept_words)
+    rest = patterns.join(chosen.select(*key), key, "left_anti")
+    if rest.limit(open_values + 1).count() > open_values:
+        chosen = chosen.unionByName(open_word_places(rest, open_values, kept_words))
+    chosen = materialize(chosen, "open_words")
     if chosen.isEmpty():
         return alike
     joined_rows = patterns.join(chosen, key, "left")
-    alone = joined_rows.filter(F.col("word_at").isNull()).drop("n_words", "h1", "h2")
-    merging = joined_rows.filter(F.col("word_at").isNotNull())
+    alone = joined_rows.filter(F.col("merged").isNull()).drop("merged")
+    merging = joined_rows.filter(F.col("merged").isNotNull())
     totals = merging.groupBy(*place).agg(
         F.sum("support").alias("support"), F.min(F.struct(*LINE_KEY)).alias("first")
     )
@@ -316,7 +470,7 @@ def generalize_words(
     leaders = merging.drop("support", "slots").join(
         totals.select(*place, "support", "first.*"), [*place, *LINE_KEY]
     )
-    merged = leaders.join(slot_stats, place, "left").drop("n_words", "h1", "h2")
+    merged = leaders.join(slot_stats, place, "left").drop("merged")
     # A slot equal within each member may still differ between members.
     merged = merged.withColumn(
         "slots",
@@ -328,63 +482,56 @@ def generalize_words(
     return alone.unionByName(merged)
 
 
-def _with_word_slot(patterns: DataFrame, open_values: int) -> DataFrame:
-    """``constants``, ``slot_values`` and ``slots`` with the merged word as a slot."""
-    text = F.col("transformed")
-    constants, values = line_constants(text), line_values(text)
-    joined = _joined(constants)
-    words = F.regexp_extract_all(joined, F.lit(WORD), F.lit(0))
-    seps = F.split(joined, WORD, -1)
-    at, n = F.col("word_at"), F.size("words")
-    zero = F.lit(0)
-    before = F.split(_weave(F.col("seps"), F.col("words"), zero, at), SLOT, -1)
-    after = F.split(_weave(F.col("seps"), F.col("words"), at + 1, n), SLOT, -1)
-    slot = F.size("before") - 1
-    word = F.element_at("words", at + 1)
+def _with_word_slots(patterns: DataFrame, open_values: int) -> DataFrame:
+    """``constants``, ``slot_values``, ``kinds`` and ``slots`` with merged words as slots.
+
+    ``_origin`` lists the slots of the line in order: 0 for a value, n for the n-th word.
+    """
+    joined = _joined(F.col("constants"))
+    opened = F.col("open_words").isNotNull()
+
+    def is_open(i: Column) -> Column:
+        return F.array_contains("open_words", i)
+
+    words = F.transform("_words", lambda w, i: F.when(is_open(i), F.lit(SLOT)).otherwise(w))
+    origin = F.flatten(
+        F.transform(
+            "_seps",
+            lambda sep, i: F.concat(
+                F.array_repeat(F.lit(0), F.length(sep) - F.length(F.replace(sep, F.lit(SLOT), F.lit("")))),
+                F.when(is_open(i), F.array(i + 1)).otherwise(F.array().cast("array<int>")),
+            ),
+        )
+    )
+
+    def placed(of_value, of_word: Column | None = None):
+        """An array over all slots from one over the values."""
+
+        def pick(o: Column, i: Column) -> Column:
+            at = F.size(F.filter(F.slice("_origin", 1, i + 1), lambda x: x == 0))
+            word = F.get("_words", o - 1) if of_word is None else of_word
+            return F.when(o > 0, word).otherwise(F.get(of_value, at - 1))
+
+        return F.transform("_origin", pick)
+
     word_stats = F.struct(
         F.lit(0).alias("position"),
         F.lit(open_values + 1).cast("bigint").alias("values"),
         F.lit(False).alias("single"),
     )
     return (
-        patterns.withColumn("constants", constants)
-        .withColumn("slot_values", values)
-        .withColumn("words", words)
-        .withColumn("seps", seps)
-        .withColumn("before", F.when(at.isNotNull(), before))
-        .withColumn("after", F.when(at.isNotNull(), after))
-        .withColumn("constants", F.when(at.isNull(), F.col("constants")).otherwise(F.concat("before", "after")))
-        .withColumn(
-            "kinds",
-            F.when(at.isNull(), F.transform("slot_values", shape_of)).otherwise(
-                F.concat(
-                    F.transform(F.slice("slot_values", 1, slot), shape_of),
-                    F.array(F.lit("word")),
-                    F.transform(F.slice("slot_values", slot + 1, F.size("slot_values")), shape_of),
-                )
-            ),
-        )
-        .withColumn(
-            "slots",
-            F.when(at.isNull(), F.col("slots")).otherwise(
-                F.concat(
-                    F.slice("slots", 1, slot),
-                    F.array(word_stats),
-                    F.slice("slots", slot + 1, F.size("slots")),
-                )
-            ),
-        )
-        .withColumn(
-            "slot_values",
-            F.when(at.isNull(), F.col("slot_values")).otherwise(
-                F.concat(
-                    F.slice("slot_values", 1, slot),
-                    F.array(word),
-                    F.slice("slot_values", slot + 1, F.size("slot_values")),
-                )
-            ),
-        )
-        .drop("words", "seps", "before", "after")
+        patterns.withColumn("_tokens", line_tokens(F.col("transformed")))
+        .withColumn("constants", constants_of(F.col("_tokens")))
+        .withColumn("slot_values", values_of(F.col("_tokens")))
+        .withColumn("kinds", F.transform("slot_values", shape_of))
+        .withColumn("_words", F.when(opened, F.regexp_extract_all(joined, F.lit(WORD), F.lit(0))))
+        .withColumn("_seps", F.when(opened, F.split(joined, WORD, -1)))
+        .withColumn("_origin", F.when(opened, origin))
+        .withColumn("constants", F.when(opened, F.split(X.interleave(F.col("_seps"), words), SLOT, -1)).otherwise(F.col("constants")))
+        .withColumn("kinds", F.when(opened, placed("kinds", F.lit("word"))).otherwise(F.col("kinds")))
+        .withColumn("slots", F.when(opened, placed("slots", word_stats)).otherwise(F.col("slots")))
+        .withColumn("slot_values", F.when(opened, placed("slot_values")).otherwise(F.col("slot_values")))
+        .drop("_tokens", "_words", "_seps", "_origin")
     )
 
 
@@ -449,5 +596,5 @@ def mine_candidates(
     branches = F.transform(
         "slots", lambda s: s["single"] & (F.col("support") >= branch_support)
     )
-    rows = _with_word_slot(patterns, open_values).withColumn("branches", branches)
+    rows = _with_word_slots(patterns, open_values).withColumn("branches", branches)
     return build_candidates(rows, F.col("branches"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # A split's row in the offset table is a path and three numbers.
 SPLIT_ROW_BYTES = 1024
 BROADCAST_LIMIT = 256 << 20
+PART_BYTES = 128 << 20
 
 
 def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -72,14 +73,14 @@ def parsed_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_parsed_tsv(rows: DataFrame, path: str, header: bool = False) -> None:
-    """Write the parsed rows as text, in line order across the part files.
+    """Write the parsed rows as text, in line order across part files of ``PART_BYTES``.
 
     With ``header`` each part file starts with the column names, as every part
     of a Spark text table must be readable alone.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = parsed_lines(rows).repartitionByRange(parts, *["source_id", "line_number"])
+    lines = parsed_lines(rows)
+    size = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    lines = lines.repartitionByRange(max(1, -(-size // PART_BYTES)), "source_id", "line_number")
     if not header:
         lines.sortWithinPartitions("source_id", "line_number").select("value").write.mode(
             "overwrite"
