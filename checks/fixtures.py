@@ -286,32 +286,31 @@ NATION_SQL = (
 # --- shipment lines: two words with many values, one with few ------------------------
 
 _SHIPMENT = (
-    "concat('shipment ', cast(l_orderkey as {str}), ' of ', translate(p_brand, '#0123456789', '_abcdefghij'), ' by ',"
-    " translate(n_name, '0123456789', 'abcdefghij'), ' flag ', l_returnflag)"
+    "concat('shipment ', cast(o_orderkey as {str}), ' of ', translate(p_brand, '#0123456789', '_abcdefghij'), ' by ',"
+    " translate(n_name, '0123456789', 'abcdefghij'), ' flag ', o_orderstatus)"
 )
 
 
 def shipment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that differ in a number, a brand and a nation (25 words each), and a flag."""
-    items = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-        .join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+    orders = (
+        table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "part"), F.expr("p_partkey = o_orderkey % 200"))
     )
-    lines = items.select(
+    lines = orders.select(
         F.lit("items.log").alias("source_id"),
-        F.expr("l_orderkey * 1000 + l_linenumber").alias("line_number"),
+        (F.col("o_orderkey") + 1).alias("line_number"),
         F.expr(_SHIPMENT.format(str="string")).alias("raw_line"),
     )
     return in_library(lines)
 
 
 SHIPMENT_SQL = (
-    f"select 'items.log' as source_id, l_orderkey * 1000 + l_linenumber as line_number, l_returnflag as flag, p_brand, n_name,"
-    f" {_SHIPMENT.format(str='varchar')} as raw_line from lineitem join part on l_partkey = p_partkey"
-    " join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
+    f"select 'items.log' as source_id, o_orderkey + 1 as line_number, o_orderstatus as flag, p_brand, n_name,"
+    f" {_SHIPMENT.format(str='varchar')} as raw_line from orders join customer on o_custkey = c_custkey"
+    " join nation on c_nationkey = n_nationkey join part on p_partkey = o_orderkey % 200"
 )
 
 
