@@ -14,8 +14,8 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,22 +47,24 @@ def _byte_letters() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(path: str) -> Callable[[str], list[int]]:
     """The vocabulary file's byte-level BPE, run by tiktoken (ids are merge ranks).
 
-    Same ids as the file's own library without special tokens, five times as fast.
+    Same ids as the file's own library, five times as fast. A text that spells one of the
+    file's added tokens holds that token's id there, as in the library.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as source:
-        vocabulary = json.load(source)["model"]["vocab"]
+        content = json.load(source)
+    vocabulary, added = content["model"]["vocab"], {t["content"]: t["id"] for t in content["added_tokens"]}
     letters = _byte_letters()
     ranks = {bytes(letters[c] for c in word): rank for word, rank in vocabulary.items() if all(c in letters for c in word)}
-    special = [w for w, rank in vocabulary.items() if w.startswith("<|") and w.endswith("|>")]
-    for word in special:
+    for word in added:
         ranks.pop(word.encode(), None)
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return partial(own.encode, allowed_special="all")
 
 
 def pieces(documents: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -73,7 +75,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, window: int = WIN
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
