@@ -94,3 +94,37 @@ def test_documents_come_as_often_as_taken(documents):
     assert mixed.columns == docs.columns
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
     assert {k for k, v in want.items() if v > 1}
+
+
+def test_one_id_in_two_sources(documents):
+    """Copies go to the row that earned them, so each source's words come near its target."""
+    rows = [(i, f"{s} " * n, None, s) for i in range(400) for s, n in (("a", 16), ("b", 20 + i % 90))]
+    docs = documents(rows)
+    target = {r.source: r.target for r in mixing.targets(mixing.word_sizes(docs)).collect()}
+    taken = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        taken[r.source] += words(r.text)
+    assert all(abs(taken[s] - target[s]) <= 60 for s in "ab")
+
+
+def test_rows_without_an_id_spread_over_blocks(documents):
+    rows = [(None, f"x{i}" + " y" * 9, None, "a") for i in range(3000)] + [(None, "same words", None, "a")] * 3000
+    names = mixing.placed(mixing.word_sizes(documents(rows)), mixing.scratch_dir(documents(rows).sparkSession))
+    blocks = names.groupBy(F.pmod(F.xxhash64("print", "place"), F.lit(94))).count().agg(F.max("count"), F.count("*")).first()
+    assert blocks[1] == 94 and blocks[0] < 130
+    assert names.select("print", "place").distinct().count() == 6000
+    check([(None, t, None, s) for _, t, _, s in rows], mixing.mix(documents(rows)).collect(), 12)
+
+
+def test_repeated_rows_and_clashing_columns(spark, documents):
+    rows = [(i % 40, "one text", None, "a") for i in range(200)] + [(None, "b " * (1 + i % 7), None, "b") for i in range(200)]
+    docs = documents(rows).withColumns({c: F.lit(7) for c in ("copies", "place", "print", "row", "_turn", "_copy", "spot", "members")})
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.size] += r.copies
+    for r in mixed.collect():
+        got[r.doc_id, words(r.text)] += 1
+        assert r.place == 7
+    assert {k: v for k, v in want.items() if v} == got

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thresher.llm.common import WORD, attach
+from thresher.llm.common import WORD, attach, numbered
 from thresher.session import materialize, scratch_dir
 
 WEIGHTS = (3, 1, 2)
@@ -29,6 +29,8 @@ CAP = 2.0
 BLOCK = 64
 CLASSES_PER_OCTAVE = 4
 SEED = 11
+# What names a row and travels with it through the tree.
+ROW = ("doc_id", "size", "print", "place", "whole")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, cap: float = CAP) -> DataFrame:
@@ -71,9 +73,12 @@ def _uniform(*parts: Column) -> Column:
 
 
 def _item(part: Column, of: Column) -> Column:
-    return F.struct(
-        of["doc_id"].alias("doc_id"), of["size"].alias("size"), of["whole"].alias("whole"), part.alias("part")
-    )
+    return F.struct(*[of[c].alias(c) for c in ROW], part.alias("part"))
+
+
+def _ordered() -> Column:
+    """The rows of a group in order of size; ties by id, content and place."""
+    return F.sort_array(F.collect_list(F.struct("size", "doc_id", "print", "place", "whole", "part")))
 
 
 def _meet(state: Column, new: Column, level: int) -> Column:
@@ -82,7 +87,7 @@ def _meet(state: Column, new: Column, level: int) -> Column:
     a, b = old["part"], new["part"]
     up = F.least(old["size"] * (1 - a), new["size"] * b)
     down = F.least(old["size"] * a, new["size"] * (1 - b))
-    rise = _uniform(old["doc_id"], new["doc_id"], old["size"], new["size"], F.lit(SEED + level)) * (up + down) < down
+    rise = _uniform(old["print"], old["place"], new["print"], new["place"], F.lit(SEED + level)) * (up + down) < down
     old_up = F.when(old["size"] * (1 - a) <= new["size"] * b, 1.0).otherwise(a + up / old["size"])
     new_up = F.when(old["size"] * (1 - a) >= new["size"] * b, 0.0).otherwise(b - up / new["size"])
     old_down = F.when(old["size"] * a <= new["size"] * (1 - b), 0.0).otherwise(a - down / old["size"])
@@ -107,9 +112,7 @@ def _step(state: Column, new: Column, level: int) -> Column:
 
 def _fold(rows: DataFrame, level: int) -> DataFrame:
     """Fold each block of ``rows`` to at most one fractional document."""
-    grouped = rows.groupBy("key", "class", "block").agg(
-        F.sort_array(F.collect_list(F.struct("size", "doc_id", "whole", "part"))).alias("items")
-    )
+    grouped = rows.groupBy("key", "class", "block").agg(_ordered().alias("items"))
     first = _item(F.element_at("items", 1)["part"], F.element_at("items", 1))
     start = F.struct(first.alias("open"), F.filter(F.array(first), lambda x: F.lit(False)).alias("done"))
     rest = F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0)))
@@ -123,15 +126,20 @@ def _settle(rows: DataFrame) -> DataFrame:
     """Root of the tree: a source's residuals, one per size class, largest first.
 
     A residual is taken with the probability that also makes up for the words carried
-    from the larger ones, so the words of a source end near its target.
+    from the larger ones; the last goes to the nearer side, so the words of a source end
+    within about half of that document of its target.
     """
-    items = F.reverse(F.sort_array(F.collect_list(F.struct("size", "doc_id", "whole", "part"))))
-    none = F.expr("cast(array() as array<struct<doc_id:bigint,size:bigint,whole:bigint,part:double>>)")
+    items = F.reverse(_ordered())
+    none = F.expr(
+        "cast(array() as array<struct<doc_id:bigint,size:bigint,print:bigint,place:bigint,whole:bigint,part:double>>)"
+    )
     start = F.struct(F.lit(0.0).alias("carry"), none.alias("done"))
 
     def settle(state: Column, x: Column) -> Column:
         want = x["part"] + state["carry"] / x["size"]
-        part = F.when(_uniform(x["doc_id"], x["size"], F.lit(SEED)) < want, 1.0).otherwise(0.0)
+        last = F.size(state["done"]) + 1 == F.size("items")
+        draw = F.when(last, 0.5).otherwise(_uniform(x["print"], x["place"], F.lit(SEED)))
+        part = F.when(draw < want, 1.0).otherwise(0.0)
         return F.struct(
             (state["carry"] + x["size"] * (x["part"] - part)).alias("carry"),
             F.concat(state["done"], F.array(_item(part, x))).alias("done"),
@@ -145,24 +153,27 @@ def _settle(rows: DataFrame) -> DataFrame:
 
 
 def copies(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """``doc_id, key, size, source_size, target, copies`` for every row of ``sizes``.
+    """``doc_id, key, size, print, place, source_size, target, copies`` for every row of ``sizes``.
 
-    ``sizes`` has ``doc_id, source, size``. Documents without words cannot move words:
-    their fraction is rounded by a hash of the id.
+    ``sizes`` has ``doc_id, source, size`` and the row's name, ``print`` and ``place`` (made
+    of the three if missing). Documents without words cannot move words: their fraction is
+    rounded by a hash of the name.
     """
     folder = scratch_dir(sizes.sparkSession)
+    if "place" not in sizes.columns:
+        sizes = placed(sizes.withColumn("print", F.xxhash64("doc_id", source_key("source"), "size")), folder)
     known = sources.select("key", "source_size", "target", "rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(TOTAL_SHARE))
     rows = attach(sizes.withColumn("key", source_key("source")), known, ["key"], "rows", "inner").select(
-        "key", "doc_id", "size", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part")
+        "key", *ROW[:-1], F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part")
     )
     empty = rows.filter("size = 0").withColumn(
-        "part", F.when(_uniform(F.col("doc_id"), F.lit(SEED)) < F.col("part"), 1.0).otherwise(0.0)
+        "part", F.when(_uniform(F.col("print"), F.col("place"), F.lit(SEED)) < F.col("part"), 1.0).otherwise(0.0)
     )
     open_rows = rows.filter("size > 0").withColumn(
         "class", F.floor(CLASSES_PER_OCTAVE * F.log2("size")).cast("int")
     )
-    done = [empty.select("key", "doc_id", "size", "whole", "part")]
+    done = [empty.select("key", *ROW, "part")]
     for level in itertools.count():
         counts = open_rows.groupBy("key", "class").count().withColumnRenamed("count", "members")
         counts = materialize(counts, f"counts{level}", folder)
@@ -171,54 +182,90 @@ def copies(sizes: DataFrame, sources: DataFrame) -> DataFrame:
             break
         slots = F.ceil(F.col("members") / BLOCK)
         dealt = attach(open_rows, counts, ["key", "class"], "members", "inner").withColumn(
-            "block", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED + level)), slots)
+            "block", F.pmod(F.xxhash64("print", "place", F.lit(SEED + level)), slots)
         )
         folded = materialize(_fold(dealt, level), f"level{level}", folder)
         settled = (F.col("part") <= 0) | (F.col("part") >= 1)
-        done.append(folded.filter(settled).select("key", "doc_id", "size", "whole", "part"))
+        done.append(folded.filter(settled).select("key", *ROW, "part"))
         open_rows = folded.filter(~settled)
-    done.append(_settle(open_rows).select("key", "doc_id", "size", "whole", "part"))
+    done.append(_settle(open_rows).select("key", *ROW, "part"))
     whole = reduce(DataFrame.unionByName, done).withColumn("copies", (F.col("whole") + F.col("part")).cast("int"))
     return attach(whole, known, ["key"], "rows", "inner").select(
-        "doc_id", "key", "size", "source_size", "target", "copies"
+        "key", *ROW[:-1], "source_size", "target", "copies"
     )
 
 
+def content_print() -> Column:
+    """Hash of a document's id, source and text; rows that share it are told apart by ``placed``."""
+    return F.xxhash64(F.col("doc_id").cast("long"), source_key("source"), F.col("text").cast("string"))
+
+
 def word_sizes(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, size`` with the number of words of each whole text."""
+    """``doc_id, source, size, print`` with the number of words of each whole text."""
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        content_print().alias("print"),
     )
 
 
+def placed(rows: DataFrame, folder: str) -> DataFrame:
+    """The rows with ``place``: those that share a ``print`` are numbered from 0.
+
+    Only repeated prints are numbered, in blocks, so that a third of all rows may be one
+    document. Which of two rows with the same content gets which number is open.
+    """
+    rows = materialize(rows.withColumn("spot", F.monotonically_increasing_id()), "spots", folder)
+    repeated = materialize(rows.groupBy("print").agg(F.count("*").alias("members")).filter("members > 1"), "repeated", folder)
+    if repeated.isEmpty():
+        return rows.drop("spot").withColumn("place", F.lit(0).cast("long"))
+    known = attach(rows, repeated, ["print"], "members")
+    alone = known.filter("members is null").withColumn("place", F.lit(0).cast("long"))
+    several = materialize(known.filter("members is not null"), "several", folder)
+    lined = numbered(several, ["print"], ["spot"], "place").withColumn("place", F.col("place").cast("long"))
+    return materialize(alone.unionByName(lined).drop("spot", "members"), "placed", folder)
+
+
 def mix(documents: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` for every document.
 
     ``taken`` is the document's size times its copies (0, 1 or 2). Null texts have no
     words; a null source is a source of its own, the last; null ids and repeated rows
-    stay rows of their own; ties in size fall by id; an empty table gives no rows.
-    The draws are hashes of ids and sizes, so reruns agree on any partitioning.
+    stay rows of their own; ties in size fall by id and content; an empty table gives no
+    rows. The draws are hashes of content, so reruns agree on any partitioning.
     """
-    folder = scratch_dir(documents.sparkSession)
-    sizes = materialize(word_sizes(documents), "sizes", folder)
-    sources = materialize(targets(sizes), "sources", folder)
-    return copies(sizes, sources).select(
+    return _mixed(documents).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
+def _mixed(documents: DataFrame) -> DataFrame:
+    folder = scratch_dir(documents.sparkSession)
+    sizes = placed(word_sizes(documents), folder)
+    return copies(sizes, materialize(targets(sizes), "sources", folder))
+
+
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
-    turn = Window.partitionBy("doc_id").orderBy("copies")
-    taken = materialize(mix(documents).select("doc_id", "copies"), "taken")
-    chosen = taken.withColumn("_turn", F.row_number().over(turn))
-    own = Window.partitionBy("doc_id").orderBy("source", "text")
-    rows = documents.withColumn("_turn", F.row_number().over(own)).alias("d")
-    match = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._turn") == F.col("c._turn"))
-    return (
-        rows.join(chosen.filter("copies > 0").alias("c"), match)
-        .select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("_copy"))
-        .drop("_turn", "_copy")
-    )
+    """The documents as often as the mix takes them, with their own columns of any name.
+
+    Copies go to the row that earned them, by its content: two sources may use one id.
+    Only documents whose content repeats (extra columns may differ) are numbered again;
+    the others meet their copies on the hash alone, broadcast if measured small.
+    """
+    folder = scratch_dir(documents.sparkSession)
+    rows = documents.select(F.struct("*").alias("row"), content_print().alias("print"))
+    taken = materialize(_mixed(documents).select("print", "place", "copies"), "taken", folder)
+    repeated = taken.groupBy("print").agg(F.count("*").alias("members")).filter("members > 1")
+    repeated = materialize(repeated, "shared", folder)
+    chosen = taken.filter("copies > 0").withColumn("members", F.lit(1))
+    if repeated.isEmpty():
+        found = attach(rows, chosen.select("print", "copies", "members"), ["print"], "members", "inner")
+    else:
+        known = attach(rows, repeated, ["print"], "members")
+        several = placed(known.filter("members is not null").drop("members"), folder)
+        rows = known.filter("members is null").select("row", "print", F.lit(0).cast("long").alias("place"))
+        rows = rows.unionByName(several.select("row", "print", "place"))
+        found = attach(rows, chosen, ["print", "place"], "members", "inner")
+    again = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return found.select("row", again).select("row.*")
