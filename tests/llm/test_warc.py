@@ -3,6 +3,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from thresher.llm import warc
 from thresher.session import scratch_dir
@@ -72,3 +73,13 @@ def test_broken_archives_are_told():
 
 def test_empty_table(spark):
     assert warc.archive_round_trip(pages(spark, [])).collect() == []
+
+
+def test_archive_cut_at_a_member(spark, tmp_path):
+    """An archive that ends early, between two records, does not pass."""
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(3)], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.mark_revisits(pages).coalesce(1), str(tmp_path))
+    assert warc.read_archives(spark, manifest).count() == 3
+    short = manifest.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="holds 3 records, 4 were written"):
+        warc.read_archives(spark, short).count()

@@ -209,7 +209,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
     """One row per record of the manifest's archives, read one after another in a task.
 
     ``payload_digest`` is bare lower-case hex. ``payload`` is null for revisits, or
-    for all records without ``payloads``.
+    for all records without ``payloads``. An archive that does not hold the manifest's
+    number of records (cut at the border of a member, say) raises ``WarcError``.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +218,10 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
         kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
         schema = pa.schema(list(zip(names, kinds)))
         for batch in batches:
-            for path in batch["path"].to_pylist():
+            for path, records in zip(batch["path"].to_pylist(), batch["records"].to_pylist()):
                 system, name = _open(path)
                 with system.open_input_stream(name, compression=None) as stream:
-                    rows, held = [], 0
+                    rows, held, read_so_far = [], 0, 0
                     for found in read_records(stream):
                         payload, length = payload_of(found)
                         kind, f = found.fields.get("warc-type"), found.fields
@@ -228,13 +229,16 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
                         kept = payload if payloads and kind == "response" else None
                         rows.append((path, found.offset, kind, f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), length, base64.b32decode(label).hex(), kept))
                         held += len(kept or b"") + 500
+                        read_so_far += 1
                         if held > 8 << 20:
                             yield pa.record_batch(list(map(list, zip(*rows))), schema=schema)
                             rows, held = [], 0
+                    if read_so_far != records:
+                        raise WarcError(f"{path} holds {read_so_far} records, {records} were written")
                     if rows:
                         yield pa.record_batch(list(map(list, zip(*rows))), schema=schema)
 
-    paths = manifest.select("path")
+    paths = manifest.select("path", "records")
     files = max(1, manifest.count())
     return paths.repartition(min(files, 10_000), "path").mapInArrow(read, RECORDS)
 
