@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import table
 from thresher.llm import langid
@@ -74,3 +75,18 @@ def test_held_out_accuracy(spark):
     rows = frame.join(truth, "doc_id").collect()
     tested = [r.lang == r.lang_pred for r in rows if r.held_out]
     assert len(rows) == 1000 and np.mean(tested) >= 0.99
+
+
+def test_a_language_of_one_long_text_is_learned(documents):
+    rows = [(1, "zażółć gęślą jaźń " * 400, "pl", None)] + [(i, "the cat sat on the mat", "en", None) for i in range(2, 9)]
+    model = langid.train(documents(rows), train_bytes=1)
+    assert model.languages == ["en", "pl"]
+
+
+def test_code_length_and_clashing_names(documents):
+    rows = [(i, "the cat sat on the mat and the dog lay there " * 9, "en", None) for i in range(5)]
+    docs = documents(rows + [(9, "一强龍無者", None, None), (10, "12", "en", None)])
+    found = langid.tagged(docs.withColumn("_letters", F.lit(1)), langid.train(docs.filter("doc_id < 9"))).collect()
+    bits = {r.doc_id: r._lang_bits for r in found}
+    assert all(r._letters == 1 for r in found)
+    assert max(bits[i] for i in range(5)) < 2 and bits[9] > 8 and bits[10] is None

@@ -41,6 +41,14 @@ def add_columns(rows: DataFrame, compute: Callable[[pa.RecordBatch], dict], adde
     return rows.mapInArrow(extend, shape)
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def attach(rows: DataFrame, side: DataFrame, key: list[str], weight: str, how: str = "left") -> DataFrame:
     """Join ``side`` (unique on ``key``) to ``rows`` whose keys may be very uneven.
 

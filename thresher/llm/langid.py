@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thresher.llm.common import add_columns, fold
+from thresher.llm.common import add_columns, fold, fresh
 
 ORDER = 3
 TRAIN_BYTES = 6_000_000
@@ -26,6 +26,7 @@ PIECE = 1 << 20
 PAD = b" " * ORDER
 INDEX_BITS = 24
 UNDETERMINED = "und"
+ADDED = ("_lang_pred", "_lang_score", "_lang_bits")
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -132,15 +133,17 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang", train_by
     """Fit one tree per language on a sample of about ``train_bytes`` of its text.
 
     The sample takes whole documents by a hash of their text, the same share within a
-    language. Rows without a text or language teach nothing; no row at all gives None.
+    language, and at least the text with the smallest hash of each. Rows without a text
+    or language teach nothing; no row at all gives None.
     """
     rows = documents.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
     rows = rows.filter("text <> ''")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
+    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")), F.min(place)).collect()
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, train_bytes / v))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")]
+    last = {k: max(least, int(1_000_000 * min(1.0, train_bytes / v))) for k, v, least in sizes}
+    drawn = place <= F.create_map(*[F.lit(x) for kv in last.items() for x in kv])[F.col("lang")]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,26 +162,35 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang", train_by
     return Model(languages, [Tree.of(groups[k]["gram"].to_numpy().astype(np.uint32), groups[k]["n"].to_numpy()) for k in languages])
 
 
-def tagged(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The documents with ``_lang_pred`` and ``_lang_score``, as ``identify`` defines them."""
+def tagged(
+    documents: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ADDED
+) -> DataFrame:
+    """The documents with the columns ``names``: language and score, as ``identify``
+    defines them, and the code length in that language in bits a byte of the text (null
+    if undetermined). The names are ones that the table does not have."""
     if model is None:
-        return documents.withColumns({"_lang_pred": F.lit(UNDETERMINED), "_lang_score": F.lit(0.0)})
+        none = (F.lit(UNDETERMINED), F.lit(0.0), F.lit(None).cast("double"))
+        return documents.withColumns(dict(zip(names, none)))
     letters = F.coalesce(F.col(text).cast("string").rlike("\\p{L}"), F.lit(False))
-    rows = documents.withColumn("_letters", letters)
+    mark = fresh(documents, "_letters")
+    rows = documents.withColumn(mark, letters)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def predict(batch: pa.RecordBatch) -> dict:
-        given = np.array(batch["_letters"].to_pylist(), bool)
+        given = np.array(batch[mark].to_pylist(), bool)
         texts = batch[text].to_pylist()
+        sizes = np.array([len(t.encode().lower()) if g else 1 for t, g in zip(texts, given)])
         bits = shared.value.lengths([t if g else "" for t, g in zip(texts, given)])
         rest = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
-        names = np.array(shared.value.languages, object)[bits.argmin(axis=1)]
-        return {
-            "_lang_pred": pa.array(np.where(given, names, UNDETERMINED), pa.string()),
-            "_lang_score": np.where(given, 1.0 / rest, 0.0),
-        }
-
-    return add_columns(rows, predict, "_lang_pred string, _lang_score double").drop("_letters")
+        found = np.array(shared.value.languages, object)[bits.argmin(axis=1)]
+        columns = (
+            pa.array(np.where(given, found, UNDETERMINED), pa.string()),
+            pa.array(np.where(given, 1.0 / rest, 0.0)),
+            pa.array(bits.min(axis=1) / sizes, mask=~given),
+        )
+        return dict(zip(names, columns))
+
+    return add_columns(rows, predict, "`%s` string, `%s` double, `%s` double" % names).drop(mark)
 
 
 def identify(documents: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
