@@ -71,3 +71,11 @@ def test_held_out_scores(spark):
     rows = table(found.join(labels, "doc_id").filter("held_out"), "doc_id").values()
     toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == k] for k in (1, 0))
     assert np.mean(toxic) > 0.8 and np.mean(clean) < 0.01
+
+
+def test_swapped_words_carry_their_beginnings():
+    said = X.words("all muslims lie")
+    turned = X.swapped(said, b"muslims", [b"christians"])
+    assert turned == {b"all", b"christians", b"lie"}
+    made = X.features(turned)
+    assert b"chris*" in made and b"musli*" not in made and b"muslim*" not in made

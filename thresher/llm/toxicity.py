@@ -9,6 +9,7 @@ the two scores, so naming a group moves the score as little as any other name wo
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -70,6 +71,16 @@ def swaps() -> dict[bytes, list[bytes]]:
     return found
 
 
+def swapped(said: set[bytes], term: bytes, partners: list[bytes]) -> set[bytes]:
+    """A sentence's words with another group's name for ``term``.
+
+    The words are swapped before features are made of them, so the beginnings of the old
+    name go and those of the new one come. The partner follows from the words alone.
+    """
+    pick = zlib.crc32(b" ".join(sorted(said)) + b"/" + term) % len(partners)
+    return (said - {term}) | {partners[pick]}
+
+
 @dataclass
 class Model:
     """Weights of the chosen features; a text scores by those it has at least once."""
@@ -188,18 +199,20 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     others = swaps()
     place = {w: i for i, w in enumerate(sorted({bytes(r[0]) for r in chosen} | set(others)))}
 
+    def known(said: set[bytes]) -> list[int]:
+        return sorted(place[w] for w in features(said) & place.keys())
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
                 own = words(text)
-                out.append((0, label, sorted(place[w] for w in features(own) & place.keys()), []))
+                out.append((0, label, known(own), []))
                 if own & others.keys():
                     for sentence in _SENTENCE.split(text):
-                        inside = features(words(sentence)) & place.keys()
-                        for term in sorted(inside & others.keys()):
-                            turned = (inside - {term}) | {others[term][len(out) % len(others[term])]}
-                            out.append((1, label, sorted(place[w] for w in inside), sorted(place[w] for w in turned)))
+                        said = words(sentence)
+                        for term in sorted(said & others.keys()):
+                            out.append((1, label, known(said), known(swapped(said, term, others[term]))))
             kinds = pa.list_(pa.int32())
             yield pa.record_batch(
                 {
@@ -222,15 +235,18 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     return Model(float(bias), {w: float(weights[i]) for w, i in place.items() if weights[i]})
 
 
-def tagged(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents with ``_toxic_score`` and ``_toxic``, as ``score`` defines them."""
+def tagged(
+    documents: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("_toxic_score", "_toxic")
+) -> DataFrame:
+    """The documents with score and decision, as ``score`` defines them, in the columns
+    ``names`` (ones that the table does not have)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batch: pa.RecordBatch) -> dict:
         values = shared.value.scores(batch[text].to_pylist())
-        return {"_toxic_score": values, "_toxic": (values >= THRESHOLD).astype(np.int32)}
+        return dict(zip(names, (values, (values >= THRESHOLD).astype(np.int32))))
 
-    return add_columns(documents, scored, "_toxic_score double, _toxic int")
+    return add_columns(documents, scored, "`%s` double, `%s` int" % names)
 
 
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
