@@ -11,25 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thresher.llm import langid, mixing, packing, simhash, toxicity
+from thresher.llm.common import fresh
 from thresher.session import materialize, scratch_dir
 
+# Plain bytes have 8 bits; a code that is longer has nothing learned to go by.
+MOST_BITS = 8.0
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those undetermined (null, or without a letter) go.
+    """Documents with a language; those undetermined (null, or without a letter) go, and
+    those whose code in the best language is longer than ``MOST_BITS`` a byte: no learned
+    language says more about them than their bytes alone.
 
     Trees are learned from the given languages of all documents; a document without a
-    given language gets the predicted one. Documents without an id cannot be named by
-    later decisions and go too.
+    given language gets the predicted one.
     """
-    found = langid.tagged(docs.filter("doc_id is not null"), langid.train(docs))
-    kept = found.filter(F.col("_lang_pred") != langid.UNDETERMINED)
-    return kept.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(docs.columns)
+    names = tuple(fresh(docs, name) for name in langid.ADDED)
+    found = langid.tagged(docs, langid.train(docs), names=names)
+    kept = found.filter((F.col(names[0]) != langid.UNDETERMINED) & (F.col(names[2]) <= MOST_BITS))
+    return kept.withColumn("lang", F.coalesce("lang", names[0])).select(docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier, learned from the labelled ones among them, does not reject."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.tagged(docs, model).filter("_toxic = 0").select(docs.columns)
+    names = (fresh(docs, "_toxic_score"), fresh(docs, "_toxic"))
+    return toxicity.tagged(docs, model, names=names).filter(F.col(names[1]) == 0).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
