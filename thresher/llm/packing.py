@@ -28,6 +28,7 @@ WINDOW = 2048
 END = 1
 # A pattern that leaves more than this part of a window empty makes its length a tail.
 SLACK = 1 / 128
+SLICE_ROWS = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 RULES = "length long, low long, high long, first long, each long, at long, total long"
@@ -76,7 +77,8 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, window: int = WIN
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        # Small pieces: texts and ids of a whole Arrow batch would be held at once.
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = encode(text) if text else []
