@@ -23,7 +23,7 @@ RUNNABLE = ["regex", "mode", "test", "capture", "names", "segments", "words"]
 WORD_SPLIT = "[^A-Za-z0-9]+"
 # A template without a whole word is found by so many characters of a constant.
 GRAM = 3
-_GRAM_MARK = "\x00"
+GRAM_MARK = "\x00"
 # Lines of one key that a task of the join gets.
 HOT_LINES = 100_000
 
@@ -348,17 +348,17 @@ _SEQ = itemgetter(0)
 _SPLIT = re.compile(WORD_SPLIT).split
 
 
-def _line_keys(text: Column, grams: bool) -> Column:
+def line_keys(text: Column, grams: bool) -> Column:
     """What a line can be found by: its words, ``''``, and, if asked, its marked grams."""
     keys = F.array_union(F.split(text, WORD_SPLIT), F.array(F.lit("")))
     if not grams:
         return keys
     places = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
-    found = F.transform(places, lambda i: F.concat(F.lit(_GRAM_MARK), F.substring(text, i, F.lit(GRAM))))
+    found = F.transform(places, lambda i: F.concat(F.lit(GRAM_MARK), F.substring(text, i, F.lit(GRAM))))
     return F.array_union(keys, F.when(F.length(text) >= GRAM, found).otherwise(F.array().cast("array<string>")))
 
 
-def _filed(index: DataFrame) -> DataFrame:
+def template_keys(index: DataFrame) -> DataFrame:
     """Every key a template may be filed under: its words, or the grams of its constants."""
     pieces = F.filter("segments", lambda s: F.length(s) >= GRAM)
     grams = F.flatten(
@@ -366,7 +366,7 @@ def _filed(index: DataFrame) -> DataFrame:
             pieces,
             lambda s: F.transform(
                 F.sequence(F.lit(1), F.length(s) - (GRAM - 1)),
-                lambda i: F.concat(F.lit(_GRAM_MARK), F.substring(s, i, F.lit(GRAM))),
+                lambda i: F.concat(F.lit(GRAM_MARK), F.substring(s, i, F.lit(GRAM))),
             ),
         )
     )
@@ -385,14 +385,14 @@ def _match_by_join(lines: DataFrame, index: DataFrame) -> DataFrame:
     into salts: its lines by a hash, its templates copied, so no task gets them all.
     """
     text = F.col("transformed")
-    filed = materialize(_filed(index), "filed")
-    grams = not filed.filter(F.startswith("anchor", F.lit(_GRAM_MARK))).isEmpty()
+    filed = materialize(template_keys(index), "filed")
+    grams = not filed.filter(F.startswith("anchor", F.lit(GRAM_MARK))).isEmpty()
     place = [*LIBRARY_KEY, "anchor"]
     asked = filed.select(*place).distinct()
     if bounded(asked, place, BROADCAST_LIMIT):
         asked = F.broadcast(asked)
     keyed = lines.select(
-        *LINE_KEY, *LIBRARY_KEY, "transformed", F.explode(_line_keys(text, grams)).alias("anchor")
+        *LINE_KEY, *LIBRARY_KEY, "transformed", F.explode(line_keys(text, grams)).alias("anchor")
     ).join(asked, place, "left_semi")
     counts = materialize(keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), "counts")
     chosen = (

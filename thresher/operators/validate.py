@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thresher.functions import dialect
-from thresher.operators.match import WORD_SPLIT
+from thresher.operators.match import GRAM_MARK, line_keys, template_keys
 from thresher.schemas import LIBRARY_KEY
 from thresher.session import bounded, materialize
 
 BROADCAST_LIMIT = 256 << 20
+# Examples of one key that a task of the join gets.
+HOT_EXAMPLES = 100_000
 
 # The texts of the reasons.
 INVALID_REGEX = "invalid regex produced by LLM ({})"
@@ -32,8 +34,9 @@ def detect_conflicts(
     library are compared and all conflicts listed, in order of position, unless a
     caller limits them: ``max_checks`` examples of other templates from the first on.
 
-    A candidate meets the examples that hold its rarest required word; a candidate
-    without one meets all of its library.
+    A candidate meets the examples that hold its rarest required word or, without a
+    whole word, the rarest three characters of its constants. Only a candidate that
+    requires neither meets all of its library.
     """
     rows = materialize(
         candidates.withColumn("_row", F.monotonically_increasing_id()), "candidates"
@@ -84,35 +87,49 @@ def _pairs(rows: DataFrame, examples: DataFrame) -> DataFrame:
     """Valid candidates next to the examples that may match them."""
     before = F.col("position") if "position" in rows.columns else F.lit(None).cast("bigint")
     asked = rows.filter("valid").select(
-        *LIBRARY_KEY, "_row", "candidate_id", before.alias("_before"), "mode", "test", "regex", "words"
-    )
-    spelled = examples.select(
-        "*", F.explode(F.array_distinct(F.split("transformed", WORD_SPLIT))).alias("anchor")
+        *LIBRARY_KEY, F.col("_row").alias("seq"), "candidate_id", before.alias("_before"),
+        "mode", "test", "regex", "words", "segments",
     )
+    filed = materialize(template_keys(asked), "filed")
+    grams = not filed.filter(F.startswith("anchor", F.lit(GRAM_MARK))).isEmpty()
     place = [*LIBRARY_KEY, "anchor"]
-    wanted = asked.select(*LIBRARY_KEY, "_row", F.explode("words").alias("anchor"))
-    # A required word that no example holds rules all of them out.
-    counts = wanted.join(spelled.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), place, "left")
+    wanted = _small(filed.select(*place).distinct(), place)
+    keys = F.explode(line_keys(F.col("transformed"), grams)).alias("anchor")
+    spelled = examples.select("*", keys).join(wanted, place, "left_semi")
+    counts = materialize(spelled.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), "counts")
+    # A required key that no example holds rules all of them out.
     rarest = (
-        counts.groupBy(*LIBRARY_KEY, "_row")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "anchor")).alias("b"))
-        .select(*LIBRARY_KEY, "_row", F.col("b.anchor").alias("anchor"))
+        filed.join(counts, place, "left")
+        .groupBy(*LIBRARY_KEY, "seq")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("b"))
+        .filter("b.n > 0")
+        .select(*LIBRARY_KEY, "seq", F.col("b.anchor").alias("anchor"))
     )
-    # A word that many examples share is spread with them: the candidates are copied.
-    by_word = _small(asked.join(rarest, [*LIBRARY_KEY, "_row"]))
-    free = _small(asked.filter(F.size("words") == 0))
+    runs = asked.drop("words", "segments").join(rarest, [*LIBRARY_KEY, "seq"]).withColumnRenamed("seq", "_row")
+    runs, small = _measured(runs, ["regex", "test", "candidate_id"])
     columns = [*examples.columns, "_row", "candidate_id", "_before", "mode", "test", "regex"]
-    return (
-        spelled.join(by_word, place)
-        .select(*columns)
-        .unionByName(examples.join(free, LIBRARY_KEY).select(*columns))
-    )
+    if not small:
+        # A key that many examples share is dealt into salts; its candidates are copied.
+        hot = counts.filter(F.col("n") > HOT_EXAMPLES)
+        hot = _small(hot.select(*place, F.ceil(F.col("n") / HOT_EXAMPLES).cast("int").alias("salts")), place)
+        salts = F.coalesce("salts", F.lit(1))
+        copied = F.explode(F.sequence(F.lit(0), salts - 1))
+        runs = runs.join(hot, place, "left").withColumn("salt", copied).drop("salts")
+        dealt = F.pmod(F.xxhash64("template_id", "position", "transformed"), salts).cast("int")
+        spelled = spelled.join(hot, place, "left").withColumn("salt", dealt).drop("salts")
+        place = [*place, "salt"]
+    return spelled.join(runs, place).select(*columns)
+
+
+def _measured(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, bool]:
+    """The rows as a table, broadcast if measured small, and whether it is."""
+    table = materialize(rows, "asked")
+    small = bounded(table, columns, BROADCAST_LIMIT)
+    return (F.broadcast(table) if small else table), small
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """Broadcast if measured small; a join on the key otherwise."""
-    table = materialize(rows, "asked")
-    return F.broadcast(table) if bounded(table, ["regex", "test", "candidate_id"], BROADCAST_LIMIT) else table
+def _small(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return _measured(rows, columns)[0]
 
 
 def validate_candidates(
