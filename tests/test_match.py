@@ -199,3 +199,15 @@ def test_common_words_are_no_anchors_and_hot_ones_are_salted(spark, lines, libra
     }
     plan = M.match_templates(lines(texts), library(regexes), case_limit=0)._jdf.queryExecution().optimizedPlan().toString()
     assert "salt" in plan
+
+
+def test_template_without_a_gap_is_filed_under_its_whole_text(spark, lines, library):
+    """Not under each of its words: a long line would be copied for every one of them."""
+    texts = ["a long line of common words", "a long line of common things", "a long line of 7 words"]
+    templates = library([texts[0].replace(" ", r"\ "), texts[1], "a long line of (?P<n>.*) words"])
+    compiled = M.compiled_templates(templates)
+    filed = {r.seq: r.n for r in M.template_keys(compiled).groupBy("seq").agg(F.count("*").alias("n")).collect()}
+    assert filed[1] == filed[2] == 1 and filed[3] > 1
+    out = M._match_by_join(lines([*texts, "a long line", ""]), compiled)
+    found = {r.line_number: r.template_id for r in out.collect()}
+    assert found == {1: "d-v-0001", 2: "d-v-0002", 3: "d-v-0003", 4: None, 5: None}
