@@ -55,10 +55,16 @@ def _json_error(text: pd.Series) -> pd.Series:
 
 
 def quarantine_corrupt(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(readable documents, set-aside files with the error text)."""
+    """(readable documents, set-aside files with the error text).
+
+    The files, of which there may be many small ones, are opened once: their texts are
+    written as a table that both results read.
+    """
+    texts = materialize(files.select("path", "text"), "texts")
+    read = texts.withColumn("document", F.try_parse_json("text"))
     good = _is_object("document")
-    aside = materialize(files.filter(~good).select("path", "text"), "quarantined")
-    return files.filter(good), aside.select("path", _json_error(F.col("text")).alias("error"))
+    aside = materialize(read.filter(~good).select("path", "text"), "quarantined")
+    return read.filter(good), aside.select("path", _json_error(F.col("text")).alias("error"))
 
 
 def _get(variant: str, field: str, kind: str) -> Column:
