@@ -90,3 +90,18 @@ def test_code_length_and_clashing_names(documents):
     bits = {r.doc_id: r._lang_bits for r in found}
     assert all(r._letters == 1 for r in found)
     assert max(bits[i] for i in range(5)) < 2 and bits[9] > 8 and bits[10] is None
+
+
+def test_scoring_holds_little_memory(documents):
+    """A task's index and the work on one piece stay small, however long the texts are."""
+    import tracemalloc
+
+    model = langid.train(documents([(1, ENGLISH * 50, "en")]))
+    model.lengths([ENGLISH])
+    assert model._index.nbytes <= 16 << 20
+    long = [ENGLISH * (3_000_000 // len(ENGLISH))]
+    tracemalloc.start()
+    model.lengths(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000

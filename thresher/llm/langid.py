@@ -22,9 +22,11 @@ from thresher.llm.common import add_columns, fold, fresh
 
 ORDER = 3
 TRAIN_BYTES = 6_000_000
-PIECE = 1 << 20
+PIECE = 1 << 18
+# Texts of an Arrow batch that a task holds as Python strings at a time.
+HELD_TEXTS = 1000
 PAD = b" " * ORDER
-INDEX_BITS = 24
+INDEX_BITS = 22
 UNDETERMINED = "und"
 ADDED = ("_lang_pred", "_lang_score", "_lang_bits")
 
@@ -176,11 +178,15 @@ def tagged(
     rows = documents.withColumn(mark, letters)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batch: pa.RecordBatch) -> dict:
+    def measure(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         given = np.array(batch[mark].to_pylist(), bool)
-        texts = batch[text].to_pylist()
+        texts = [t if g else "" for t, g in zip(batch[text].to_pylist(), given)]
         sizes = np.array([len(t.encode().lower()) if g else 1 for t, g in zip(texts, given)])
-        bits = shared.value.lengths([t if g else "" for t, g in zip(texts, given)])
+        return given, sizes, shared.value.lengths(texts)
+
+    def predict(batch: pa.RecordBatch) -> dict:
+        parts = [measure(batch.slice(at, HELD_TEXTS)) for at in range(0, max(1, batch.num_rows), HELD_TEXTS)]
+        given, sizes, bits = (np.concatenate(column) for column in zip(*parts))
         rest = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
         found = np.array(shared.value.languages, object)[bits.argmin(axis=1)]
         columns = (
