@@ -154,3 +154,29 @@ def test_statistics_do_not_depend_on_what_a_task_holds(spark, lines, monkeypatch
     monkeypatch.setattr(G, "HELD_SLOTS", 1)
     rows = rows.repartition(7)
     assert found() == whole
+
+
+def test_only_patterns_that_lost_a_line_are_counted_again(spark, lines):
+    def found(frame):
+        return sorted((r.pattern_id, r.support, r.line_number, str(r.slots)) for r in frame.collect())
+
+    marked = G.with_marks(lines([f"a {i % 7} b {i}" for i in range(60)] + [f"c {i}" for i in range(40)]), ["transformed"])
+    earlier = G.pattern_statistics(marked)
+    assert found(earlier) == found(G.pattern_statistics(lines([f"a {i % 7} b {i}" for i in range(60)] + [f"c {i}" for i in range(40)])))
+    rest = marked.filter("line_number > 10")
+    lost = marked.filter("line_number <= 10").select("device_type", "vendor", "pattern_id").distinct()
+    assert found(G.changed_statistics(rest, earlier, lost)) == found(G.pattern_statistics(rest))
+    # Lines of the other pattern are not read: its statistics hold.
+    gone = rest.filter("transformed like 'a %'")
+    assert found(G.changed_statistics(gone, earlier, lost)) == found(G.pattern_statistics(rest))
+
+
+def test_plain_texts_are_masked_like_all_others(spark, lines):
+    """A text without the characters of any shape but numbers gives the same tokens."""
+    texts = ["order 5 placed", "dot1x 7a a7 7", "x1y2z 12_3 _a1b", "0 0", "9x9 x9x"]
+    rows = G.mask_lines(lines(texts)).orderBy("line_number").collect()
+    # With a colon at the end, the same text meets all shapes.
+    full = G.mask_lines(lines([f"{t}:" for t in texts])).orderBy("line_number").collect()
+    for short, long in zip(rows, full):
+        assert short.slot_values == long.slot_values
+        assert [*long.constants[:-1], long.constants[-1][:-1]] == short.constants
