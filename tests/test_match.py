@@ -211,3 +211,14 @@ def test_template_without_a_gap_is_filed_under_its_whole_text(spark, lines, libr
     out = M._match_by_join(lines([*texts, "a long line", ""]), compiled)
     found = {r.line_number: r.template_id for r in out.collect()}
     assert found == {1: "d-v-0001", 2: "d-v-0002", 3: "d-v-0003", 4: None, 5: None}
+
+
+def test_equal_regexes_are_held_once(spark, lines, library, monkeypatch):
+    """Of many templates with one regex the first takes the lines, so tasks hold that one."""
+    texts = [f"conv {i} role user" for i in range(20)] + [f"conv {i} role tool" for i in range(20)]
+    regexes = [r"conv (?P<c>.*) role " + ("user" if i % 3 else "tool") for i in range(300)]
+    held, own = [], M._Index.add
+    monkeypatch.setattr(M._Index, "add", lambda self, *entry: (held.append(entry[2][1]), own(self, *entry))[1])
+    found = M.match_templates(lines(texts), library(regexes))
+    assert {r.transformed.split()[-1]: r.template_id for r in found.collect()} == {"user": "d-v-0002", "tool": "d-v-0001"}
+    assert sorted(held) == ["d-v-0001", "d-v-0002"]
