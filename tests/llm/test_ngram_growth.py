@@ -38,3 +38,20 @@ def test_false_hits_at_the_planned_fill():
     unseen = pick.integers(0, 2**54, 400_000, dtype=np.uint64)
     found = lm.probe(np.packbits(space, bitorder="little").tobytes(), unseen, np.zeros(len(unseen), np.int64), size)
     assert (found > 0).mean() < 0.004
+
+
+def test_keys_travel_as_sums_of_slices(documents, monkeypatch):
+    """A task's keys leave it in one row a slice, and slices multiply with the tokens."""
+    pick = random.Random(5)
+    texts = [" ".join(f"w{int(pick.paretovariate(0.7)) % 900}" for _ in range(2000)) for _ in range(12)]
+    rows = documents(list(enumerate(texts))).select("text").coalesce(1)
+    counts = lm.word_counts(rows)
+    assert lm.slices_for(0) == lm.SEGMENTS and lm.slices_for(lm.SLICE_KEYS * lm.SEGMENTS) == 2 * lm.SEGMENTS
+    for slices in (lm.SEGMENTS, 4 * lm.SEGMENTS):
+        found = lm.key_counts(rows, counts, slices).collect()
+        keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in found])
+        assert len(found) < len(keys) and all(r["slice"] // (slices // lm.SEGMENTS) == r["segment"] for r in found)
+        assert all((lm.segment_of(np.frombuffer(r["keys"], "<u8")) == r["segment"]).all() for r in found)
+        n = np.concatenate([np.frombuffer(r["n"], "<i8") for r in found])
+        # Each token counts as a word and as the end of a pair.
+        assert n.sum() == 2 * 12 * 2001

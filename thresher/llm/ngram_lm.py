@@ -38,6 +38,8 @@ FREQUENT = 1 << 17
 END = b"\n"
 STEP_BYTES = 1 << 20
 COUNTED_WORDS = 200_000
+# Keys that a task gathers for each SEGMENTS slices, and that one slice may have in all.
+HELD_KEYS, SLICE_KEYS = 1 << 18, 1 << 20
 
 # Smallest count of each level, and the mean of a level's whole counts.
 LEVEL_FROM = np.unique(np.ceil(BASE ** np.arange(LEVELS)).astype(np.int64))
@@ -190,28 +192,70 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def key_counts(texts: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
-    """``segment, key, n``: hashed words (from their counts) and word pairs of all texts,
-    summed where the segment is built (one shuffle, by segment, after partial sums)."""
-    shape = "segment int, key long, n long"
-
-    def keyed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        segment = segment_of(keys).astype(np.int32)
-        return pa.record_batch({"segment": segment, "key": keys.view(np.int64), "n": n.astype(np.int64)})
+def slices_for(tokens: int) -> int:
+    """Into how many ranges the keys are cut, a power of two: a task sums one at a time."""
+    slices = SEGMENTS
+    while slices * SLICE_KEYS < 2 * tokens:
+        slices *= 2
+    return slices
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, each with the sum of its counts."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    return keys[starts], np.add.reduceat(n[order], starts)
+
+
+def key_counts(texts: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
+    """``segment, slice, keys, n``: hashed words (from their counts) and word pairs of all
+    texts, as partial sums: the keys of one slice that a task has met, side by side."""
+    shape = "segment int, slice int, keys binary, n binary"
+    held = max(HELD_KEYS, slices * HELD_KEYS // SEGMENTS)
+
+    def sliced(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        number = (keys >> np.uint64(64 - slices.bit_length() + 1)).astype(np.int32)
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(number)) + 1)) if len(number) else np.zeros(0, np.int64)
+        ends = pa.py_buffer(np.append(starts, len(keys)).astype(np.int32) * np.int32(8))
+        parts = [
+            pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(x)])
+            for x in (keys.astype("<u8"), n.astype("<i8"))
+        ]
+        own = number[starts]
+        return pa.record_batch([pa.array(own // (slices // SEGMENTS), pa.int32()), pa.array(own, pa.int32()), *parts], names=["segment", "slice", "keys", "n"])
+
+    def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        for keys, n in parts:
+            some.append((keys, n))
+            size += len(keys)
+            if size >= held:
+                yield sliced(*summed(*map(np.concatenate, zip(*some))))
+                some, size = [], 0
+        if some:
+            yield sliced(*summed(*map(np.concatenate, zip(*some))))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, tokens in steps(batch["text"].to_pylist()):
-                own, before = tokens.hashes[tokens.places], tokens.hashes[tokens.before()]
-                yield keyed(*np.unique(pair_keys(before, own), return_counts=True))
+        def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for _, tokens in steps(batch["text"].to_pylist()):
+                    own, before = tokens.hashes[tokens.places], tokens.hashes[tokens.before()]
+                    yield pair_keys(before, own), np.ones(len(own), np.int64)
+
+        return gathered(met())
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in batch["word"].to_pylist()], np.uint64)
-            yield keyed(mix(hashes), batch["n"].to_numpy())
+        def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                hashes = np.array([xxhash.xxh64_intdigest(w) for w in batch["word"].to_pylist()], np.uint64)
+                yield mix(hashes), batch["n"].to_numpy()
+
+        return gathered(met())
 
-    rows = texts.mapInArrow(pairs, shape).unionByName(counts.mapInArrow(single, shape))
-    return rows.repartition(parts, "segment").groupBy("segment", "key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(pairs, shape).unionByName(counts.mapInArrow(single, shape))
 
 
 def admitted_from(counts: DataFrame, capacity: int) -> int:
@@ -234,36 +278,42 @@ def filter_bits(tokens: int) -> int:
     return bits
 
 
-def build_segments(texts: DataFrame, words: DataFrame, bits: int, folder: str) -> DataFrame:
+def build_segments(texts: DataFrame, words: DataFrame, bits: int, tokens: int, folder: str) -> DataFrame:
     """``segment, bits`` of the filter with all counted n-grams, none left out.
 
-    Rows come sorted by segment, so a task holds one segment while it sets bits.
+    Rows come sorted by slice, and a segment is a run of slices, so a task sums one slice
+    and holds one segment while it sets bits.
     """
     segment_bits = bits // SEGMENTS
     parts = min(SEGMENTS, max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    counts = key_counts(texts, words, parts)
-    if bits > MAX_BITS:
-        counts = counts.sortWithinPartitions("segment")
+    counts = key_counts(texts, words, slices_for(tokens)).repartition(parts, "segment").sortWithinPartitions("slice")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        space, segment, place, keys, n = np.zeros(0, np.uint8), -1, -1, [], []
+
+        def close() -> None:
+            set_bits(space, *summed(np.frombuffer(b"".join(keys), "<u8"), np.frombuffer(b"".join(n), "<i8")))
+            keys.clear()
+            n.clear()
 
-        def packed(segment: int) -> pa.RecordBatch:
-            data = np.packbits(held.pop(segment), bitorder="little").tobytes()
+        def packed() -> pa.RecordBatch:
+            data = np.packbits(space, bitorder="little").tobytes()
             return pa.record_batch({"segment": pa.array([segment], pa.int32()), "bits": pa.array([data], pa.binary())})
 
         for batch in batches:
-            segments = batch["segment"].to_numpy()
-            keys, n = batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy()
-            for segment in np.unique(segments).tolist():
-                if bits > MAX_BITS:
-                    for done in [s for s in held if s != segment]:
-                        yield packed(done)
-                own = segments == segment
-                space = held.setdefault(segment, np.zeros(segment_bits, np.uint8))
-                set_bits(space, keys[own], n[own])
-        for segment in list(held):
-            yield packed(segment)
+            for own, at, some, times in zip(batch["segment"].to_pylist(), batch["slice"].to_pylist(), batch["keys"], batch["n"]):
+                if at != place:
+                    close()
+                    if own != segment:
+                        if segment >= 0:
+                            yield packed()
+                        space, segment = np.zeros(segment_bits, np.uint8), own
+                    place = at
+                keys.append(some.as_py())
+                n.append(times.as_py())
+        close()
+        if segment >= 0:
+            yield packed()
 
     return materialize(counts.mapInArrow(build, "segment int, bits binary"), "filter", folder)
 
@@ -384,7 +434,7 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
     counts = materialize(word_counts(training), "words", folder)
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bits = filter_bits(tokens)
-    built = build_segments(training, counts, bits, folder)
+    built = build_segments(training, counts, bits, tokens, folder)
     small = bits <= MAX_BITS
     model = spark.sparkContext.broadcast(whole_filter(built, bits) if small else None)
     frequent = spark.sparkContext.broadcast(frequent_words(counts))
