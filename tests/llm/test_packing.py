@@ -105,3 +105,11 @@ def test_tail_is_cut_where_windows_are_full(documents):
 
 def test_empty_table(documents):
     assert packing.pack(documents([])).collect() == []
+
+
+def test_rules_need_no_python_workers(spark, documents, monkeypatch):
+    """The plan's rules reach Spark as Arrow; a list would start Python workers of another kind."""
+    rows = [(i, prose(i, 20 + i)) for i in range(30)]
+    docs = documents(rows)
+    monkeypatch.delattr(type(spark.sparkContext), "parallelize")
+    check(rows, packing.pack(docs, window=256).collect(), 256)

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.conftest import table
 from thresher.llm import toxicity as X
@@ -79,3 +82,18 @@ def test_swapped_words_carry_their_beginnings():
     assert turned == {b"all", b"christians", b"lie"}
     made = X.features(turned)
     assert b"chris*" in made and b"musli*" not in made and b"muslim*" not in made
+
+
+def test_scoring_holds_few_texts_and_sends_none_back(documents):
+    """A task has 1,000 texts of a batch as strings at a time; rows wait outside Python."""
+    model = X.Model(0.0, {b"blockhead": 3.0})
+    texts = pa.array([f"number{i} " + ("blockhead " if i % 3 == 0 else "teacher ") * 200 for i in range(10_000)])
+    tracemalloc.start()
+    found = X.held_scores(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found, model.scores(texts.to_pylist())) and peak < 8_000_000
+    assert len(X.held_scores(model, texts[:0])) == 0
+
+    plan = X.tagged(documents([(1, "a"), (2, None)]), model)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan

@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thresher.llm.common import add_columns, fold, fresh
+from thresher.llm.common import beside, fold, fresh
 
 ORDER = 3
 TRAIN_BYTES = 6_000_000
@@ -147,15 +146,16 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang", train_by
     last = {k: max(least, int(1_000_000 * min(1.0, train_bytes / v))) for k, v, least in sizes}
     drawn = place <= F.create_map(*[F.lit(x) for kv in last.items() for x in kv])[F.col("lang")]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, group in batch.groupby("lang"):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, HELD_TEXTS) for b in batches for at in range(0, b.num_rows, HELD_TEXTS)):
+            for name, group in batch.to_pandas().groupby("lang"):
                 for grams, _ in _pieces(group["text"].tolist()):
                     keys, n = np.unique(grams, return_counts=True)
-                    yield pd.DataFrame({"lang": name, "gram": keys.astype(np.int64), "n": n})
+                    names = pa.repeat(pa.scalar(name, pa.string()), len(keys))
+                    yield pa.record_batch({"lang": names, "gram": keys.astype(np.int64), "n": n.astype(np.int64)})
 
     counts = (
-        rows.filter(drawn).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        rows.filter(drawn).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ).toPandas()
     if counts.empty:
         return None
@@ -196,7 +196,7 @@ def tagged(
         )
         return dict(zip(names, columns))
 
-    return add_columns(rows, predict, "`%s` string, `%s` double, `%s` double" % names).drop(mark)
+    return beside(rows, [text, mark], predict, "`%s` string, `%s` double, `%s` double" % names).drop(mark)
 
 
 def identify(documents: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ SLACK = 1 / 128
 SLICE_ROWS = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-RULES = "length long, low long, high long, first long, each long, at long, total long"
+RULES = ["length", "low", "high", "first", "each", "at", "total"]
 
 
 def default_tokenizer() -> str:
@@ -174,7 +174,9 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDO
     tail = any(rule[4] == 0 for rule in rules)
     if full:
         rules.append((window, 0, full, -full, 1, 0, window))
-    rules = F.broadcast(spark.createDataFrame(rules, RULES))
+    # As Arrow the rules reach Spark without Python workers; for a list, executors would keep some more.
+    columns = [pa.array([rule[i] for rule in rules], pa.int64()) for i in range(len(RULES))]
+    rules = F.broadcast(spark.createDataFrame(pa.table(columns, RULES)))
     lined = numbered(parts.drop("ids"), ["length"], ["doc_id", "start", "ids_crc32"], "place")
     inside = F.col("place") - F.col("low")
     stream = F.col("at") + inside * F.col("length")

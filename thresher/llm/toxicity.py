@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thresher.llm.common import add_columns, fold
+from thresher.llm.common import beside, fold
 from thresher.session import materialize
 
 THRESHOLD = 0.7
@@ -30,6 +30,8 @@ FAIRNESS = 10.0
 RIDGE = 1e-5
 STEPS = 400
 PREFIXES = (5, 6, 7, 8)
+# Texts of an Arrow batch that a task holds as Python strings at a time.
+HELD_TEXTS = 1000
 
 # Group names that can stand in for one another, per language and kind.
 IDENTITY_TERMS = (
@@ -102,6 +104,12 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(total, -40, 40)))
 
 
+def held_scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """``model.scores`` of a column, ``HELD_TEXTS`` texts at a time."""
+    starts = range(0, max(1, len(texts)), HELD_TEXTS)
+    return np.concatenate([model.scores(texts.slice(at, HELD_TEXTS).to_pylist()) for at in starts])
+
+
 class Rows:
     """Sets of word numbers, one per text, as flat arrays."""
 
@@ -171,8 +179,8 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {}
-            for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
-                for word in features(words(text)):
+            for label, text in zip(batch["toxic"].to_pylist(), batch["text"]):
+                for word in features(words(text.as_py())):
                     counts.setdefault(word, [0, 0])[label] += 1
             yield pa.record_batch(
                 {
@@ -205,7 +213,7 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
+            for label, text in zip(batch["toxic"].to_pylist(), (t.as_py() for t in batch["text"])):
                 own = words(text)
                 out.append((0, label, known(own), []))
                 if own & others.keys():
@@ -243,10 +251,10 @@ def tagged(
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batch: pa.RecordBatch) -> dict:
-        values = shared.value.scores(batch[text].to_pylist())
+        values = held_scores(shared.value, batch[text])
         return dict(zip(names, (values, (values >= THRESHOLD).astype(np.int32))))
 
-    return add_columns(documents, scored, "`%s` double, `%s` int" % names)
+    return beside(documents, [text], scored, "`%s` double, `%s` int" % names)
 
 
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
