@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.test_ngram_lm import plain_scores
@@ -55,3 +56,35 @@ def test_keys_travel_as_sums_of_slices(documents, monkeypatch):
         n = np.concatenate([np.frombuffer(r["n"], "<i8") for r in found])
         # Each token counts as a word and as the end of a pair.
         assert n.sum() == 2 * 12 * 2001
+
+
+def test_a_segment_answers_all_steps_at_once(monkeypatch):
+    """Not one lookup for each step and segment, whose number grows with both."""
+    pick, size, keys, rows = np.random.default_rng(2), 1 << 15, {}, []
+    for segment in (3, 4):
+        keys[segment] = pick.integers(0, 2**54, 3000, dtype=np.uint64)
+        space = np.zeros(size, np.uint8)
+        lm.set_bits(space, keys[segment][:900], pick.integers(1, 50, 900))
+        rows.append((segment, -1, np.packbits(space, bitorder="little").tobytes()))
+        rows += [(segment, step, keys[segment][step * 50 : step * 50 + 50].tobytes()) for step in range(60)]
+    rows.append((5, 7, keys[4][:2].tobytes()))  # nothing was learned there
+    made = lambda some: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*some), (pa.int32(), pa.int64(), pa.binary()))], names=["segment", "step", "data"])
+    calls, probe = [], lm.probe
+    monkeypatch.setattr(lm, "probe", lambda *a: calls.append(1) or probe(*a))
+    found = [r for b in lm.answers(iter([made(rows[:20]), made(rows[20:])]), size) for r in b.to_pylist()]
+    assert len(calls) == 3 and [(r["segment"], r["step"]) for r in found] == [r[:2] for r in rows if r[1] >= 0]
+    data = {segment: bits for segment, step, bits in rows if step < 0}
+    for r in found[:-1]:
+        own = keys[r["segment"]][r["step"] * 50 : r["step"] * 50 + 50]
+        want = probe(data[r["segment"]], own, np.zeros(50, np.int64), size)
+        assert r["levels"] == want.astype(np.uint8).tobytes()
+    assert found[-1]["levels"] == bytes(2)
+
+
+def test_tokens_are_the_lower_case_words_between_ascii_white_space():
+    texts = ["", None, " Two  words\t", "\x0b\x0c", "\u00c4B\u00a0c d\x1ce\r\nTWO", "two", "\n"]
+    for some in ([texts, texts[2:3], ["a"], [None]]):
+        t = lm.Tokens.of(pa.array([None, *some], pa.string())[1:])
+        want = [(x or "").encode().lower().split() + [lm.END] for x in some]
+        assert [t.words[i] for i in t.places] == sum(want, []) and t.ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+        assert len(set(t.words)) == len(t.words)

@@ -12,12 +12,13 @@ the add-one word probability, both read from the filter.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,8 +37,8 @@ SEGMENTS = 1024
 PAIR_WEIGHT = 0.15
 FREQUENT = 1 << 17
 END = b"\n"
-STEP_BYTES = 1 << 20
-COUNTED_WORDS = 200_000
+STEP_BYTES = 2 << 20
+PROBED_KEYS = 1 << 16
 # Keys that a task gathers for each SEGMENTS slices, and that one slice may have in all.
 HELD_KEYS, SLICE_KEYS = 1 << 18, 1 << 20
 
@@ -46,11 +47,6 @@ LEVEL_FROM = np.unique(np.ceil(BASE ** np.arange(LEVELS)).astype(np.int64))
 LEVEL_MEAN = np.concatenate(([0.0], (LEVEL_FROM + np.append(LEVEL_FROM[1:] - 1, 2 * LEVEL_FROM[-1])) / 2))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-case (A-Z) words of a whole text, cut at ASCII white space."""
-    return (text or "").encode().lower().split()
-
-
 def mix(keys: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (the splitmix64 finisher)."""
     keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -62,29 +58,54 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + after)
 
 
+def cuts(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """First and last (excluded) of the whole texts that make about ``size`` bytes each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(sizes):
+        end = min(int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + size)) + 1, len(sizes))
+        yield start, end
+        start = end
+
+
 @dataclass
 class Tokens:
-    """Tokens of several texts, each closed by END, as numbers of distinct words."""
+    """Tokens of several texts, each closed by END, as numbers of distinct words: the
+    lower-case (A-Z) words of a text, cut at ASCII white space; a null text has none."""
 
-    vocabulary: list[bytes]
-    hashes: np.ndarray
+    vocabulary: pa.Array
     places: np.ndarray
     ends: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str | None]) -> Tokens:
-        parts, ends, size = [], [], 0
-        for text in texts:
-            own = words(text)
-            own.append(END)
-            parts += own
-            size += len(own)
-            ends.append(size)
-        number = {w: i for i, w in enumerate(dict.fromkeys(parts))}
-        places = np.fromiter(map(number.__getitem__, parts), np.int64, size)
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(w) for w in number), np.uint64, len(number))
-        return cls(list(number), hashes, places, np.array(ends))
+    def of(cls, texts: pa.Array) -> Tokens:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = lists.flatten().dictionary_encode()
+        vocabulary = coded.dictionary.cast(pa.binary())
+        places = coded.indices.to_numpy().astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
+        # White space at the ends of a text leaves empty words there.
+        empty = pc.index(vocabulary, pa.scalar(b"", pa.binary())).as_py()
+        if empty >= 0:
+            kept = places != empty
+            ends = np.concatenate(([0], np.cumsum(kept)))[ends]
+            places = places[kept]
+            places[places > empty] -= 1
+            vocabulary = pa.concat_arrays([vocabulary[:empty], vocabulary[empty + 1 :]])
+        closed = ends + np.arange(1, len(ends) + 1)
+        own = np.full(len(places) + len(ends), len(vocabulary), np.int64)
+        inner = np.ones(len(own), bool)
+        inner[closed - 1] = False
+        own[inner] = places
+        return cls(pa.concat_arrays([vocabulary, pa.array([END], pa.binary())]), own, closed)
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        return self.vocabulary.to_numpy(zero_copy_only=False)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return hashed(self.words)
 
     def before(self) -> np.ndarray:
         """The word before each token; END before the first of a text."""
@@ -94,14 +115,14 @@ class Tokens:
         return shifted
 
 
-def steps(texts: list[str | None]) -> Iterator[tuple[int, Tokens]]:
+def hashed(words: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def steps(texts: pa.Array) -> Iterator[tuple[int, Tokens]]:
     """Whole texts in groups of about STEP_BYTES: the first one's number, and tokens."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "") + 1
-        if size >= STEP_BYTES or i == len(texts) - 1:
-            yield start, Tokens.of(texts[start : i + 1])
-            start, size = i + 1, 0
+    for start, end in cuts(texts, STEP_BYTES):
+        yield start, Tokens.of(texts.slice(start, end - start))
 
 
 class Filter:
@@ -114,30 +135,33 @@ class Filter:
         """Level of each key; 0 if absent."""
         return probe(self.bits, keys, segment_of(keys).astype(np.int64) * self.segment_bits, self.segment_bits)
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return LEVEL_MEAN[self.level(keys)]
-
 
-def probe(data: bytes, keys: np.ndarray, base: np.ndarray, segment_bits: int) -> np.ndarray:
+def probe(data: bytes, keys: np.ndarray, base: np.ndarray | int, segment_bits: int) -> np.ndarray:
     """Level of each key, whose segment starts at bit ``base`` of ``data``; 0 if absent.
-    Probes level by level until a miss."""
-    found = np.zeros(len(keys), np.int64)
-    bits, alive = np.frombuffer(data, np.uint8), np.arange(len(keys))
-    block = None
+    Probes level by level until a miss, PROBED_KEYS keys at a time."""
+    found, bits = np.zeros(len(keys), np.int64), np.frombuffer(data, np.uint8)
+    base = np.broadcast_to(np.asarray(base, np.int64), len(keys))
+    for start in range(0, len(keys), PROBED_KEYS):
+        part = slice(start, start + PROBED_KEYS)
+        _probe(bits, keys[part], base[part], segment_bits, found[part])
+    return found
+
+
+def _probe(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, segment_bits: int, found: np.ndarray) -> None:
+    alive, block = np.arange(len(keys)), None
     for level in range(1, len(LEVEL_MEAN)):
         if (level - 1) % BLOCK_LEVELS == 0:
             block = base + block_start(keys, level, segment_bits)
         hit = None
         for offset in offsets(keys, level):
             at = block + offset
-            bit = bits[at >> 3] >> (at & 7).astype(np.uint8)
+            bit = bits.take(at >> 3) >> (at & 7).astype(np.uint8)
             hit = bit if hit is None else hit & bit
         kept = np.flatnonzero(hit & 1)
         if not len(kept):
             break
         alive, keys, base, block = alive[kept], keys[kept], base[kept], block[kept]
         found[alive] = level
-    return found
 
 
 def segment_of(keys: np.ndarray) -> np.ndarray:
@@ -175,19 +199,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """``word, n`` over all tokens of all texts; partial sums leave the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-
-        def sums() -> pa.RecordBatch:
-            return pa.record_batch({"word": pa.array(list(total), pa.binary()), "n": pa.array(total.values(), pa.int64())})
-
         for batch in batches:
-            for text in batch["text"]:
-                total.update(words(text.as_py()))
-                total[END] += 1
-                if len(total) > COUNTED_WORDS:
-                    yield sums()
-                    total.clear()
-        yield sums()
+            for _, t in steps(batch["text"]):
+                yield pa.record_batch({"word": t.vocabulary, "n": pa.array(np.bincount(t.places, minlength=len(t.vocabulary)), pa.int64())})
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -241,7 +255,7 @@ def key_counts(texts: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                for _, tokens in steps(batch["text"].to_pylist()):
+                for _, tokens in steps(batch["text"]):
                     own, before = tokens.hashes[tokens.places], tokens.hashes[tokens.before()]
                     yield pair_keys(before, own), np.ones(len(own), np.int64)
 
@@ -250,8 +264,7 @@ def key_counts(texts: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                hashes = np.array([xxhash.xxh64_intdigest(w) for w in batch["word"].to_pylist()], np.uint64)
-                yield mix(hashes), batch["n"].to_numpy()
+                yield mix(hashed(batch["word"].to_numpy(zero_copy_only=False))), batch["n"].to_numpy()
 
         return gathered(met())
 
@@ -328,20 +341,42 @@ def whole_filter(built: DataFrame, bits: int) -> Filter:
 
 
 def step_keys(t: Tokens) -> np.ndarray:
-    """The distinct keys of a step's words and pairs; sorted, so by segment."""
-    own, before = t.hashes[t.places], t.hashes[t.before()]
-    return np.unique(np.concatenate((mix(t.hashes), pair_keys(before, own))))
+    """The keys of a step's distinct words, then those of its pairs."""
+    return np.concatenate((mix(t.hashes), pair_keys(t.hashes[t.before()], t.hashes[t.places])))
 
 
-@dataclass
-class Answers:
-    """Levels of one step's keys, read as a Filter is."""
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order, so by segment."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+
 
-    keys: np.ndarray
-    levels: np.ndarray
+def parted(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes between ``ends`` as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return LEVEL_MEAN[self.levels[np.searchsorted(self.keys, keys)]]
+
+def answers(batches: Iterator[pa.RecordBatch], segment_bits: int) -> Iterator[pa.RecordBatch]:
+    """``segment, step, levels`` of rows ``segment, step, data`` in that order: a segment's
+    bits (step -1), then the keys that each step asks for. A step asks a segment for a few
+    hundred keys, so the keys of all steps in a batch are probed together.
+    """
+    held, data = -1, b""
+    for batch in batches:
+        segments, asking, own = batch["segment"].to_numpy(), batch["step"].to_numpy(), batch["data"].cast(pa.binary())
+        ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
+        runs = np.concatenate(([0], np.flatnonzero(np.diff(segments)) + 1, [len(own)]))
+        for start, end in zip(runs[:-1], runs[1:]):
+            if asking[start] < 0:
+                held, data = segments[start], own[int(start)].as_py()
+                start += 1
+            if start == end:
+                continue
+            size = int(ends[end] - ends[start]) // 8
+            keys = np.frombuffer(own.buffers()[2], np.uint64, size, int(ends[start]))
+            levels = probe(data, keys, 0, segment_bits) if held == segments[start] else np.zeros(size, np.int64)
+            told = parted(levels.astype(np.uint8), (ends[start : end + 1] - ends[start]) // 8)
+            yield pa.record_batch({"segment": segments[start:end], "step": asking[start:end], "levels": told})
 
 
 def answered(rows: DataFrame, built: DataFrame, bits: int, folder: str) -> DataFrame:
@@ -355,41 +390,25 @@ def answered(rows: DataFrame, built: DataFrame, bits: int, folder: str) -> DataF
     def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for start, t in steps(batch["text"].to_pylist()):
-                part = batch.slice(start, len(t.ends))
-                yield pa.record_batch({"step": pa.array([at], pa.int64())} | {c: pa.array([part[c].to_pylist()], pa.list_(part[c].type)) for c in ("row", "doc_id", "text")})
+            for start, end in cuts(batch["text"], STEP_BYTES):
+                whole = pa.array([0, end - start], pa.int32())
+                yield pa.record_batch({"step": pa.array([at], pa.int64())} | {c: pa.ListArray.from_arrays(whole, batch[c].slice(start, end - start)) for c in ("row", "doc_id", "text")})
                 at += 1
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step, texts in zip(batch["step"].to_pylist(), batch["text"]):
-                keys = step_keys(Tokens.of(texts.as_py()))
+                keys = distinct(step_keys(Tokens.of(texts.values)))
                 segments, starts = np.unique(segment_of(keys).astype(np.int32), return_index=True)
-                data = [part.tobytes() for part in np.split(keys, starts[1:])]
-                yield pa.record_batch({"segment": segments, "step": np.full(len(segments), step, np.int64), "data": pa.array(data, pa.binary())})
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, data = -1, b""
-        for batch in batches:
-            out: list[tuple] = []
-            for segment, step, own in zip(*(batch[c].to_pylist() for c in ("segment", "step", "data"))):
-                if step < 0:
-                    held, data = segment, own
-                    continue
-                keys = np.frombuffer(own, np.uint64)
-                levels = np.zeros(len(keys), np.int64)
-                if held == segment:
-                    levels = probe(data, keys, np.zeros(len(keys), np.int64), segment_bits)
-                out.append((segment, step, levels.astype(np.uint8).tobytes()))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.record_batch({"segment": pa.array(columns[0], pa.int32()), "step": pa.array(columns[1], pa.int64()), "levels": pa.array(columns[2], pa.binary())})
+                data = parted(keys.view(np.uint8), 8 * np.append(starts, len(keys)))
+                yield pa.record_batch({"segment": segments, "step": np.full(len(segments), step, np.int64), "data": data})
 
     held = materialize(rows.mapInArrow(stepped, shape), "steps", folder)
     questions = held.select("step", "text").mapInArrow(asked, "segment int, step long, data binary")
     filled = built.select("segment", F.lit(-1).cast("long").alias("step"), F.col("bits").alias("data"))
     parts = min(SEGMENTS, max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     met = filled.unionByName(questions).repartition(parts, "segment").sortWithinPartitions("segment", "step")
-    levels = met.mapInArrow(answer, "segment int, step long, levels binary")
+    levels = met.mapInArrow(lambda batches: answers(batches, segment_bits), "segment int, step long, levels binary")
     told = levels.groupBy("step").agg(F.sort_array(F.collect_list(F.struct("segment", "levels"))).alias("x"))
     return held.join(told.select("step", F.col("x.levels").alias("levels")), "step")
 
@@ -440,15 +459,15 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
     frequent = spark.sparkContext.broadcast(frequent_words(counts))
     floor = float(np.log10(tokens + kinds + 1.0))
 
-    def scored(t: Tokens, model: Filter | Answers, row: pa.Array, doc_id: pa.Array) -> pa.RecordBatch:
-        known = frequent.value.logs
-        hashes = t.hashes
-        logs = np.array([known.get(w, -1.0) for w in t.vocabulary])
-        seen = model.count(mix(hashes))
+    def scored(t: Tokens, levels: Callable[[np.ndarray], np.ndarray], row: pa.Array, doc_id: pa.Array) -> pa.RecordBatch:
+        known, kinds_here = frequent.value.logs, len(t.words)
+        # Each distinct key is looked up once, in the order of the filter's segments.
+        keys, at = np.unique(step_keys(t), return_inverse=True)
+        found = LEVEL_MEAN[levels(keys)[at]]
+        seen, pair = found[:kinds_here], found[kinds_here:]
+        logs = np.array([known.get(w, -1.0) for w in t.words])
         single = (seen + 1.0) / (tokens + kinds + 1.0)
-        before = t.before()
-        pair = model.count(pair_keys(hashes[before], hashes[t.places]))
-        context = seen[before]
+        context = seen[t.before()]
         # No pair is more frequent than its words: this also stops most false hits.
         pair = np.minimum(pair, np.minimum(context, seen[t.places]))
         share = pair / np.maximum(context, 1.0)
@@ -458,9 +477,9 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
         unknown = np.flatnonzero(own < 0)
         # Each document's rare words with their number of occurrences, as flat lists.
         owner = np.searchsorted(t.ends, unknown, side="right")
-        pairs, times = np.unique(owner * len(hashes) + t.places[unknown], return_counts=True)
-        bounds = np.searchsorted(pairs, np.arange(len(starts) + 1) * len(hashes)).astype(np.int32)
-        rare = pa.array([t.vocabulary[i] for i in (pairs % len(hashes)).tolist()], pa.binary())
+        pairs, times = np.unique(owner * kinds_here + t.places[unknown], return_counts=True)
+        bounds = np.searchsorted(pairs, np.arange(len(starts) + 1) * kinds_here).astype(np.int32)
+        rare = t.vocabulary.take(pa.array(pairs % kinds_here))
         return pa.record_batch(
             {
                 "row": row,
@@ -477,16 +496,16 @@ def score(documents: DataFrame, training: DataFrame, pair_weight: float = PAIR_W
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # One batch out for each step: what a task holds does not grow with its input.
-            for start, t in steps(batch["text"].to_pylist()):
+            for start, t in steps(batch["text"]):
                 part = batch.slice(start, len(t.ends))
-                yield scored(t, model.value, part["row"], part["doc_id"])
+                yield scored(t, model.value.level, part["row"], part["doc_id"])
 
     def weigh_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, doc_id, texts, levels in zip(*(batch[c] for c in ("row", "doc_id", "text", "levels"))):
-                t = Tokens.of(texts.as_py())
-                told = Answers(step_keys(t), np.frombuffer(b"".join(levels.as_py()), np.uint8))
-                yield scored(t, told, row.values, doc_id.values)
+                t = Tokens.of(texts.values)
+                told = np.frombuffer(b"".join(levels.as_py()), np.uint8)
+                yield scored(t, lambda _, told=told: told, row.values, doc_id.values)
 
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"),
