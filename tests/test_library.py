@@ -148,3 +148,25 @@ def test_store_versions(spark, library, tmp_path):
     assert store.save_library(df.withColumn("notes", F.lit("n")), meta(spark), path)
     assert {r.notes for r in store.open_library(spark, path)[0].collect()} == {"n"}
     assert store.open_library(spark, path)[1].first().metadata == {"version": "v1"}
+
+
+def test_library_files_are_opened_once(spark, tmp_path):
+    """What is readable and what is set aside come from one reading of each file."""
+    for i in range(40):
+        (tmp_path / f"d__v{i}.json").write_text('{"templates": [{"template_id": "a", "regex": "x"}]}' if i % 2 else '{"templates": [')
+    read = library_json.read_library_files(spark, str(tmp_path))
+    for i in range(40):
+        (tmp_path / f"d__v{i}.json").write_text("7")
+    good, bad = library_json.quarantine_corrupt(read)
+    assert {r.vendor for r in library_json.load_library(good)[0].collect()} == {f"v{i}" for i in range(1, 40, 2)}
+    assert {r.path.rsplit("/", 1)[1] for r in bad.collect()} == {f"d__v{i}.json" for i in range(0, 40, 2)}
+
+
+def test_all_cores_write_files_of_whole_names(spark, tmp_path):
+    from checks.queries import _write_files
+
+    rows = [(f"n{i % 50}", f"{i % 2}") for i in range(100)] + [(None, "x"), (None, None), ("ä b", "ü")]
+    _write_files(spark.createDataFrame(rows, "name string, value string"), str(tmp_path / "files"))
+    found = {p.name: sorted(p.read_text().splitlines()) for p in (tmp_path / "files").iterdir()}
+    want = {f"name=n{i}.json": [f"{i % 2}"] * 2 for i in range(50)}
+    assert found == want | {"name=__HIVE_DEFAULT_PARTITION__.json": ["", "x"], "name=ä b.json": ["ü"]}

@@ -18,24 +18,37 @@ from thresher import schemas as S
 from thresher.operators.library import list_templates
 from thresher.operators.timestamps import usable_spec
 from thresher.schemas import LIBRARY_KEY
-from thresher.session import materialize
+from thresher.session import materialize, scratch_dir
 
 PAGE_SIZE = 10_000
+# What opening a file counts for when files are dealt to tasks: a task opens about a
+# thousand. Spark's own 4 MB leaves four library files to a task.
+OPEN_BYTES = 16 << 10
 
 
 def read_library_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """``path, text`` of each document, and its JSON as ``document`` (null if broken).
 
-    ``multi_line``: one document per file, the layout of hand-kept libraries.
-    Snapshots written by `write_template_snapshot` have one document per line.
+    ``multi_line``: one document per file, the layout of hand-kept libraries. Each file
+    is opened once, and its text written. Snapshots written by `write_template_snapshot`
+    have one document per line.
     """
-    return (
-        spark.read.option("recursiveFileLookup", "true")
+    reader = spark
+    if multi_line:
+        # A session of its own, so that only this read has the setting.
+        reader = spark.newSession()
+        reader.conf.set("spark.sql.files.openCostInBytes", str(OPEN_BYTES))
+    texts = (
+        reader.read.option("recursiveFileLookup", "true")
         .text(path, wholetext=multi_line)
         .filter("trim(value) <> ''")
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        .withColumn("document", F.try_parse_json("text"))
     )
+    if multi_line:
+        written = f"{scratch_dir(spark)}/files"
+        texts.write.parquet(written)
+        texts = spark.read.schema(texts.schema).parquet(written)
+    return texts.withColumn("document", F.try_parse_json("text"))
 
 
 def _is_object(variant: str) -> Column:
