@@ -180,3 +180,47 @@ def test_plain_texts_are_masked_like_all_others(spark, lines):
     for short, long in zip(rows, full):
         assert short.slot_values == long.slot_values
         assert [*long.constants[:-1], long.constants[-1][:-1]] == short.constants
+
+
+def test_a_small_tree_is_one_job(spark, monkeypatch):
+    """Below the first levels few patterns are left: no jobs for each further word."""
+    words = ["red", "blue", "grey"]
+    texts = [f"unit {words[i % 3]} of {words[i % 2]} city{chr(97 + i % 26)}x{chr(97 + i // 26)} is in {words[i % 3]} use" for i in range(180)]
+    texts += [f"{chr(97 + i % 26)}q{chr(97 + i // 26)} went home now" for i in range(40)] + ["unit red of red", "a b c d"]
+    rows = [("d", f"v{i % 2}", f"p{i}", t) for i, t in enumerate(texts * 2)]
+    patterns = spark.createDataFrame(rows, "device_type string, vendor string, pattern_id string, transformed string")
+    made, write = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name, folder=None: made.append(name) or write(df, name, folder))
+
+    def groups():
+        found = {}
+        for r in G.open_word_tree(patterns).collect():
+            found.setdefault((r.device_type, r.vendor, r.merged, tuple(r.open_words)), []).append(r.pattern_id)
+        return sorted((k[0], k[1], k[3], tuple(sorted(v))) for k, v in found.items())
+
+    at_once = groups()
+    assert at_once and not [n for n in made if n.startswith("nodes_")]
+    monkeypatch.setattr(G, "TREE_BYTES", 0)
+    assert groups() == at_once and [n for n in made if n.startswith("nodes_")]
+
+
+def test_lines_without_any_shape_are_one_constant(spark):
+    """Letters alone make a value only in a payload, url, address, uuid or mac."""
+    lines = {
+        "plain words, no value.": [], "a: b - c . d": [], "see http://x.y/z now": ["http://x.y/z"], "to a@b.cd": ["a@b.cd"], "{a b} c": ["{a b}"],
+        "id deadbeef-dead-beef-dead-deadbeefdead": ["deadbeef-dead-beef-dead-deadbeefdead"], "mac aa:bb:cc:dd:ee:ff": ["aa:bb:cc:dd:ee:ff"], "dead-beef": [], "n 7": ["7"],
+    }
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    assert {r.t: r.v for r in df.select("t", G.values_of(G.line_tokens(F.col("t"))).alias("v")).collect()} == lines
+
+
+def test_mined_regexes_are_read_without_the_parser(monkeypatch):
+    from thresher.functions import dialect
+
+    regexes = [r"a\.b (?P<n>.*) \(c\)", "", "(?P<a>.*)(?P<b>.*)", r"\\(?P<a>.*)", "text, only - é\n"]
+    want = [dialect.compile_regex(f"{r}(?:)") for r in regexes]
+    monkeypatch.setattr(dialect, "_parser", None)
+    for regex, other in zip(regexes, want):
+        own = dialect.compile_regex(regex)
+        assert own[0] and own[2] == "linear" and own[5] == other[5] and own[7] == other[7]
+    assert dialect.compile_regex(r"a\.b (?P<n>.*) \(c\)")[6] == ["a.b ", " (c)"]
